@@ -6,6 +6,8 @@ U+3000 and full-width digits behave as in the source texts.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -81,8 +83,15 @@ def between_matches(c: Column | str, pattern: str, group: int = 1) -> tuple[Colu
 
 @F.arrow_udf(StringType())
 def nfkc(values: pa.Array) -> pa.Array:
-    """Unicode NFKC over whole Arrow batches (Spark has no built-in)."""
-    return pc.utf8_normalize(values, form="NFKC")
+    """Unicode NFKC over Arrow batches (Spark has no built-in).
+
+    ASCII batches pass as they are; otherwise each distinct value is normalised once.
+    """
+    if pc.all(pc.string_is_ascii(values)).as_py() is not False:
+        return values
+    coded = values.dictionary_encode()
+    plain = pa.array([unicodedata.normalize("NFKC", v) for v in coded.dictionary.to_pylist()], pa.string())
+    return plain.take(coded.indices)
 
 
 def search_key(*parts: Column | str) -> Column:
