@@ -24,7 +24,7 @@ def local_session(cpus: str = "*", app: str = "courseloom", **extra: str) -> Spa
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.driver.memory", "12g")
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false"))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
