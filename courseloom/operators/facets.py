@@ -131,7 +131,7 @@ def grid_counts(placed: DataFrame, weekdays=ALL_DAYS) -> DataFrame:
     Deduplicating inside the row makes the distinct count a plain count: one partial
     aggregate with at most periods x weekdays groups.
     """
-    return placed.groupBy("period").pivot("weekday", list(weekdays)).agg(F.count("*")).na.fill(0)
+    return placed.groupBy("period").pivot("weekday", list(weekdays)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def full_grid(grid: DataFrame, least: int = 5) -> DataFrame:

@@ -1,4 +1,4 @@
 """Queries over the driver tables, one per operator, with their SQL."""
 
-from courseloom.workloads import rules, texts  # noqa: F401
+from courseloom.workloads import relational, rules, search, texts  # noqa: F401
 from courseloom.workloads.registry import QUERIES, SQL  # noqa: F401
