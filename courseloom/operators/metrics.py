@@ -78,7 +78,8 @@ def mark_totals(courses: DataFrame, key: str, cohort: str, marks: str) -> tuple[
     letters = courses.select(F.explode(F.filter(F.split(marks, ""), lambda x: x != "")).alias("mark"))
     both = courses.groupBy(key).agg(F.count("*").alias("n"), F.min(marks).alias("lo"), F.max(marks).alias("hi"),
                                     F.max(F.length(marks)).alias("any")).where("any > 0")
-    differ = both.agg(F.count_if("n > 1").alias("in_both"), F.count_if("n > 1 AND lo <> hi").alias("differing"))
+    differ = both.agg(F.count_if(F.col("n") > 1).alias("in_both"),
+                      F.count_if((F.col("n") > 1) & (F.col("lo") != F.col("hi"))).alias("differing"))
     return letters.groupBy("mark").agg(F.count("*").alias("n")), differ
 
 
