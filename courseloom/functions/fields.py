@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import (blank_null, col, collapse, drop, first_group, half_digits, has,
+from courseloom.functions.text import (CUT, blank_null, col, collapse, drop, first_group, half_digits, has,
                                        lines_of, lookup, number, strip, text_or_empty)
 
 
@@ -25,19 +25,21 @@ def credits(raw: Column | str) -> Column:
     return number(blank_null(first_group(raw, V.FIRST_NUMBER)))
 
 
-def slot_of(line: Column) -> Column:
-    """One 'term weekday period' line as struct(term, weekday, period)."""
-    part = [first_group(line, V.SLOT_LINE, i) for i in (1, 2, 3)]
-    placed = F.struct(part[0].alias("term"), part[1].alias("weekday"),
-                      F.translate(part[2], "１２３４５６７８９", "123456789").alias("period"))
-    unplaced = F.struct(F.substring_index(line, " ", 1).alias("term"), F.lit(V.NO_SLOT).alias("weekday"),
-                        F.lit(V.NO_SLOT).alias("period"))
-    return F.when(part[1] != "", placed).otherwise(unplaced)
+def slots(raw: Column | str) -> Column:
+    """Array of struct(term, weekday, period), one for each non-blank line, in reading order.
 
+    A line that is no 'term weekday period' keeps its first word and is unplaced.
+    """
+    parts = lambda line: F.split(F.regexp_replace(line, "(?U)" + V.SLOT_LINE, f"$1{CUT}$2{CUT}$3"), CUT)
 
-def slots(raw: Column | str) -> Column:
-    """Array of slots, one for each non-blank line, in reading order."""
-    return F.transform(F.transform(lines_of(raw), collapse), slot_of)
+    def slot(p):
+        placed = F.size(p) == 3
+        return F.struct(
+            F.when(placed, F.get(p, 0)).otherwise(F.substring_index(F.get(p, 0), " ", 1)).alias("term"),
+            F.when(placed, F.get(p, 1)).otherwise(V.NO_SLOT).alias("weekday"),
+            F.when(placed, F.translate(F.get(p, 2), "１２３４５６７８９", "123456789")).otherwise(V.NO_SLOT).alias("period"))
+
+    return F.transform(F.transform(F.transform(lines_of(raw), collapse), parts), slot)
 
 
 def normalize_category(raw: Column | str) -> Column:

@@ -31,7 +31,7 @@ def is_unused(desc: Column) -> Column:
 
 def is_condition(desc: Column) -> Column:
     """Is the text's only percentage a requirement instead of a weight?"""
-    around = F.split(desc, "(?U)" + V.PERCENT, -1)
+    around, _ = between_matches(desc, "(?U)" + V.PERCENT)
     before, after = F.get(around, 0), F.get(around, 1)
     sentence = F.concat(F.regexp_extract(before, r"[^。\n]*\z", 0), first_group(desc, V.PERCENT, 0),
                         F.regexp_extract(after, r"^[^。]*", 0))
@@ -51,22 +51,41 @@ def note_without_percent(desc: Column) -> Column:
     return F.when(out == "", "").when(broken, trim_marks(desc)).otherwise(out)
 
 
-def weight(method: Column, desc: Column) -> Column:
-    """struct(method, pct, note, mark) of one method's description."""
-    n = F.size(F.regexp_extract_all(desc, F.lit("(?U)" + V.PERCENT), F.lit(1)))
-    times = first_group(desc, V.PERCENT_TIMES, 2)
-    product = number(first_group(desc, V.PERCENT_TIMES)) * number(times)
-    bare = first_group(desc, V.BARE_NUMBER)
-    single = number(first_group(desc, V.PERCENT))
-    condition = is_condition(desc)
-    kind = (F.when(times != "", "times").when((n == 1) & ~condition, "weight")
-            .when((n == 0) & (bare != ""), "bare").when(n == 1, "condition").otherwise("text"))
-    pct = F.when(kind == "times", product).when(kind == "weight", single).when(kind == "bare", number(bare))
-    note = (F.when(kind == "weight", note_without_percent(desc)).when(kind == "bare", "")
-            .otherwise(trim_marks(desc)))
-    note = F.when((note == method) | note.isin(V.UNUSED_PHRASES), "").otherwise(note)
-    return F.struct(method.alias("method"), pct.alias("pct"), note.alias("note"),
-                    F.when(kind == "condition", V.MARK_CONDITION).cast("int").alias("mark"))
+def weights(runs: Column) -> Column:
+    """struct(method, pct, note, mark) of each method's description.
+
+    Three passes over the array: what a pass names, the next reads without working it out again.
+    """
+
+    def read(r):
+        desc = r["desc"]
+        found = F.regexp_extract_all(desc, F.lit("(?U)" + V.PERCENT), F.lit(1))
+        return F.struct(r["method"].alias("method"), desc.alias("desc"), found.alias("found"),
+                        first_group(desc, V.PERCENT_TIMES, 2).alias("times"), first_group(desc, V.BARE_NUMBER).alias("bare"))
+
+    def judge(r):
+        n = F.size(r["found"])
+        kind = (F.when(r["times"] != "", "times")
+                .when(n == 1, F.when(is_condition(r["desc"]), "condition").otherwise("weight"))
+                .when((n == 0) & (r["bare"] != ""), "bare").otherwise("text"))
+        return F.struct(*[r[c].alias(c) for c in ("method", "desc", "found", "times", "bare")], kind.alias("kind"))
+
+    def note(r):
+        text = (F.when(r["kind"] == "weight", note_without_percent(r["desc"])).when(r["kind"] == "bare", "")
+                .otherwise(trim_marks(r["desc"])))
+        pct = (F.when(r["kind"] == "times", number(first_group(r["desc"], V.PERCENT_TIMES)) * number(r["times"]))
+               .when(r["kind"] == "weight", number(F.get(r["found"], 0))).when(r["kind"] == "bare", number(r["bare"])))
+        return F.struct(r["method"].alias("method"), pct.alias("pct"), text.alias("note"),
+                        F.when(r["kind"] == "condition", V.MARK_CONDITION).cast("int").alias("mark"))
+
+    def plain(r):
+        said = (r["note"] == r["method"]) | r["note"].isin(V.UNUSED_PHRASES)
+        return F.struct(r["method"].alias("method"), r["pct"].alias("pct"),
+                        F.when(said, "").otherwise(r["note"]).alias("note"), r["mark"].alias("mark"))
+
+    for step in (read, judge, note, plain):
+        runs = F.transform(runs, step)
+    return runs
 
 
 def method_runs(raw: Column | str) -> Column:
@@ -103,7 +122,7 @@ def share_once(rows: Column) -> Column:
 def used_rows(runs: Column) -> Column:
     """Weight rows before the shared-weight rule, in display order."""
     used = F.filter(runs, lambda r: ~is_unused(r["desc"]))
-    return _by_method(F.transform(used, lambda r: weight(r["method"], r["desc"])))
+    return _by_method(weights(used))
 
 
 def unused_methods(runs: Column) -> Column:

@@ -18,14 +18,26 @@ def number_lines(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(NUMBER_LINE), F.lit(1)))
 
 
-def _block(no: Column, text: Column) -> Column:
-    lines = F.split(text, "\n")
-    rest = F.slice(lines, 2, F.size(lines))
-    keep = F.coalesce(F.array_max(F.transform(rest, lambda x, i: F.when(~has(x, V.STUDY_LINE), i + 1).otherwise(0))), F.lit(0))
-    theme, detail = F.get(lines, 0), strip(F.array_join(F.slice(rest, F.lit(1), keep), " "))
-    said = (detail == "") | (detail == theme) | F.startswith(detail, theme) | F.startswith(theme, detail)
-    return F.struct(no.alias("no"), F.substring(theme, 1, V.THEME_MAX).alias("theme"),
-                    F.when(~said, F.substring(detail, 1, V.DETAIL_MAX)).alias("detail"))
+def _rows(blocks: Column) -> Column:
+    """(no, theme, detail) of each block: first line, and the rest without its closing study
+    lines unless it only repeats the theme. Each pass names what the next one reads."""
+
+    def lines(b):
+        return F.struct(b["no"].alias("no"), F.split(b["text"], "\n").alias("lines"))
+
+    def keep(b):
+        last = F.array_max(F.transform(b["lines"], lambda x, i: F.when((i == 0) | ~has(x, V.STUDY_LINE), i).otherwise(0)))
+        return F.struct(b["no"].alias("no"), F.get(b["lines"], 0).alias("theme"),
+                        strip(F.array_join(F.slice(b["lines"], F.lit(2), last), " ")).alias("rest"))
+
+    def cut(b):
+        said = (b["rest"] == "") | F.startswith(b["rest"], b["theme"]) | F.startswith(b["theme"], b["rest"])
+        return F.struct(b["no"].alias("no"), F.substring(b["theme"], 1, V.THEME_MAX).alias("theme"),
+                        F.when(~said, F.substring(b["rest"], 1, V.DETAIL_MAX)).alias("detail"))
+
+    for step in (lines, keep, cut):
+        blocks = F.transform(blocks, step)
+    return blocks
 
 
 def with_plan(df, candidates: list[str], out: str = "pl"):
@@ -38,24 +50,23 @@ def with_plan(df, candidates: list[str], out: str = "pl"):
     tidy = [f"_{out}{i}" for i in range(len(candidates))]
     for t, c in zip(tidy, candidates):
         df = df.withColumn(t, tidy_lines(c))
-    best = F.lit("")
-    for t in reversed(tidy):
-        others = [number_lines(F.col(o)) for o in tidy[tidy.index(t) + 1:]]
-        wins = F.lit(True)
-        for o in others:
-            wins = wins & (number_lines(F.col(t)) >= o)
-        best = F.when(wins & (number_lines(F.col(t)) >= 2), F.col(t)).otherwise(best)
-    df = df.withColumn("_text", best).withColumn("_text", F.when(
-        number_lines(F.col("_text")) >= 2, F.regexp_replace("_text", NUMBER_BEFORE_NUMBER, "")).otherwise(""))
+    # most number lines, the earlier candidate on a tie
+    for i, t in enumerate(tidy):
+        df = df.withColumn(f"_n{i}", F.struct(number_lines(F.col(t)).alias("n"), F.lit(-i).alias("rank")))
+    best = F.greatest(*[f"_n{i}" for i in range(len(tidy))]) if len(tidy) > 1 else F.col("_n0")
+    df = df.withColumn("_best", best)
+    text = F.element_at(F.array(*tidy), 1 - F.col("_best.rank"))
+    df = df.withColumn("_text", F.when(F.col("_best.n") >= 2, F.regexp_replace(text, NUMBER_BEFORE_NUMBER, "")).otherwise(""))
     texts, nos = between_matches("_text", NUMBER_LINE)
     df = (df.withColumn("_nos", F.transform(nos, lambda n: half_digits(n).cast("int")))
           .withColumn("_texts", F.transform(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))),
                                             lambda t: F.regexp_replace(t, r"^\n|\n\z", ""))))
     rises = (F.get("_nos", 0) == 1) & (F.array_sort(F.array_distinct("_nos")) == F.col("_nos"))
     blocks = F.filter(F.arrays_zip(F.col("_nos").alias("no"), F.col("_texts").alias("text")), lambda b: b["text"] != "")
-    rows = F.transform(blocks, lambda b: _block(b["no"], b["text"]))
+    rows = _rows(blocks)
     empty = F.array().cast(PLAN_ROWS)
-    return df.withColumn(out, F.when(rises, rows).otherwise(empty).cast(PLAN_ROWS)).drop(*tidy, "_text", "_nos", "_texts")
+    return df.withColumn(out, F.when(rises, rows).otherwise(empty).cast(PLAN_ROWS)).drop(
+        *tidy, "_text", "_nos", "_texts", "_best", *[f"_n{i}" for i in range(len(tidy))])
 
 
 def outline(picks: list[Column]) -> Column:

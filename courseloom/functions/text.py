@@ -10,7 +10,7 @@ import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -76,9 +76,28 @@ def lookup(table: dict[str, str], c: Column | str) -> Column:
     return F.create_map(*pairs)[col(c)]
 
 
+CUT = "\uffff"         # a noncharacter: never part of a text
+
+
 def between_matches(c: Column | str, pattern: str, group: int = 1) -> tuple[Column, Column]:
-    """(texts, matches): ``texts[i]`` stands before ``matches[i]``; one more text than matches."""
-    return F.split(col(c), pattern, -1), F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
+    """(texts, matches): ``texts[i]`` stands before ``matches[i]``; one more text than matches.
+
+    Matches are first replaced by one noncharacter: the pattern is then compiled once per
+    task, while a split on the pattern itself would compile it for each row.
+    """
+    texts = F.split(F.regexp_replace(F.translate(col(c), CUT, "\ufffd"), pattern, CUT), CUT, -1)
+    return texts, F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
+
+
+def exploded(df: DataFrame, keep: list, array: Column, item: str, pos: str | None = None) -> DataFrame:
+    """One row per element of an array that the same plan computes.
+
+    An inner explode lets the optimizer test the array's size below every projection, which
+    computes the array a second time. The outer form with a filter on the position does not.
+    """
+    at = pos or "_at"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+    return rows if pos else rows.drop("_at")
 
 
 @F.arrow_udf(StringType())

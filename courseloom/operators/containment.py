@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courseloom import values as V
+from courseloom.functions.text import exploded
 
 
 def occurrences(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str,
@@ -28,7 +29,7 @@ def occurrences(texts: DataFrame, keys: list[str], text: str, names: DataFrame,
 
     bodies = texts.select(*keys, F.col(text).alias("_text")).where(F.length("_text") >= least)
     pattern = f"(?s)(?=(.{{{gram}}}))"
-    spots = bodies.select(*keys, F.posexplode(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))).alias("start", "gram"))
+    spots = exploded(bodies, keys, F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)), "gram", "start")
     hits = spots.join(heads, "gram").select(*keys, "start", "size")
     full = (bodies.join(hits, keys)
             .select(*keys, "start", "size", F.length("_text").alias("n"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions.fields import term_group
+from courseloom.functions.text import exploded
 
 ALL_DAYS = V.WEEKDAYS
 NO_CAMPUS = ["", "＿"]
@@ -99,7 +100,7 @@ def facet_values(df: DataFrame, faculty: str, order: list[str], campus: str) ->
 
 def term_map(df: DataFrame, term: str = "tm", slots: str = "sl") -> DataFrame:
     """Distinct terms of courses and of their slots, each with its group."""
-    terms = df.select(F.explode(F.array_union(F.transform(slots, lambda s: s["term"]), F.array(term))).alias("term"))
+    terms = exploded(df, [], F.array_union(F.transform(slots, lambda s: s["term"]), F.array(term)), "term")
     return terms.where("term <> ''").distinct().select("term", term_group("term").alias("term_group"))
 
 
@@ -114,7 +115,7 @@ def used_groups(df: DataFrame, group: str = "tg") -> DataFrame:
 
 def slots_in_groups(df: DataFrame, groups: list[str], key: str, slots: str = "sl") -> DataFrame:
     """Slots whose own term is in a picked group (all when none is picked)."""
-    rows = df.select(key, F.explode(slots).alias("s")).select(key, "s.*").withColumn("term_group", term_group("term"))
+    rows = exploded(df, [key], F.col(slots), "s").select(key, "s.*").withColumn("term_group", term_group("term"))
     return rows.where(F.col("term_group").isin(groups)) if groups else rows
 
 
@@ -122,7 +123,7 @@ def cells(df: DataFrame, key: str, slots: str = "sl") -> DataFrame:
     """Distinct valid (weekday, period) cells of each course."""
     placed = F.filter(slots, valid_slot)
     cell = F.array_distinct(F.transform(placed, lambda s: F.struct(s["weekday"].alias("weekday"), s["period"].alias("period"))))
-    return df.select(key, F.explode(cell).alias("s")).select(key, "s.weekday", "s.period")
+    return exploded(df, [key], cell, "s").select(key, "s.weekday", "s.period")
 
 
 def grid_counts(placed: DataFrame, weekdays=ALL_DAYS) -> DataFrame:
@@ -193,21 +194,29 @@ def prune_rare(df: DataFrame, key: str, group: str, items: str, least: int = V.D
     Members are counted per row, the (group, member) counts meet the exploded rows on both
     columns, and the lists are rebuilt in their order.
     """
-    rows = df.select(key, F.col(group).alias("_g"), F.posexplode(items).alias("_i", "_m"))
+    rows = exploded(df, [key, F.col(group).alias("_g")], F.col(items), "_m", "_i")
     keep = rows.groupBy("_g", "_m").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g", "_m")
     kept = (rows.join(keep, ["_g", "_m"], "left_semi").groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_kept")))
     return (df.join(kept, key, "left").withColumn(items, F.transform("_kept", lambda x: x["_m"])).drop("_kept"))
 
 
+def rare_values(df: DataFrame, column: str, counted: Column, least: int = V.CATEGORY_MIN_COUNT) -> DataFrame:
+    """Values that fewer than ``least`` of the counted rows have (partial aggregate)."""
+    return (df.where(counted & F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+            .where(F.col("_n") < least).select(column))
+
+
+def fold_values(df: DataFrame, rare: DataFrame, column: str, counted: Column, other: str = V.CATEGORY_OTHER) -> DataFrame:
+    """Counted rows with a rare value take the 'other' name; NULL stays NULL."""
+    df = df.join(rare.withColumn("_rare", F.lit(True)), column, "left")
+    return df.withColumn(column, F.when(F.col("_rare") & counted, other).otherwise(F.col(column))).drop("_rare")
+
+
 def fold_rare(df: DataFrame, category: str, counted: Column, least: int = V.CATEGORY_MIN_COUNT,
               other: str = V.CATEGORY_OTHER) -> DataFrame:
-    """Rows of a category with few counted rows take the 'other' name; NULL stays NULL.
+    """Rows of a category with few counted rows take the 'other' name.
 
-    The rare categories come from a partial aggregate and join back on the category: hot
-    categories are joined, not windowed, so none of them fills one task.
+    Hot categories are joined, not windowed, so none of them fills one task.
     """
-    rare = (df.where(counted & F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("_n"))
-            .where(F.col("_n") < least).select(category, F.lit(True).alias("_rare")))
-    return (df.join(rare, category, "left")
-            .withColumn(category, F.when(F.col("_rare") & counted, other).otherwise(F.col(category))).drop("_rare"))
+    return fold_values(df, rare_values(df, category, counted, least), category, counted, other)

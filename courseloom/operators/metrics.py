@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courseloom import values as V
+from courseloom.functions.text import exploded
 
 
 def metric(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
@@ -75,7 +76,7 @@ def run_list(runs: DataFrame) -> DataFrame:
 
 def mark_totals(courses: DataFrame, key: str, cohort: str, marks: str) -> tuple[DataFrame, DataFrame]:
     """How often each mark occurs, and how many codes are marked differently by cohort."""
-    letters = courses.select(F.explode(F.filter(F.split(marks, ""), lambda x: x != "")).alias("mark"))
+    letters = exploded(courses, [], F.filter(F.split(marks, ""), lambda x: x != ""), "mark")
     both = courses.groupBy(key).agg(F.count("*").alias("n"), F.min(marks).alias("lo"), F.max(marks).alias("hi"),
                                     F.max(F.length(marks)).alias("any")).where("any > 0")
     differ = both.agg(F.count_if(F.col("n") > 1).alias("in_both"),

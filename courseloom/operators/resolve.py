@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions import names as N
-from courseloom.functions.text import between_matches, first_group, has, nfkc, strip
+from courseloom.functions.text import between_matches, exploded, first_group, has, nfkc, strip
 from courseloom.operators.containment import contains_known, nearest_name, occurrences
 from courseloom.operators.ordered import first_by, previous_value
+from courseloom.session import written
 
 ANY = "*"
 VIEW = ["faculty", "season_key"]
@@ -69,7 +70,7 @@ def mentions(lines: DataFrame, pattern: str) -> DataFrame:
     rx = "(?U)" + pattern
     texts, rooms = between_matches("line", rx)
     zipped = F.arrays_zip(rooms.alias("room"), F.slice(texts, F.lit(1), F.size(rooms)).alias("seg"))
-    rows = full.select("faculty", "file", "line_no", "season", "prev", F.posexplode(zipped).alias("pos", "m"))
+    rows = exploded(full, ["faculty", "file", "line_no", "season", "prev"], zipped, "m", "pos")
     rows = rows.select("faculty", "file", "line_no", "pos", "season", F.coalesce("season", F.lit(ANY)).alias("season_key"),
                        "m.seg", F.coalesce("prev", F.lit("")).alias("prev"), N.clean_room(F.col("m.room")).alias("room"))
     return rows.where(N.is_room("room"))
@@ -96,7 +97,8 @@ def match_mentions(rows: DataFrame, courses: DataFrame, gram: int = V.MIN_NAME,
             .withColumn("title", N.guess_title("seg")))
     for i, cand in enumerate(N.title_candidates(F.col("title"))):
         rows = rows.withColumn(f"_w{i}", cand)
-    rows = rows.select("*", *[N.match_key(f"_w{i}").alias(f"_k{i}") for i in range(3)])
+    # read four times below
+    rows = written(rows.select("*", *[N.match_key(f"_w{i}").alias(f"_k{i}") for i in range(3)]), "mentions")
     names = here.select(*VIEW, "name")
     rows = rows.join(_named(rows, "seg_key", "_a", names, gram, tail_only), [*VIEW, "seg_key"], "left")
     rows = rows.join(_named(rows, "prev_key", "_b", names, gram, True), [*VIEW, "prev_key"], "left")
@@ -185,16 +187,14 @@ def sightings(rows: DataFrame, key: str) -> DataFrame:
 
 def slash_title_rows(lines: DataFrame) -> DataFrame:
     """Title candidates written before a slash, one row each, in reading order."""
-    return lines.select("faculty", "file", "line_no", "season", F.lit("").alias("room"),
-                        F.posexplode(N.slash_titles("line")).alias("pos", "title"))
+    return exploded(lines, ["faculty", "file", "line_no", "season", F.lit("").alias("room")], N.slash_titles("line"), "title", "pos")
 
 
 def code_mentions(lines: DataFrame) -> DataFrame:
     """Course codes in lines, each with the text up to the next code."""
     texts, codes = between_matches("line", V.CODE_IN_LINE)
     tails = F.slice(texts, F.lit(2), F.size(codes))
-    return lines.select("file", "line_no", "season", F.posexplode(
-        F.arrays_zip(codes.alias("code"), tails.alias("tail"))).alias("pos", "m")).select(
+    return exploded(lines, ["file", "line_no", "season"], F.arrays_zip(codes.alias("code"), tails.alias("tail")), "m", "pos").select(
         "file", "line_no", "season", "pos", "m.code", "m.tail")
 
 
@@ -239,7 +239,7 @@ def progressive(rows: DataFrame, courses: DataFrame) -> DataFrame:
         spread = df.select("code", *key, *extra, "_text").join(sizes, F.length("_text") >= F.col("size"))
         starts = F.sequence(F.lit(1), F.length("_text") - F.col("size") + 1)
         grams = F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("_text"), p, F.col("size"))))
-        return spread.select("code", *key, *extra, F.explode(grams).alias("surname"))
+        return exploded(spread, ["code", *key, *extra], grams, "surname")
 
     a = _span(view, key, "a")
     b = _span(wanted_slot.join(_span(slot, [*key, "slot"], "x"), [*key, "slot"])

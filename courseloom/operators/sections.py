@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import between_matches, col, strip
+from courseloom.functions.text import between_matches, col, exploded, strip
 
 SECTIONS = "struct<labels:array<string>,texts:array<string>>"
 
@@ -72,8 +72,7 @@ def layout_text(secs: Column | str, layout: Column | str, by_layout: dict[str, s
 
 def section_rows(df: DataFrame, keys: list[str], secs: str = "secs") -> DataFrame:
     """Long table (keys, seq, label, text); the first section of a label wins."""
-    rows = df.select(*keys, F.col(f"{secs}.labels").alias("_l"),
-                     F.posexplode(F.arrays_zip(F.col(f"{secs}.labels").alias("label"),
-                                               F.col(f"{secs}.texts").alias("text"))).alias("seq", "s"))
+    zipped = F.arrays_zip(F.col(f"{secs}.labels").alias("label"), F.col(f"{secs}.texts").alias("text"))
+    rows = exploded(df, [*keys, F.col(f"{secs}.labels").alias("_l")], zipped, "s", "seq")
     first = F.array_position("_l", F.col("s.label")) == F.col("seq") + 1
     return rows.where(first).select(*keys, (F.col("seq") + 1).alias("seq"), "s.label", "s.text")

@@ -10,9 +10,10 @@ from courseloom import values as V
 from courseloom.functions import fields as FL
 from courseloom.functions import grading as G
 from courseloom.functions import plan as P
-from courseloom.functions.text import blank_null, collapse, strip
-from courseloom.operators.facets import fold_rare
+from courseloom.functions.text import blank_null, collapse, exploded, strip
+from courseloom.operators.facets import fold_values, rare_values
 from courseloom.operators.sections import layout_text, section_text, sections_by_layout
+from courseloom.session import written
 
 KEY = ["university_id", "year", "course_code"]
 STRUCTURED = [
@@ -39,7 +40,7 @@ def field_texts(raw: DataFrame) -> DataFrame:
     return df.drop("_secs", "body")
 
 
-def structure(raw: DataFrame, fold: bool = True) -> DataFrame:
+def structure_rows(raw: DataFrame) -> DataFrame:
     """Structured courses with their nested slots, grading rows, plan and outline.
 
     ``raw``: key, body, layout, body_sha256. The evaluation flags read the layout's own
@@ -71,24 +72,33 @@ def structure(raw: DataFrame, fold: bool = True) -> DataFrame:
         "ep": F.when(F.size("gr") > 0, "").otherwise(F.col("x_shown")), "pl": F.col("pl"),
         "d": P.outline([x(f"outline{i}") for i in range(len(V.OUTLINE_LABELS))]),
     }
-    out = df.select(*KEY, *[c.alias(n) for n, c in columns.items()])
-    if fold:
-        out = fold_rare(out, "category", F.coalesce(F.col("is_undergrad") == 1, F.lit(False)))
-    return out.select(*STRUCTURED, *NESTED)
+    return df.select(*KEY, *[c.alias(n) for n, c in columns.items()]).select(*STRUCTURED, *NESTED)
+
+
+def structure(raw: DataFrame) -> DataFrame:
+    """Structured courses with rare categories folded.
+
+    The rows are written once; the category counts read one column of them, and the short
+    list of rare categories is written too, so that its known size decides the join.
+    """
+    rows = written(structure_rows(raw), "structured")
+    undergrad = F.coalesce(F.col("is_undergrad") == 1, F.lit(False))
+    rare = written(rare_values(rows, "category", undergrad), "rare")
+    return fold_values(rows, rare, "category", undergrad).select(*STRUCTURED, *NESTED)
 
 
 def slot_rows(structured: DataFrame) -> DataFrame:
     """One row per slot, numbered from 1."""
-    return structured.select(*KEY, F.posexplode("sl").alias("seq", "s")).select(
+    return exploded(structured, KEY, F.col("sl"), "s", "seq").select(
         *KEY, "s.term", "s.weekday", "s.period", (F.col("seq") + 1).alias("seq"))
 
 
 def weight_rows(structured: DataFrame) -> DataFrame:
-    return structured.select(*KEY, F.posexplode("gr").alias("seq", "r")).select(*KEY, "seq", "r.*")
+    return exploded(structured, KEY, F.col("gr"), "r", "seq").select(*KEY, "seq", "r.*")
 
 
 def plan_rows(structured: DataFrame) -> DataFrame:
-    return structured.select(*KEY, F.explode("pl").alias("r")).select(*KEY, "r.*")
+    return exploded(structured, KEY, F.col("pl"), "r").select(*KEY, "r.*")
 
 
 def keywords_of(col: Column) -> Column:

@@ -9,7 +9,7 @@ from courseloom import values as V
 from courseloom.functions import fields as FL
 from courseloom.functions import grading as G
 from courseloom.functions.html import flat_text
-from courseloom.functions.text import blank_null, collapse, first_group, strip
+from courseloom.functions.text import between_matches, blank_null, collapse, exploded, first_group, strip
 from courseloom.plans.extraction import keywords_of
 
 
@@ -18,6 +18,12 @@ def _last(items: Column, test) -> Column:
     return F.get(hit, F.size(hit) - 1)
 
 
+def _after(text, pattern: str) -> Column:
+    """Pieces that follow each match of a pattern."""
+    texts, _ = between_matches(text, pattern)
+    return F.slice(texts, F.lit(2), F.size(texts))
+
+
 def _context(row: Column) -> Column:
     """What a grid row without a link says: dept, inst, room; NULL where it says nothing."""
     vals = F.transform(F.regexp_extract_all(row, F.lit(V.TABLE_CELL), F.lit(1)), flat_text)
@@ -34,12 +40,12 @@ def _context(row: Column) -> Column:
 def grid_rows(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """One row per link of a timetable grid: num, weekday, period, room, instructor, dept,
     title, term label. A link takes what the rows before it in its cell said."""
-    blocks = pages.select(*keys, F.posexplode(F.slice(F.split(html, V.SIDE_OUTER_ROW, -1), 2, 1000000)).alias("block", "b"))
+    blocks = exploded(pages, keys, _after(html, V.SIDE_OUTER_ROW), "b", "block")
     blocks = blocks.withColumn("period", F.regexp_extract("b", V.SIDE_PERIOD, 1)).where("period <> ''")
-    cells = blocks.select(*keys, "block", "period", F.posexplode(F.slice(F.split("b", V.SIDE_DAYCELL, -1), 2, 7)).alias("day", "cell"))
+    cells = exploded(blocks, [*keys, "block", "period"], F.slice(_after("b", V.SIDE_DAYCELL), 1, 7), "cell", "day")
     rows = cells.withColumn("rows", F.regexp_extract_all("cell", F.lit(V.SIDE_ROW), F.lit(1)))
     rows = rows.withColumn("ctx", F.transform("rows", lambda r: F.when(F.regexp_extract(r, V.SIDE_LINK, 1) == "", _context(r))))
-    links = rows.select(*keys, "block", "period", "day", "ctx", F.posexplode("rows").alias("at", "row"))
+    links = exploded(rows, [*keys, "block", "period", "day", "ctx"], F.col("rows"), "row", "at")
     links = links.withColumn("num", F.regexp_extract("row", V.SIDE_LINK, 1)).where("num <> ''")
     before = F.slice("ctx", F.lit(1), F.col("at"))
     said = lambda name: F.coalesce(_last(F.transform(F.filter(before, lambda x: x.isNotNull()), lambda x: x[name]),

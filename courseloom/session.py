@@ -1,8 +1,9 @@
-"""Session settings and lineage cutting."""
+"""Session settings and steps written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,18 +31,34 @@ def local_session(cpus: str = "*", app: str = "courseloom", **extra: str) -> Spa
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only in local
+    tests, where none is named."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="courseloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    A folder of our own is set only where none is named, i.e. in local tests.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few files to all cores; a scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a step's result once to the shared folder and go on from the files.
+
+    Later steps read it as often as they like without computing it again, lost executors
+    cost nothing but their tasks, and the planner knows the table's real size: it broadcasts
+    a small one and shuffles a large one.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="courseloom-ckpt-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return df.checkpoint(eager=False)
+    path = f"{shared_folder(df.sparkSession)}/courseloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

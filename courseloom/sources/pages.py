@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions.html import cell_text, cut_body, html_to_text, updated_at_of
-from courseloom.functions.text import collapse
+from courseloom.functions.text import collapse, exploded
 from courseloom.operators.ordered import fill_down
 
 
@@ -38,7 +38,7 @@ def quality_failures(raw: DataFrame, keys: list[str]) -> DataFrame:
 
 def listing_rows(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """Rows of listing pages: code, title, slots text, instructors; no code, no row."""
-    rows = pages.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(V.LIST_ROW), F.lit(1))).alias("row_no", "tr"))
+    rows = exploded(pages, keys, F.regexp_extract_all(html, F.lit(V.LIST_ROW), F.lit(1)), "tr", "row_no")
     cells = rows.select(*keys, "row_no", F.regexp_extract_all("tr", F.lit(V.TABLE_CELL), F.lit(1)).alias("td")).where("size(td) >= 5")
     names = ["course_code", "title", "term_slots", "instructors"]
     out = cells.select(*keys, "row_no", *[cell_text(F.get("td", i + 1)).alias(n) for i, n in enumerate(names)])
@@ -80,7 +80,7 @@ def recover_codes(rows: DataFrame, lines: DataFrame, page: list[str], code: str,
     coded = lines.select(*page, "line", F.regexp_extract("line", "(?U)" + V.LINE_CODE, 1).alias("_code")).where("_code <> ''")
     heads = F.array_distinct(F.flatten(F.array(*[
         F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3, 4)])))
-    spread = coded.select(*page, "line", "_code", F.explode(heads).alias("_head"))
+    spread = exploded(coded, [*page, "line", "_code"], heads, "_head")
     fits = F.contains("line", F.col(title)) & F.contains("line", F.col(room)) & F.contains("line", F.col(term))
     found = lost.join(spread, [*page, "_head"]).where(fits).groupBy("_row").agg(F.min("_code").alias("_lo"), F.max("_code").alias("_hi"))
     back = (lost.join(found.where("_lo = _hi"), "_row").withColumn(code, F.col("_lo")).select(*rows.columns))
@@ -96,7 +96,7 @@ def wide_grid(rows: DataFrame, key: list[str], row_no: str = "row_no", cells: st
     names = ["grade", "title", "room", "instructor"]
     per = F.array(*[F.struct(F.lit(p).alias("period"), *[at(p, k).alias(n) for k, n in enumerate(names)])
                     for p in range(1, V.GRID_PERIODS + 1)])
-    return rows.select(*key, row_no, "weekday", F.explode(per).alias("g")).select(*key, row_no, "weekday", "g.*").where("title <> ''")
+    return exploded(rows, [*key, row_no, "weekday"], per, "g").select(*key, row_no, "weekday", "g.*").where("title <> ''")
 
 
 def largest_table(rows: DataFrame, page: list[str], table: str = "table_no") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from courseloom.plans import catalog as CAT
 from courseloom.plans import extraction as X
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 from courseloom.workloads.rules import order_slots
 
 L = F.lit
@@ -15,7 +15,7 @@ L = F.lit
 def bodies(spark, d):
     """An order and its customer written as a course body, in layout A or, for some, B."""
     cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "c_nationkey")
-    o = table(spark, d, "orders").join(cust, "o_custkey")
+    o = wide(spark, d, "orders").join(cust, "o_custkey")
     k = F.col("o_orderkey")
     line = lambda *parts: F.concat(*[p if not isinstance(p, str) else L(p) for p in parts], L("\n"))
     a = F.concat(line("科目名称\n  講義 ", k, "（経経）"), line("講義題目\n－"), line("学部カテゴリ\n", F.when(k % 11 == 0, "経済学府").otherwise("経済学部")), line("対象学年\n", k % 3 + 1, "年～４年"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from courseloom.operators import metrics as M
 from courseloom.plans import side as SD
 from courseloom.sources import pages as P
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
 WANT = ["code", "price", "status", "mark"]
@@ -130,7 +130,7 @@ def grid_pages(spark, d):
     a = F.concat(ctx(F.col("c_mktsegment"), room), link(k * 2, F.concat(L("概論 "), "c_name")))
     b = F.concat(ctx(L("哲学"), L("E205")), link(k * 2 + 1, L("演習")), ctx(L(""), L("講義室")), link(k * 2, L("again")))
     row = lambda p, *cells: F.concat(L('<TR VALIGN="top"><TH valign="middle"> '), p, L("</TH>"), *[cell(c) for c in cells])
-    return table(spark, d, "customer").select(k.alias("page"), F.concat(
+    return wide(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey").select(k.alias("page"), F.concat(
         L("<TABLE>"), row(k % 5 + 1, L(""), a), row(L("6"), b), L("</TABLE>")).alias("html"))
 
 
@@ -161,7 +161,7 @@ def course_page_html(spark, d):
     sections = F.concat(L('<DIV><TABLE><TR><TD align="center">授業の概要</TD><TD>概要 '), "o_orderstatus", L('</TD></TR><TR><TD align="center" x>成績評価</TD><TD>U_A-1 [x] 観点→成績評価方法↓ レポートで評価</TD></TR></TABLE></DIV>'))
     html = F.concat(L("<BIG><B>文学講義 "), k, L("</B></BIG><BR>\nLecture<BR>"), L("<TABLE bgcolor='#FFEEDD'><TR><TD align=\"right\">担当</TD> <TD>山田&nbsp;花子</TD></TR></TABLE>"), left, L("</TD>"), right,
                     L("</TD><B>キーワード</B> : 文学, 近代<BR>"), plan, sections)
-    return table(spark, d, "orders").select(k.cast("string").alias("num"), html.alias("html"))
+    return wide(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").select(k.cast("string").alias("num"), html.alias("html"))
 
 
 @query("""SELECT 'LIT' || o_orderkey AS c, '文学講義 ' || o_orderkey AS t, '文学部' AS f, CASE o_orderkey % 3 + 2 WHEN 2 THEN '2,3,4' WHEN 3 THEN '3,4' ELSE '4' END AS g, (o_orderkey % 3 + 1)::DOUBLE AS cr, '選択必修科目' AS rq,

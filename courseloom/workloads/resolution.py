@@ -8,7 +8,7 @@ from courseloom import values as V
 from courseloom.functions import names as N
 from courseloom.operators import containment as CT
 from courseloom.operators import resolve as R
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
 PASSAGE_GRAM = 32          # passages are far longer; a longer n-gram keeps candidates few
@@ -21,7 +21,7 @@ def pick(items, at):
 
 
 def passages(spark, d):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    docs, items = wide(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark")
     return CT.occurrences(docs.select("doc_id", "text"), ["doc_id"], "text", items, "text", PASSAGE_GRAM)
 
 
@@ -44,9 +44,9 @@ def containment_join(spark, d):
 SELECT title FROM l WHERE title <> '' AND EXISTS (SELECT 1 FROM benchmark b WHERE title = b.text OR (length(title) >= 5 AND contains(b.text, title)))""")
 def known_names(spark, d):
     """Lines that equal a known text or are part of one."""
-    from courseloom.functions.text import lines_of
+    from courseloom.functions.text import exploded, lines_of
 
-    lines = table(spark, d, "documents").select(F.explode(lines_of("text")).alias("line"))
+    lines = exploded(wide(spark, d, "documents", "text"), [], lines_of("text"), "line")
     return CT.contains_known(lines, "line", table(spark, d, "benchmark"), "text")
 
 
@@ -77,7 +77,7 @@ def room_lines(spark, d):
     """A line per order: number, title, teacher, room; every tenth title is no course's."""
     k = F.col("o_orderkey")
     titles = courses(spark, d).select(F.col("code").cast("bigint").alias("o_custkey"), "title")
-    o = table(spark, d, "orders").join(titles, "o_custkey", "left")
+    o = wide(spark, d, "orders").join(titles, "o_custkey", "left")
     title = F.when((k % 10 == 0) | F.col("title").isNull(), F.concat(L("Unknown course "), "o_orderpriority")).otherwise(F.col("title"))
     line = F.concat(k % 9, L(" ◆"), title, L(" "), pick(TEACHERS, k), L(" D"), k % 900 + 100)
     season = F.when(F.quarter("o_orderdate") == 1, "spring").when(F.quarter("o_orderdate") == 2, "autumn")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from courseloom.functions import fields as FL
 from courseloom.functions import grading as G
+from courseloom.functions.text import exploded
 from courseloom.operators.facets import fold_rare as fold
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
 
@@ -55,7 +56,7 @@ UNION ALL SELECT o_orderkey, 2, CASE WHEN o_orderpriority = '5-LOW' THEN '集中
 
 @query("WITH " + ORDER_SLOTS + " SELECT o_orderkey, seq, term, weekday, period FROM order_slots")
 def parse_slots(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode(FL.slots(order_slots())).alias("i", "s"))
+    rows = exploded(wide(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority"), ["o_orderkey"], FL.slots(order_slots()), "s", "i")
     return rows.select("o_orderkey", (F.col("i") + 1).alias("seq"), "s.term", "s.weekday", "s.period")
 
 
@@ -135,7 +136,7 @@ def text_flags(spark, d):
 
 def grading_texts(spark, d):
     """A grading text per order; the priority picks its form, the key its weights."""
-    o = table(spark, d, "orders").withColumn("a", ((F.col("o_orderkey") % 9 + 1) * 10).cast("int")).withColumn("b", 100 - F.col("a"))
+    o = wide(spark, d, "orders", "o_orderkey", "o_orderpriority").withColumn("a", ((F.col("o_orderkey") % 9 + 1) * 10).cast("int")).withColumn("b", 100 - F.col("a"))
     p = F.substring("o_orderpriority", 1, 1)
     text = (F.when(p == "1", F.concat(L("定期試験\n期末試験 "), "a", L("%\nレポート\n"), "b", L("%")))
             .when(p == "2", F.concat(L("小テスト\n復習課題（"), "a", L("%×2回）\n出席\n総授業回数の"), "b", L("%以上の出席が必要")))
@@ -161,7 +162,7 @@ UNION ALL SELECT o_orderkey, 0, '作品', NULL, a || '%か' || b || '%', NULL FR
 
 @query("WITH " + WEIGHTS + " SELECT * FROM weights")
 def weight_rows(spark, d):
-    rows = grading_texts(spark, d).select("o_orderkey", F.posexplode("gr").alias("seq", "r"))
+    rows = exploded(grading_texts(spark, d), ["o_orderkey"], F.col("gr"), "r", "seq")
     return rows.select("o_orderkey", "seq", "r.method", "r.pct", "r.note", "r.mark")
 
 

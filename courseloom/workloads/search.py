@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courseloom.functions import fields as FL
-from courseloom.functions.text import search_key
+from courseloom.functions.text import exploded, search_key
 from courseloom.operators import facets as FC
 from courseloom.operators import joins as J
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 from courseloom.workloads.rules import ORDER_SLOTS, order_slots
 
 L = F.lit
@@ -17,7 +17,7 @@ L = F.lit
 def order_catalog(spark, d):
     """Orders with their customers as catalog records: c, f, cat, cp, g, tm, tg, cr, sl, ap."""
     cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("f"))
-    o = table(spark, d, "orders").join(cust, "o_custkey").withColumn("sl", FL.slots(order_slots()))
+    o = wide(spark, d, "orders").join(cust, "o_custkey").withColumn("sl", FL.slots(order_slots()))
     k = F.col("o_orderkey")
     return o.select(
         k.alias("c"), "f", F.col("o_orderpriority").alias("cat"), F.when(k % 7 == 0, "＿").otherwise(F.col("o_orderstatus")).alias("cp"),
@@ -38,7 +38,7 @@ def facet_filter(spark, d):
 
 
 def document_search(spark, d):
-    docs = table(spark, d, "documents")
+    docs = wide(spark, d, "documents", "doc_id", "text", "source")
     return docs.select("doc_id", search_key("text", "source").alias("search_text"))
 
 
@@ -115,7 +115,7 @@ def slot_grid(spark, d):
 SELECT o_custkey, weekday, period, left(half, -1) AS season, right(half, 1)::INT AS half, count(*) AS n_courses FROM h GROUP BY ALL HAVING count(*) >= 2""")
 def slot_conflicts(spark, d):
     """Cells in which an owner's orders overlap, half-season by half-season."""
-    cat = order_catalog(spark, d).select("o_custkey", "c", F.explode(F.filter("sl", FC.valid_slot)).alias("s"))
+    cat = exploded(order_catalog(spark, d), ["o_custkey", "c"], F.filter("sl", FC.valid_slot), "s")
     rows = cat.select("o_custkey", "c", "s.weekday", "s.period", FL.term_group("s.term").alias("term_group"))
     return FC.conflicts(rows, ["o_custkey"], "c")
 

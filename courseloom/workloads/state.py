@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from courseloom.operators import snapshots as S
 from courseloom.sources import pages as P
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
 INDEX = "user_id bigint, props string, kaiko_cd array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz"
@@ -122,7 +122,7 @@ def listing_rows(spark, d):
     cells = [L(""), code, F.concat("c_name", L(" &amp; <i>"), "c_mktsegment", L("</i>")), F.concat(L(" 春 月"), k % 5 + 1, L("<br/>夏")), F.concat(L("教員　"), "c_nationkey")]
     row = F.concat(*[x for c in cells for x in (L("<td class='x'>"), c, L("</td>"))])
     html = F.concat(L('<table><tr class="head"><td>n</td></tr><tr class="column_odd" id=1>'), row, L('</tr><tr class="column_even"><td>short</td></tr></table>'))
-    pages = table(spark, d, "customer").select(k.alias("page"), html.alias("html"))
+    pages = wide(spark, d, "customer").select(k.alias("page"), html.alias("html"))
     return P.listing_rows(pages, ["page"])
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from courseloom.functions import html as H
 from courseloom.functions import plan as P
-from courseloom.functions.text import collapse, text_or_empty
+from courseloom.functions.text import collapse, exploded, text_or_empty
 from courseloom.operators import ordered as O
 from courseloom.operators import sections as S
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 
 PAGE_TEXT = r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'),
@@ -23,7 +23,7 @@ page_text AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '[
 
 
 def page_texts(spark, d):
-    return table(spark, d, "pages").select("page_id", H.html_to_text("html").alias("text"))
+    return wide(spark, d, "pages", "page_id", "html").select("page_id", H.html_to_text("html").alias("text"))
 
 
 @query(PAGE_TEXT + "SELECT page_id, text FROM page_text")
@@ -76,7 +76,7 @@ sections AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY se
 
 
 def documents_with_sections(spark, d):
-    docs = table(spark, d, "documents")
+    docs = wide(spark, d, "documents", "doc_id", "lang", "text")
     return docs.select("doc_id", "lang", S.sections("text", LABEL_LINES).alias("secs"))
 
 
@@ -137,12 +137,12 @@ SELECT doc_id, no, left(theme, 120) AS theme, CASE WHEN detail = '' OR detail =
   THEN NULL ELSE left(detail, 240) END AS detail FROM b""")
 def plan_blocks(spark, d):
     """Number lines put between the lines of each document, read back as a session plan."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide(spark, d, "documents", "doc_id", "text")
     docs = docs.withColumn("ls", F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"\S"))))
     docs = docs.withColumn("per", F.greatest(F.lit(3), F.ceil(F.size("ls") / 99).cast("int")))
     numbered = F.transform("ls", lambda x, i: F.when(i % F.col("per") == 0, F.concat((i / F.col("per")).cast("int") + 1, F.lit("\n"), x)).otherwise(x))
     docs = docs.select("doc_id", F.array_join(numbered, "\n").alias("a"), F.col("text").alias("b"))
-    rows = P.with_plan(docs, ["b", "a"], "pl").select("doc_id", F.explode("pl").alias("r"))
+    rows = exploded(P.with_plan(docs, ["b", "a"], "pl"), ["doc_id"], F.col("pl"), "r")
     return rows.select("doc_id", "r.no", "r.theme", "r.detail")
 
 
