@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import (between_matches, col, drop, first_group, has, number, strip,
-                                       text_or_empty, tidy_lines)
+from courseloom.functions.text import (between_matches, col, drop, first_group, has, let, matches_of, number,
+                                       pieces, strip, text_or_empty, texts_of, tidy_lines)
 
 METHOD_LINE = "(?md)^(" + "|".join(map(re.escape, V.METHODS)) + ")$"
 ROWS = "array<struct<method:string,pct:double,note:string,mark:int>>"
@@ -90,13 +90,15 @@ def weights(runs: Column) -> Column:
 
 def method_runs(raw: Column | str) -> Column:
     """struct(extra array, runs array<struct<method, desc>>) of a grading text."""
-    text = tidy_lines(raw)
-    texts, names = between_matches(text, METHOD_LINE)
-    edge = lambda t: F.regexp_replace(t, r"^\n|\n\z", "")
-    descs = F.transform(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), edge)
-    runs = F.arrays_zip(names.alias("method"), descs.alias("desc"))
-    extra = F.filter(F.split(edge(F.get(texts, 0)), "\n"), lambda x: x != "")
-    return F.struct(extra.alias("extra"), runs.alias("runs"))
+    edge = lambda t: F.btrim(t, F.lit("\n"))
+
+    def read(parts):
+        descs = F.transform(F.slice(texts_of(parts), F.lit(2), F.size(parts)), edge)
+        runs = F.arrays_zip(matches_of(parts).alias("method"), descs.alias("desc"))
+        extra = F.filter(F.split(F.get(parts, 0), "\n"), lambda x: x != "")
+        return F.struct(extra.alias("extra"), runs.alias("runs"))
+
+    return let(pieces(tidy_lines(raw), METHOD_LINE), read)
 
 
 def _by_method(rows: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import between_matches, col, strip
+from courseloom.functions.text import col, pieces, strip
 
 # ---- Fixed values: what is removed and what ends a line -------------------------------
 SCRIPT, STYLE, COMMENT = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"
@@ -42,10 +42,8 @@ def _entity_text(name: Column) -> Column:
 def unescape(c: Column | str) -> Column:
     """Replace character references in one pass; text without ``&`` is left as it is."""
     c = col(c)
-    texts, names = between_matches(c, ENTITY)
-    joined = F.array_join(F.zip_with(texts, names, lambda t, n: F.concat(
-        F.coalesce(t, F.lit("")), F.when(n.isNull(), "").otherwise(_entity_text(n)))), "")
-    return F.when(c.contains("&"), joined).otherwise(c)
+    decoded = F.transform(pieces(c, ENTITY), lambda x, i: F.when(i % 2 == 0, x).otherwise(_entity_text(x)))
+    return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
 
 
 def strip_markup(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions.fields import shorten
-from courseloom.functions.text import between_matches, col, collapse, half_digits, has, strip, tidy_lines
+from courseloom.functions.text import collapse, half_digits, has, matches_of, pieces, strip, texts_of, tidy_lines
 
 NUMBER_LINE = r"(?mdU)^(\d{1,2})$"
 NUMBER_BEFORE_NUMBER = r"(?mdU)^\d{1,2}\n(?=\d{1,2}$)"
@@ -57,16 +57,17 @@ def with_plan(df, candidates: list[str], out: str = "pl"):
     df = df.withColumn("_best", best)
     text = F.element_at(F.array(*tidy), 1 - F.col("_best.rank"))
     df = df.withColumn("_text", F.when(F.col("_best.n") >= 2, F.regexp_replace(text, NUMBER_BEFORE_NUMBER, "")).otherwise(""))
-    texts, nos = between_matches("_text", NUMBER_LINE)
-    df = (df.withColumn("_nos", F.transform(nos, lambda n: half_digits(n).cast("int")))
-          .withColumn("_texts", F.transform(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))),
-                                            lambda t: F.regexp_replace(t, r"^\n|\n\z", ""))))
+    parts = F.col("_parts")
+    df = df.withColumn("_parts", pieces("_text", NUMBER_LINE))
+    df = (df.withColumn("_nos", F.transform(matches_of(parts), lambda n: half_digits(n).cast("int")))
+          .withColumn("_texts", F.transform(F.slice(texts_of(parts), F.lit(2), F.size(parts)),
+                                            lambda t: F.btrim(t, F.lit("\n")))))
     rises = (F.get("_nos", 0) == 1) & (F.array_sort(F.array_distinct("_nos")) == F.col("_nos"))
     blocks = F.filter(F.arrays_zip(F.col("_nos").alias("no"), F.col("_texts").alias("text")), lambda b: b["text"] != "")
     rows = _rows(blocks)
     empty = F.array().cast(PLAN_ROWS)
     return df.withColumn(out, F.when(rises, rows).otherwise(empty).cast(PLAN_ROWS)).drop(
-        *tidy, "_text", "_nos", "_texts", "_best", *[f"_n{i}" for i in range(len(tidy))])
+        *tidy, "_text", "_parts", "_nos", "_texts", "_best", *[f"_n{i}" for i in range(len(tidy))])
 
 
 def outline(picks: list[Column]) -> Column:

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Unicode white space
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 FULL_DIGITS, HALF_DIGITS = "０１２３４５６７８９", "0123456789"
 
 
@@ -22,7 +25,13 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
+    """No white space at the ends. A trim by characters only looks at the ends."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def collapse(c: Column | str) -> Column:
@@ -79,14 +88,27 @@ def lookup(table: dict[str, str], c: Column | str) -> Column:
 CUT = "\uffff"         # a noncharacter: never part of a text
 
 
-def between_matches(c: Column | str, pattern: str, group: int = 1) -> tuple[Column, Column]:
-    """(texts, matches): ``texts[i]`` stands before ``matches[i]``; one more text than matches.
+def pieces(c: Column | str, pattern: str, group: int = 1) -> Column:
+    """Text, match, text, match, ..., text as one array, found in a single pass.
 
-    Matches are first replaced by one noncharacter: the pattern is then compiled once per
-    task, while a split on the pattern itself would compile it for each row.
+    Matches are set between noncharacters and the text is split on those: the pattern is
+    then compiled once per task, while a split on the pattern would compile it for each row.
     """
-    texts = F.split(F.regexp_replace(F.translate(col(c), CUT, "\ufffd"), pattern, CUT), CUT, -1)
-    return texts, F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
+    marked = F.regexp_replace(F.replace(col(c), F.lit(CUT), F.lit("\ufffd")), pattern, f"{CUT}${group}{CUT}")
+    return F.split(marked, CUT, -1)
+
+
+def texts_of(parts: Column) -> Column:
+    return F.filter(parts, lambda x, i: i % 2 == 0)
+
+
+def matches_of(parts: Column) -> Column:
+    return F.filter(parts, lambda x, i: i % 2 == 1)
+
+
+def between_matches(c: Column | str, pattern: str, group: int = 1) -> tuple[Column, Column]:
+    """(texts, matches): ``texts[i]`` stands before ``matches[i]``; one more text than matches."""
+    return texts_of(pieces(c, pattern, group)), F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 
 
 def exploded(df: DataFrame, keep: list, array: Column, item: str, pos: str | None = None) -> DataFrame:

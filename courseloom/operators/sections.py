@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import between_matches, col, exploded, strip
+from courseloom.functions.text import col, exploded, let, matches_of, pieces, strip, texts_of
 
 SECTIONS = "struct<labels:array<string>,texts:array<string>>"
 
@@ -36,10 +36,12 @@ def sections(body: Column | str, labels=V.LAYOUT_LABELS["A"], empty=V.EMPTY_MARK
     text = strip(text)
     for two_lines in (x for x in labels if "\n" in x):
         text = F.replace(text, F.lit(two_lines), F.lit(_one_line(two_lines)))
-    texts, found = between_matches(text, label_line(labels))
-    texts = F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0)))
-    texts = F.transform(F.transform(texts, strip), lambda t: F.when(t.isin(empty), "").otherwise(t))
-    return F.struct(found.alias("labels"), texts.alias("texts"))
+    def read(parts):
+        texts = F.slice(texts_of(parts), F.lit(2), F.size(parts))
+        texts = F.transform(F.transform(texts, strip), lambda t: F.when(t.isin(empty), "").otherwise(t))
+        return F.struct(matches_of(parts).alias("labels"), texts.alias("texts"))
+
+    return let(pieces(text, label_line(labels)), read)
 
 
 def sections_by_layout(body: Column | str, layout: Column | str, layouts=V.LAYOUT_LABELS, default="A") -> Column:

@@ -10,7 +10,7 @@ from courseloom import values as V
 from courseloom.functions import fields as FL
 from courseloom.functions import grading as G
 from courseloom.functions import plan as P
-from courseloom.functions.text import blank_null, collapse, exploded, strip
+from courseloom.functions.text import blank_null, collapse, exploded
 from courseloom.operators.facets import fold_values, rare_values
 from courseloom.operators.sections import layout_text, section_text, sections_by_layout
 from courseloom.session import written
@@ -30,7 +30,7 @@ def field_texts(raw: DataFrame) -> DataFrame:
     df = raw.withColumn("layout", F.coalesce("layout", F.lit("A"))).withColumn("_secs", sections_by_layout("body", "layout"))
     layouts = list(V.LAYOUT_LABELS)
     for name, labels in V.FIELD_LABELS.items():
-        df = df.withColumn(f"x_{name}", strip(layout_text("_secs", "layout", dict(zip(layouts, labels)))))
+        df = df.withColumn(f"x_{name}", layout_text("_secs", "layout", dict(zip(layouts, labels))))
     for i, label in enumerate(V.OUTLINE_LABELS):
         df = df.withColumn(f"x_outline{i}", section_text("_secs", label))
     for i, label in enumerate(V.GRADING_LABELS):
