@@ -49,7 +49,12 @@ def structure_rows(raw: DataFrame) -> DataFrame:
     df = field_texts(raw)
     x = lambda n: F.col(f"x_{n}")
     df = df.withColumn("x_shown", P.first_non_empty([x(f"grading{i}") for i in range(len(V.GRADING_LABELS))]))
-    df = G.with_grading(G.with_grading(df, "x_shown"), "x_grading", "e_")
+    # the two texts are nearly always the same: the second is parsed only where it differs
+    same = F.col("x_grading") == F.col("x_shown")
+    df = df.withColumn("x_own", F.when(~same, F.col("x_grading")).otherwise(""))
+    df = G.with_grading(G.with_grading(df, "x_shown"), "x_own", "e_")
+    df = df.withColumn("e_gr", F.when(same, F.col("gr")).otherwise(F.col("e_gr")))
+    df = df.withColumn("e_gu", F.when(same, F.col("gu")).otherwise(F.col("e_gu")))
     df = P.with_plan(df, [f"x_plan{i}" for i in range(len(V.PLAN_LABELS))], "pl")
     faculty = F.coalesce(blank_null("x_faculty_cat"), blank_null("x_faculty"))
     flags = G.eval_flags("x_grading", "e_gr", "e_gu")

@@ -9,7 +9,7 @@ from courseloom import values as V
 from courseloom.functions import fields as FL
 from courseloom.functions import grading as G
 from courseloom.functions.html import flat_text
-from courseloom.functions.text import between_matches, blank_null, collapse, exploded, first_group, strip
+from courseloom.functions.text import blank_null, collapse, exploded, first_group, pieces, strip, texts_of
 from courseloom.plans.extraction import keywords_of
 
 
@@ -20,8 +20,7 @@ def _last(items: Column, test) -> Column:
 
 def _after(text, pattern: str) -> Column:
     """Pieces that follow each match of a pattern."""
-    texts, _ = between_matches(text, pattern)
-    return F.slice(texts, F.lit(2), F.size(texts))
+    return F.slice(texts_of(pieces(text, pattern, 0)), 2, 1 << 30)
 
 
 def _context(row: Column) -> Column:

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # a generated method above 8,000 bytes is never compiled by the JVM: plans with many
+    # columns run faster in several small methods than in one huge one
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Shift_JIS landed pages are decoded with the JVM's own charsets
     "spark.sql.legacy.javaCharsets": "true",
 }
