@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import col, pieces, strip
+from courseloom.functions.text import col, lookup, pieces, strip
 
 # ---- Fixed values: what is removed and what ends a line -------------------------------
 SCRIPT, STYLE, COMMENT = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"
@@ -18,6 +18,9 @@ LINE_BREAK, BLOCK_END, TAG = r"(?i)<br\s*/?>", r"(?i)</(td|tr|div|p|table|h[1-6]
 COMMON_ENTITIES = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;", "hellip;", "ndash;",
                    "mdash;", "apos;", "times;"]
 
+# references to 128-159 mean Windows-1252 characters
+WINDOWS_1252 = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
 _NAMES = sorted(html5, key=len, reverse=True)
 ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(map(re.escape, _NAMES)) + ")"
 
@@ -25,7 +28,7 @@ ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(map(re.escape, _NAMES))
 def _character(code: Column) -> Column:
     """Code point to text; numbers that name no character become U+FFFD."""
     valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    win = F.decode(F.unhex(F.lpad(F.hex(code), 2, "0")), "windows-1252")
+    win = F.coalesce(lookup(WINDOWS_1252, code.cast("string")), F.lit(""))
     utf = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     return F.when(code.between(0x80, 0x9F), win).when(valid, utf).otherwise("�")
 

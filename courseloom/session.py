@@ -18,8 +18,9 @@ SETTINGS = {
     # a generated method above 8,000 bytes is never compiled by the JVM: plans with many
     # columns run faster in several small methods than in one huge one
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Shift_JIS landed pages are decoded with the JVM's own charsets
+    # landed Shift_JIS pages: the JVM's own charsets, bytes they lack are replaced
     "spark.sql.legacy.javaCharsets": "true",
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from courseloom.operators import joins as J
 from courseloom.operators import metrics as M
-from courseloom.workloads.registry import query, table
+from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
 
@@ -230,7 +230,7 @@ def redundant_values(spark, d):
     from courseloom.workloads.rules import order_slots
 
     raw = F.when(F.col("o_orderkey") % 3 == 0, "専門教育科目").otherwise("専攻教育科目 Major")
-    o = table(spark, d, "orders").withColumn("sl", FL.slots(order_slots())).withColumn("cat", FL.merge_category(FL.normalize_category(raw), L("")))
+    o = wide(spark, d, "orders").withColumn("sl", FL.slots(order_slots())).withColumn("cat", FL.merge_category(FL.normalize_category(raw), L("")))
     term = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.get("sl", 0)["term"], L(" ")))
     return o.select("o_orderkey", F.when(F.col("o_orderstatus") != F.col("o_orderpriority"), F.col("o_orderstatus")).otherwise("").alias("s"),
                     F.when(FL.normalize_category(raw) == F.col("cat"), "").otherwise(raw).alias("catr"), course_term(term, F.col("sl")).alias("tm"))

@@ -8,7 +8,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
-from courseloom.session import local_session  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
@@ -60,7 +60,10 @@ if __name__ == "__main__":
     args = sys.argv[1:]
     sf = args[0] if args else "sf0.01"
     d = f"/root/testdata/{sf}"
-    spark = local_session("8", "oracle")
+    # a plain session, as the queries must not depend on our settings
+    spark = (SparkSession.builder.master("local[8]").appName("oracle").config("spark.sql.shuffle.partitions", "8")
+             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(d)
     bad = []
