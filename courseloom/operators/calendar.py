@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courseloom import values as V
+from courseloom.session import fixed_frame, written
 
 BASE = ""          # faculty key of the common calendar
 WEEKDAY = ["月", "火", "水", "木", "金", "土", "日"]
@@ -19,10 +20,10 @@ def calendar_frames(spark: SparkSession) -> dict[str, DataFrame]:
     """The fixed calendar as terms / closed / swap / extra frames."""
     day = lambda df, *cols: df.select(*[F.col(c).cast("date").alias(c) if c in cols else F.col(c) for c in df.columns])
     return {
-        "terms": day(spark.createDataFrame(V.CALENDAR_TERMS, "year int, faculty string, term string, start string, end string"), "start", "end"),
-        "closed": day(spark.createDataFrame(V.CALENDAR_CLOSED, "year int, faculty string, first string, last string, reason string, op string"), "first", "last"),
-        "swap": day(spark.createDataFrame(V.CALENDAR_SWAP, "year int, faculty string, date string, weekday string, op string"), "date"),
-        "extra": day(spark.createDataFrame(V.CALENDAR_EXTRA, "year int, faculty string, term string, date string"), "date"),
+        "terms": day(fixed_frame(spark, V.CALENDAR_TERMS, "year int, faculty string, term string, start string, end string"), "start", "end"),
+        "closed": day(fixed_frame(spark, V.CALENDAR_CLOSED, "year int, faculty string, first string, last string, reason string, op string"), "first", "last"),
+        "swap": day(fixed_frame(spark, V.CALENDAR_SWAP, "year int, faculty string, date string, weekday string, op string"), "date"),
+        "extra": day(fixed_frame(spark, V.CALENDAR_EXTRA, "year int, faculty string, term string, date string"), "date"),
     }
 
 
@@ -109,6 +110,7 @@ def event_series(slots: DataFrame, days: DataFrame, periods: DataFrame) -> DataF
 
     ``slots``: code, year, faculty, term (a calendar term), weekday, period.
     """
+    days = written(days, "days")          # small for sure: its written size lets the joins broadcast it
     series = weekly_series(days)
     own = days.select("year", F.col("faculty").alias("_f")).distinct()
     s = slots.join(own, (slots["year"] == own["year"]) & (slots["faculty"] == own["_f"]), "left").drop(own["year"])
@@ -118,8 +120,8 @@ def event_series(slots: DataFrame, days: DataFrame, periods: DataFrame) -> DataF
 
 
 def period_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, a, b) for p, (a, b) in V.PERIOD_TIMES.items()],
-                                 "period string, starts string, ends string")
+    return fixed_frame(spark, [(p, a, b) for p, (a, b) in V.PERIOD_TIMES.items()],
+                       "period string, starts string, ends string")
 
 
 def site_calendar(frames: dict[str, DataFrame], year: int, verified: DataFrame, notes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from courseloom import values as V
 from courseloom.functions.fields import term_group
 from courseloom.functions.text import exploded
+from courseloom.session import written
 
 ALL_DAYS = V.WEEKDAYS
 NO_CAMPUS = ["", "＿"]
@@ -196,6 +197,7 @@ def prune_rare(df: DataFrame, key: str, group: str, items: str, least: int = V.D
     """
     rows = exploded(df, [key, F.col(group).alias("_g")], F.col(items), "_m", "_i")
     keep = rows.groupBy("_g", "_m").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g", "_m")
+    keep = written(keep, "members")
     kept = (rows.join(keep, ["_g", "_m"], "left_semi").groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_kept")))
     return (df.join(kept, key, "left").withColumn(items, F.transform("_kept", lambda x: x["_m"])).drop("_kept"))
@@ -217,6 +219,8 @@ def fold_rare(df: DataFrame, category: str, counted: Column, least: int = V.CATE
               other: str = V.CATEGORY_OTHER) -> DataFrame:
     """Rows of a category with few counted rows take the 'other' name.
 
-    Hot categories are joined, not windowed, so none of them fills one task.
+    Hot categories are joined, not windowed, so none of them fills one task. The rare ones
+    are written first: by their size the planner broadcasts them, and no row is shuffled.
     """
-    return fold_values(df, rare_values(df, category, counted, least), category, counted, other)
+    rare = written(rare_values(df, category, counted, least), "rare")
+    return fold_values(df, rare, category, counted, other)

@@ -91,7 +91,7 @@ def match_mentions(rows: DataFrame, courses: DataFrame, gram: int = V.MIN_NAME,
     the previous line; the title read from the segment, also without its first words; the
     teacher at the segment's end. All are left joins on aggregated dictionary keys.
     """
-    view = by_view(dictionary(courses))
+    view = written(by_view(dictionary(courses)).select(*VIEW, "name", "code", "instructors"), "names")
     here = _span(view, [*VIEW, "name"], "c")
     rows = (rows.withColumn("seg_key", N.match_key("seg")).withColumn("prev_key", N.match_key("prev"))
             .withColumn("title", N.guess_title("seg")))

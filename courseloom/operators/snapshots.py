@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from courseloom.operators.joins import KEY
 from courseloom.operators.ordered import CHUNK, previous_value
+from courseloom.session import written
 
 LIST_COLUMNS = ["title", "term_slots", "instructors"]
 
@@ -79,6 +80,8 @@ def not_stale(index: DataFrame, latest: DataFrame, key: list[str] = KEY, codes:
 
     A row whose codes were never swept, or that has no last sighting, stays.
     """
+    # one row per code; written, so that its known size spares a shuffle on a few hot codes
+    latest = written(latest, "sweeps")
     own = index.select(*key, F.explode(codes).alias("code")).join(latest, "code")
     least = own.groupBy(*key).agg(F.min("swept_at").alias("_least"))
     stale = F.coalesce(F.col(seen) < F.col("_least"), F.lit(False))

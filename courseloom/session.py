@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings a catalog job wants; each is left alone where the cluster already set it.
 SETTINGS = {
@@ -56,6 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fixed_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of fixed values whose size the planner knows (a local list has none)."""
+    names = [c.split()[0] for c in schema.split(",")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    fields = ",".join(c.strip().replace(" ", ":", 1) for c in schema.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step's result once to the shared folder and go on from the files.
 

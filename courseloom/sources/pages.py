@@ -76,13 +76,14 @@ def recover_codes(rows: DataFrame, lines: DataFrame, page: list[str], code: str,
     ok = F.regexp_like(F.col(code), F.lit(V.CELL_CODE))
     good = rows.where(ok)
     lost = rows.where(~ok).where(F.col(title) != "").withColumn("_row", F.xxhash64(*rows.columns))
-    lost = lost.withColumn("_n", F.least(F.length(title), F.lit(4))).withColumn("_head", F.substring(F.col(title), F.lit(1), F.col("_n")))
     coded = lines.select(*page, "line", F.regexp_extract("line", "(?U)" + V.LINE_CODE, 1).alias("_code")).where("_code <> ''")
-    heads = F.array_distinct(F.flatten(F.array(*[
-        F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3, 4)])))
-    spread = exploded(coded, [*page, "line", "_code"], heads, "_head")
+    heads = F.array_distinct(F.regexp_extract_all("line", F.lit("(?s)(?=(.{4}))"), F.lit(1)))
+    spots = exploded(coded, [*page, "line", "_code"], heads, "_head")
     fits = F.contains("line", F.col(title)) & F.contains("line", F.col(room)) & F.contains("line", F.col(term))
-    found = lost.join(spread, [*page, "_head"]).where(fits).groupBy("_row").agg(F.min("_code").alias("_lo"), F.max("_code").alias("_hi"))
+    long = lost.where(F.length(title) >= 4).withColumn("_head", F.substring(title, 1, 4)).join(spots, [*page, "_head"])
+    short = lost.where(F.length(title) < 4).join(coded, page)          # a page has few lines
+    pairs = [x.where(fits).select("_row", "_code") for x in (long, short)]
+    found = pairs[0].union(pairs[1]).groupBy("_row").agg(F.min("_code").alias("_lo"), F.max("_code").alias("_hi"))
     back = (lost.join(found.where("_lo = _hi"), "_row").withColumn(code, F.col("_lo")).select(*rows.columns))
     return good.unionByName(back)
 
