@@ -171,9 +171,14 @@ def missing_titles(unmatched: DataFrame, known: DataFrame, name: str = "name",
     """
     rows = unmatched.withColumn("title", N.missing_title("title") if clean is None else clean)
     rows = rows.where(~N.is_missing_junk("title")) if clean is None else rows
+    return sightings(unknown_rows(rows, known, name), "name")
+
+
+def unknown_rows(rows: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
+    """Rows whose title no course has, with the title's comparison form as ``name``."""
     rows = rows.withColumn("name", N.match_key("title"))
     seen = contains_known(rows, "name", known, name).withColumnRenamed("title", "name")
-    return sightings(rows.join(seen, "name", "left_anti"), "name")
+    return rows.join(seen, "name", "left_anti")
 
 
 def sightings(rows: DataFrame, key: str) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from courseloom import values as V
 from courseloom.functions import names as N
 from courseloom.operators import resolve as R
+from courseloom.session import fixed_frame
 
 # faculty -> (room pattern, are unmatched titles reported)
 MARKER_FACULTIES = {"教育学部": ("bracket", True), "理学部": ("science", False), "法学部": ("law", True),
                     "工学部": ("paren", False), "芸術工学部": ("paren", False)}
 CODE_FACULTY, GRID_FACULTY, SLASH_FACULTY = "農学部", "経済学部", "共創学部"
+ROOMLESS_FACULTY = "基幹教育科目"
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -48,15 +50,22 @@ def build(lines: DataFrame, sessions: DataFrame, courses: DataFrame) -> dict[str
         R.rooms_found(matched).select("code", "room"),
         R.first_by(by_code.where("verdict = 'ok'"), ["code"], ["file", "line_no", "pos"], ["room"]),
         by_grid.where("outcome = 'one'").groupBy("code").agg(F.max_by("room", "row_id").alias("room"))])
-    one = lambda df, faculty, drop: df.agg(
-        F.lit(faculty).alias("faculty"), F.count("*").alias("detected"), F.count_if(drop).alias("dropped_ambiguous"))
+    known = R.dictionary(courses).select("name").distinct()
+    slashes = R.slash_title_rows(lines.where(F.col("faculty") == SLASH_FACULTY))
+    one = lambda df, faculty, hit, drop: df.agg(
+        F.count("*").alias("detected"), F.count_distinct(F.when(hit, F.col("code"))).alias("resolved"),
+        F.count_if(drop).alias("dropped_ambiguous")).withColumn("faculty", F.lit(faculty))
+    no = F.lit(False)
+    every = sessions.select("row_id").join(by_grid.select("row_id", "code", "outcome"), "row_id", "left")
     stats = _union([
         R.match_stats(matched),
-        one(by_code, CODE_FACULTY, F.col("verdict") == "disagree"), one(by_grid, GRID_FACULTY, F.col("outcome") == "several")])
-    known = R.dictionary(courses).select("name").distinct()
+        one(by_code, CODE_FACULTY, F.col("verdict") == "ok", F.col("verdict") == "disagree"),
+        one(every, GRID_FACULTY, F.col("outcome") == "one", F.coalesce(F.col("outcome") == "several", no)),
+        one(R.unknown_rows(slashes, known).withColumn("code", F.lit("")), SLASH_FACULTY, no, no)])
+    faculties = fixed_frame(lines.sparkSession, [(f,) for f in (*MARKER_FACULTIES, CODE_FACULTY, GRID_FACULTY, SLASH_FACULTY, ROOMLESS_FACULTY)], "faculty string")
+    stats = faculties.join(stats, "faculty", "left").na.fill(0)
     reported = [f for f, (_, r) in MARKER_FACULTIES.items() if r]
     lost = matched.where(F.col("code").isNull() & ~F.col("ambiguous") & F.col("faculty").isin(reported))
-    slashes = R.slash_title_rows(lines.where(F.col("faculty") == SLASH_FACULTY))
     titles = _union([R.missing_titles(lost, known), R.missing_titles(slashes, known, clean=F.col("title"))])
     codes = R.unknown_code_rows(found, courses).select(
         F.lit("").alias("title"), "code", F.lit("").alias("room"), F.lit(CODE_FACULTY).alias("faculty"), "file", "season")

@@ -36,8 +36,12 @@ def header_mapped_cells(spark, d):
     return P.header_rows(cell_rows(spark, d), ["o_custkey"], wanted=WANT, needed=["code", "price"])
 
 
-@query("""SELECT o_orderkey // 50 AS page, '2' || lpad(o_orderkey::VARCHAR, 7, '0') AS code, 'T' || o_orderkey AS title,
-left(o_orderpriority, 1) AS room, o_orderstatus AS term FROM orders WHERE o_orderkey % 4 > 0 OR o_orderkey % 8 = 0""")
+@query("""WITH o AS (SELECT o_orderkey // 50 AS page, o_orderkey AS k, '2' || lpad(o_orderkey::VARCHAR, 7, '0') AS full_code, 'T' || o_orderkey AS title,
+  left(o_orderpriority, 1) AS room, o_orderstatus AS term FROM orders),
+l AS (SELECT page, full_code, full_code || ' ' || CASE WHEN k % 8 = 4 THEN 'other' ELSE title END || ' ; ' || term || ' ' || room AS line FROM o),
+f AS (SELECT o.k, min(l.full_code) AS code FROM o JOIN l ON l.page = o.page AND contains(l.line, o.title) AND contains(l.line, o.room) AND contains(l.line, o.term)
+  WHERE o.k % 4 = 0 GROUP BY o.k HAVING min(l.full_code) = max(l.full_code))
+SELECT page, full_code AS code, title, room, term FROM o WHERE k % 4 > 0 UNION ALL SELECT page, f.code, title, room, term FROM o JOIN f USING (k)""")
 def recover_codes(spark, d):
     """Rows that lost their code take it from the page's text, when one line fits."""
     k = F.col("o_orderkey")
