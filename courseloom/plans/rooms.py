@@ -11,6 +11,7 @@ from courseloom import values as V
 from courseloom.functions import names as N
 from courseloom.operators import resolve as R
 from courseloom.session import fixed_frame
+from courseloom.sources import pages as P
 
 # faculty -> (room pattern, are unmatched titles reported)
 MARKER_FACULTIES = {"教育学部": ("bracket", True), "理学部": ("science", False), "法学部": ("law", True),
@@ -29,6 +30,26 @@ def marker_matches(lines: DataFrame, courses: DataFrame) -> DataFrame:
     return R.match_mentions(_union(found), courses)
 
 
+def sessions(cells: DataFrame) -> DataFrame:
+    """Sessions of the wide grid: first page spring, second autumn, repeated ones united.
+
+    ``cells``: page, table_no, row_no, cells. ``row_id`` is the place of the first sighting.
+    """
+    grid = P.wide_grid(P.largest_table(cells, ["page"]), ["page", "table_no"])
+    grid = grid.withColumn("term", F.when(F.col("page") == 1, "前期").otherwise("後期"))
+    grid = grid.withColumn("instructor", F.btrim("instructor", F.lit("（）()")))
+    grid = grid.withColumn("row_id", (F.col("page") * 1000000 + F.col("row_no")) * 10 + F.col("period"))
+    slot = F.struct("weekday", F.col("period").cast("string").alias("period"))
+    out = P.merge_sessions(grid, ["term", "title", "room", "instructor"], slot, ["row_id"], ["grade"])
+    first = grid.groupBy("term", "title", "room", "instructor").agg(F.min("row_id").alias("row_id"))
+    out = out.join(first, ["term", "title", "room", "instructor"])
+    basic = F.startswith("grade", F.lit("【基"))
+    return out.select("row_id", "title", "term", "room", "slots",
+                      F.filter(F.array("instructor"), lambda x: x != "").alias("instructors"),
+                      F.when(F.startswith("grade", F.lit("【")), "").otherwise(F.col("grade")).alias("target_grade"),
+                      F.when(basic, "専攻教育科目").otherwise("").alias("category"))
+
+
 def grid_rooms(sessions: DataFrame, courses: DataFrame) -> DataFrame:
     """Grid sessions (title, term, room, slots, instructors) matched by name, slot, teacher."""
     from courseloom.functions.fields import season

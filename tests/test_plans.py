@@ -68,3 +68,23 @@ def test_landed_pages_to_bodies(spark):
     assert got["a"].body == "科目名称\n統計\n更新日付\n2026-03-01 10:00:00" and got["a"].layout == "A" and got["a"].updated_at == "2026-03-01 10:00:00"
     assert [r.k for r in PG.quality_failures(raw, ["k"]).collect()] == ["b"]
     assert raw.where(F.sha2("body", 256) != F.col("body_sha256")).isEmpty()
+
+
+def test_grid_sessions(spark):
+    def row(day, *cells):
+        out = [day, "x"] + [""] * 24
+        for p, four in cells:
+            out[2 + 5 * (p - 1):6 + 5 * (p - 1)] = four
+        return out
+
+    one = ["2年", "経済学 演習", "D-103", "（林）"]
+    cells = spark.createDataFrame([
+        (1, 0, 0, ["small"]), (1, 1, 0, row("", (1, ["1年", "before any day", "", ""]))), (1, 1, 1, row("月曜", (2, one))),
+        (1, 1, 2, row("", (3, one), (1, ["【基】", "入門", "", ""]))), (2, 0, 0, row("火", (2, one)))],
+        "page int, table_no int, row_no int, cells array<string>")
+    got = {(r.term, r.title): r for r in RM.sessions(cells).collect()}
+    assert set(got) == {("前期", "経済学 演習"), ("前期", "入門"), ("後期", "経済学 演習")}
+    r = got["前期", "経済学 演習"]
+    assert [tuple(s) for s in r.slots] == [("月", "2"), ("月", "3")] and r.instructors == ["林"] and r.target_grade == "2年"
+    r = got["前期", "入門"]
+    assert (r.category, r.target_grade, r.instructors, [tuple(s) for s in r.slots]) == ("専攻教育科目", "", [], [("月", "1")])
