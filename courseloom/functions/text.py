@@ -122,17 +122,27 @@ def exploded(df: DataFrame, keep: list, array: Column, item: str, pos: str | Non
     return rows if pos else rows.drop("_at")
 
 
-@F.arrow_udf(StringType())
-def nfkc(values: pa.Array) -> pa.Array:
+def _nfkc_udf():
+    # an inner function travels to the executors by value: they need not have this package
+    def normalise(values: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(values)).as_py() is not False:
+            return values
+        coded = values.dictionary_encode()
+        plain = [unicodedata.normalize("NFKC", v) for v in coded.dictionary.to_pylist()]
+        return pa.array(plain, pa.string()).take(coded.indices)
+
+    return F.arrow_udf(normalise, StringType())
+
+
+_normalise = _nfkc_udf()
+
+
+def nfkc(c: Column | str) -> Column:
     """Unicode NFKC over Arrow batches (Spark has no built-in).
 
     ASCII batches pass as they are; otherwise each distinct value is normalised once.
     """
-    if pc.all(pc.string_is_ascii(values)).as_py() is not False:
-        return values
-    coded = values.dictionary_encode()
-    plain = pa.array([unicodedata.normalize("NFKC", v) for v in coded.dictionary.to_pylist()], pa.string())
-    return plain.take(coded.indices)
+    return _normalise(col(c))
 
 
 def search_key(*parts: Column | str) -> Column:
