@@ -1,4 +1,4 @@
 """The registered queries of this subpackage, with their SQL."""
 
-from courseloom.llm import packing, simhash, tokens  # noqa: F401
+from courseloom.llm import decontaminate, extract, packing, quality, secrets, simhash, tokens, warc  # noqa: F401
 from courseloom.llm.common import QUERIES, SQL  # noqa: F401
