@@ -146,15 +146,15 @@ def clean(docs: DataFrame, items: DataFrame, width: int = SHINGLE, threshold: fl
 SQL_CONTAINED = r"""
 WITH words AS (
   SELECT row_number() OVER () AS row_no, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), w -> w <> '') AS w FROM documents),
+           'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (
-  SELECT DISTINCT row_no, doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s
+  SELECT DISTINCT row_no, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
   FROM words WHERE len(w) >= 5),
 items AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), w -> w <> '') AS w FROM benchmark),
+           'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM benchmark),
 parts AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
   FROM items WHERE len(w) >= 5),
 sizes AS (SELECT item_id, count(*) AS n FROM parts GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment

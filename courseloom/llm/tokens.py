@@ -106,7 +106,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text"
     return docs.select(F.col(text)).mapInArrow(count, "length long")
 
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     is the q-quantile). Null lengths count as 0. An empty input has no row.
 
     The documents are aggregated first, with map-side combining, so the sums run over distinct
-    lengths only. They run in two levels, inside blocks of 1,024 lengths and over the block
+    lengths only. They run in two levels, inside blocks of BLOCK lengths and over the block
     totals, so that no task holds all lengths however long the longest document is.
     """
     counts = step(lengths.groupBy(F.coalesce("length", F.lit(0)).alias("length"))
