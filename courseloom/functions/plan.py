@@ -9,8 +9,8 @@ from courseloom import values as V
 from courseloom.functions.fields import shorten
 from courseloom.functions.text import collapse, half_digits, has, matches_of, pieces, strip, texts_of, tidy_lines
 
-NUMBER_LINE = r"(?mdU)^(\d{1,2})$"
-NUMBER_BEFORE_NUMBER = r"(?mdU)^\d{1,2}\n(?=\d{1,2}$)"
+NUMBER_LINE = r"(?md)^([0-9０-９]{1,2})$"
+NUMBER_BEFORE_NUMBER = r"(?md)^[0-9０-９]{1,2}\n(?=[0-9０-９]{1,2}$)"
 PLAN_ROWS = "array<struct<no:int,theme:string,detail:string>>"
 
 
@@ -59,7 +59,7 @@ def with_plan(df, candidates: list[str], out: str = "pl"):
     df = df.withColumn("_text", F.when(F.col("_best.n") >= 2, F.regexp_replace(text, NUMBER_BEFORE_NUMBER, "")).otherwise(""))
     parts = F.col("_parts")
     df = df.withColumn("_parts", pieces("_text", NUMBER_LINE))
-    df = (df.withColumn("_nos", F.transform(matches_of(parts), lambda n: half_digits(n).cast("int")))
+    df = (df.withColumn("_nos", F.transform(matches_of(parts), lambda n: half_digits(n).try_cast("int")))
           .withColumn("_texts", F.transform(F.slice(texts_of(parts), F.lit(2), F.size(parts)),
                                             lambda t: F.btrim(t, F.lit("\n")))))
     rises = (F.get("_nos", 0) == 1) & (F.array_sort(F.array_distinct("_nos")) == F.col("_nos"))

@@ -1,6 +1,6 @@
 """Which dictionary names occur in which texts, as equi-joins instead of all pairs.
 
-Step 1 meets each position's n-gram with the distinct (n-gram, name length) pairs of the
+Step 1 meets the hash of each position's n-gram with the distinct (hash, name length) pairs of the
 dictionary, however many names share the n-gram. Step 2 reads the surviving positions'
 full substrings and meets them with the names themselves. No step pairs a text with a name
 it does not contain, and a hot n-gram costs one row per position and distinct length.
@@ -15,22 +15,42 @@ from courseloom import values as V
 from courseloom.functions.text import exploded
 
 
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def _grams(text: Column, gram: int) -> Column:
+    """(head, start) of the n-grams at all code points of a text.
+
+    A look-ahead match counts UTF-16 units, which are code points unless the text has
+    characters beyond the basic plane; such a text is cut into its code points first.
+    """
+    plain = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
+    cut = F.get(F.transform(F.array(F.split(text, "")), lambda cs: F.when(F.size(cs) >= gram, F.transform(
+        F.sequence(F.lit(1), F.size(cs) - gram + 1), lambda p: F.array_join(F.slice(cs, p, gram), "")))), 0)
+    found = F.when(F.regexp_like(text, F.lit(ASTRAL)), cut).otherwise(plain)
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")),
+                       lambda g, i: F.struct(F.xxhash64(F.lit(gram), g).alias("head"), i.alias("start")))
+
+
 def occurrences(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str,
-                gram: int = V.MIN_NAME, min_length: int | None = None) -> DataFrame:
-    """(keys, name, start, stop, n) of every occurrence; positions count from 0.
+                grams: tuple[int, ...] = (V.MIN_NAME,)) -> DataFrame:
+    """(keys, name, start, stop, n) of every occurrence; positions count code points from 0.
 
-    ``gram`` is at most the shortest name's length; shorter names are not searched.
-    Texts are deduplicated before their positions are spread, names are taken once each.
+    A name is searched by the longest of ``grams`` that it fills; names shorter than the least
+    of them are not searched, so the least is the shortest name asked for. Texts are
+    deduplicated before their positions are spread, names are taken once each.
     """
-    least = max(min_length or gram, gram)
-    words = names.select(F.col(name).alias("name")).where(F.length(name) >= least).distinct()
+    grams = tuple(sorted(grams))
+    words = names.select(F.col(name).alias("name")).where(F.length(name) >= grams[0]).distinct()
     words = words.withColumn("size", F.length("name"))
-    heads = words.select(F.substring("name", 1, gram).alias("gram"), "size").distinct()
+    mine = F.lit(grams[0])
+    for g in grams[1:]:
+        mine = F.when(F.col("size") >= g, g).otherwise(mine)
+    heads = words.withColumn("g", mine).select(F.xxhash64("g", F.expr("substring(name, 1, g)")).alias("head"), "size").distinct()
 
-    bodies = texts.select(*keys, F.col(text).alias("_text")).where(F.length("_text") >= least)
-    pattern = f"(?s)(?=(.{{{gram}}}))"
-    spots = exploded(bodies, keys, F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)), "gram", "start")
-    hits = spots.join(heads, "gram").select(*keys, "start", "size")
+    bodies = texts.select(*keys, F.col(text).alias("_text")).where(F.length("_text") >= grams[0])
+    spots = exploded(bodies, keys, F.concat(*[_grams(F.col("_text"), g) for g in grams]), "_s")
+    hits = spots.select(*keys, "_s.head", "_s.start").join(heads, "head").select(*keys, "start", "size").distinct()
     full = (bodies.join(hits, keys)
             .select(*keys, "start", "size", F.length("_text").alias("n"),
                     F.substring(F.col("_text"), F.col("start") + 1, F.col("size")).alias("name")))
@@ -55,6 +75,6 @@ def contains_known(titles: DataFrame, title: str, known: DataFrame, name: str,
     """
     t = titles.select(F.col(title).alias("title")).distinct()
     k = known.select(F.col(name).alias("known")).distinct()
-    inside = occurrences(k, ["known"], "known", t, "title", gram=part_min).select(F.col("name").alias("title"))
+    inside = occurrences(k, ["known"], "known", t, "title", (part_min,)).select(F.col("name").alias("title"))
     equal = t.join(k, t["title"] == k["known"], "left_semi")
     return inside.union(equal).distinct()

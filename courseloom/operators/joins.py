@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["university_id", "year", "course_code"]
-PAGE = 4096
 
 
 def inner_all(first: DataFrame, *others: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -40,18 +39,25 @@ def guarded(left: DataFrame, lookup: DataFrame, key: list[str], left_hash: str,
     return left.join(r, cond, "left").select(left["*"], r[out])
 
 
-def nest(children: DataFrame, key: list[str], order: list[str], item: Column, out: str = "items",
-         page: int = PAGE) -> DataFrame:
-    """Ordered child list per parent, in pages of at most ``page`` children.
+def nest(children: DataFrame, key: list[str], order: list[str], item: Column, out: str = "items") -> DataFrame:
+    """One ordered child list per parent, as long as the parent has children.
 
-    The first order column is the child's sequence number, unique within its parent. A
-    common parent has one page (page_no 0); a parent with very many children becomes several
-    rows, so no task or cell holds an unbounded list and no child is lost.
+    Only what the list shows is shuffled, and the list is one cell of its parent: for parents
+    whose children don't belong in one cell there is ``nest_pages``.
     """
-    paged = children.withColumn("page_no", F.floor(F.col(order[0]) / F.lit(page)).cast("int"))
     packed = F.struct(*[F.col(o).alias(f"_{i}") for i, o in enumerate(order)], item.alias("v"))
-    return (paged.groupBy(*key, "page_no").agg(F.array_sort(F.collect_list(packed)).alias("_all"))
-            .select(*key, "page_no", F.transform("_all", lambda x: x["v"]).alias(out)))
+    return (children.groupBy(*key).agg(F.array_sort(F.collect_list(packed)).alias("_all"))
+            .select(*key, F.transform("_all", lambda x: x["v"]).alias(out)))
+
+
+def nest_pages(children: DataFrame, key: list[str], order: list[str], item: Column, page: int, out: str = "items") -> DataFrame:
+    """Child lists in pages of at most ``page`` sequence numbers, for output that is paged itself:
+    one row per parent and page_no, never joined back as if it were one.
+
+    The first order column is the child's sequence number, unique within its parent.
+    """
+    paged = children.withColumn("page_no", F.floor(F.col(order[0]) / F.lit(page)).cast("int"))
+    return nest(paged, [*key, "page_no"], order, item, out)
 
 
 def with_children(parents: DataFrame, nested: DataFrame, key: list[str], out: str, item_type: str) -> DataFrame:

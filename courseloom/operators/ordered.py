@@ -22,6 +22,17 @@ def _before(keys) -> Window:
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _carried(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the carry of their chunk. NULL is a key like any other, and so is a NULL position,
+    whose rows form a chunk of their own before all others."""
+    on = None
+    right = summary.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate([*keys, "_chunk"])], "_carry")
+    for i, k in enumerate([*keys, "_chunk"]):
+        same = df[k].eqNullSafe(right[f"_r{i}"])
+        on = same if on is None else on & same
+    return df.join(right, on).drop(*[f"_r{i}" for i in range(len(keys) + 1)])
+
+
 def running_count(df: DataFrame, keys: list[str], pos: str, flag: Column, out: str, chunk: int = CHUNK) -> DataFrame:
     """How many flagged rows stand at or before each row of its key.
 
@@ -31,7 +42,7 @@ def running_count(df: DataFrame, keys: list[str], pos: str, flag: Column, out: s
     sums = df.groupBy(*keys, "_chunk").agg(F.sum("_flag").alias("_n"))
     sums = sums.withColumn("_carry", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")
     here = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.join(sums, [*keys, "_chunk"])
+    return (_carried(df, sums, keys)
             .withColumn(out, F.col("_carry") + F.sum("_flag").over(here)).drop("_flag", "_carry", "_chunk"))
 
 
@@ -44,7 +55,7 @@ def fill_down(df: DataFrame, keys: list[str], pos: str, value: Column, out: str,
     every = every.withColumn("_carry", F.last("_last", ignorenulls=True).over(_before(keys))["v"]).drop("_last")
     here = (Window.partitionBy(*keys, "_chunk").orderBy(pos)
             .rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
-    return (df.join(every, [*keys, "_chunk"])
+    return (_carried(df, every, keys)
             .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(here), F.col("_carry")))
             .drop("_value", "_carry", "_chunk"))
 

@@ -79,7 +79,7 @@ def mentions(lines: DataFrame, pattern: str) -> DataFrame:
 def _named(rows: DataFrame, text: str, out: str, view: DataFrame, gram: int, tail_only: bool) -> DataFrame:
     """Best dictionary name inside each distinct (faculty, season, text)."""
     wanted = rows.select(*VIEW, text).where(F.length(text) >= gram).distinct()
-    found = occurrences(wanted.select(text).distinct(), [text], text, view, "name", gram)
+    found = occurrences(wanted.select(text).distinct(), [text], text, view, "name", (gram,))
     near = nearest_name(wanted.join(found, text).join(view, [*VIEW, "name"], "left_semi"), [*VIEW, text], tail_only)
     return near.select(*VIEW, text, F.col("name").alias(out))
 

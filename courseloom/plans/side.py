@@ -29,7 +29,7 @@ def _context(row: Column) -> Column:
     wide = F.size(vals) >= 2
     is_room = lambda v: F.regexp_like(v, F.lit(V.SIDE_ROOM))
     ending = F.regexp_replace(_last(vals, lambda v: is_room(v) | v.endswith("教室")), r"\s*教室\z", "")
-    inside = F.regexp_replace(_last(F.slice(vals, 3, 100), lambda v: is_room(v) | v.contains("教室") | v.contains("講義室")),
+    inside = F.regexp_replace(_last(F.slice(vals, F.lit(3), F.greatest(F.size(vals), F.lit(1))), lambda v: is_room(v) | v.contains("教室") | v.contains("講義室")),
                               r"\s*(教室|講義室)\z", "")
     return F.struct(F.when(wide, F.nullif(F.get(vals, 0), F.lit(""))).alias("dept"),
                     F.when(wide, F.nullif(F.get(vals, 1), F.lit(""))).alias("inst"),
@@ -85,7 +85,7 @@ def course_pages(pages: DataFrame, html: str = "html", num: str = "num") -> Data
     plan_rows = F.regexp_extract_all(g(V.SIDE_PLAN), F.lit(V.SIDE_ROW), F.lit(1))
     vals = F.transform(plan_rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(V.TABLE_CELL), F.lit(1)), flat_text))
     vals = F.filter(vals, lambda v: (F.size(v) > 0) & ~F.exists(v, lambda x: x.startswith("進度")))
-    body = F.filter(F.transform(vals, lambda v: F.get(F.filter(F.slice(v, 2, 1000), lambda x: F.length(x) > 1), 0)), lambda b: b.isNotNull())
+    body = F.filter(F.transform(vals, lambda v: F.get(F.filter(F.slice(v, F.lit(2), F.greatest(F.size(v), F.lit(1))), lambda x: F.length(x) > 1), 0)), lambda b: b.isNotNull())
     right = F.array_join("_right", " ")
     left = F.array_join("_left", " ")
     room_end = pick("_right", lambda x: x.endswith("教室") & ~x.startswith("伊都"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -52,6 +53,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; what is in it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/courseloom/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:             # a stopped session can't reach the store any more
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few files to all cores; a scan with enough splits is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -73,6 +92,6 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     cost nothing but their tasks, and the planner knows the table's real size: it broadcasts
     a small one and shuffles a large one.
     """
-    path = f"{shared_folder(df.sparkSession)}/courseloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -75,16 +75,17 @@ def recover_codes(rows: DataFrame, lines: DataFrame, page: list[str], code: str,
     """
     ok = F.regexp_like(F.col(code), F.lit(V.CELL_CODE))
     good = rows.where(ok)
-    lost = rows.where(~ok).where(F.col(title) != "").withColumn("_row", F.xxhash64(*rows.columns))
+    lost = rows.where(~ok).where(F.col(title) != "")
+    asked = [*page, title, room, term]                  # what a line is compared with; rows alike in it share their answer
     coded = lines.select(*page, "line", F.regexp_extract("line", "(?U)" + V.LINE_CODE, 1).alias("_code")).where("_code <> ''")
-    heads = F.array_distinct(F.regexp_extract_all("line", F.lit("(?s)(?=(.{4}))"), F.lit(1)))
+    heads = F.array_distinct(F.regexp_extract_all("line", F.lit("(?s)(?=(.{1,4}))"), F.lit(1)))
+    heads = F.array_distinct(F.flatten(F.transform(heads, lambda h: F.array(*[F.left(h, F.lit(n)) for n in (1, 2, 3, 4)]))))
     spots = exploded(coded, [*page, "line", "_code"], heads, "_head")
     fits = F.contains("line", F.col(title)) & F.contains("line", F.col(room)) & F.contains("line", F.col(term))
-    long = lost.where(F.length(title) >= 4).withColumn("_head", F.substring(title, 1, 4)).join(spots, [*page, "_head"])
-    short = lost.where(F.length(title) < 4).join(coded, page)          # a page has few lines
-    pairs = [x.where(fits).select("_row", "_code") for x in (long, short)]
-    found = pairs[0].union(pairs[1]).groupBy("_row").agg(F.min("_code").alias("_lo"), F.max("_code").alias("_hi"))
-    back = (lost.join(found.where("_lo = _hi"), "_row").withColumn(code, F.col("_lo")).select(*rows.columns))
+    wanted = lost.select(*asked).distinct().withColumn("_head", F.substring(title, 1, 4))
+    found = (wanted.join(spots, [*page, "_head"]).where(fits).groupBy(*asked)
+             .agg(F.min("_code").alias("_lo"), F.max("_code").alias("_hi")).where("_lo = _hi"))
+    back = lost.join(found, asked).withColumn(code, F.col("_lo")).select(*rows.columns)
     return good.unionByName(back)
 
 
@@ -138,16 +139,17 @@ def consolidate(rows: DataFrame, key: str, order: list[str], fields: dict[str, s
 
 def optional(spark: SparkSession, path: str, schema: str, what: str, how: str = "") -> tuple[DataFrame, DataFrame]:
     """A side file and a quality row: a missing file gives an empty table and a warning."""
-    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
 
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
     try:
-        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    except Py4JJavaError:
+        found = spark.read.schema(schema).json(path)
+        there = True
+    except AnalysisException as e:                      # any other fault of the store is the caller's to see
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         there = False
     if there:
-        return spark.read.schema(schema).json(path), spark.createDataFrame([], "problem string, path string, hint string")
+        return found, spark.createDataFrame([], "problem string, path string, hint string")
     return (spark.createDataFrame([], schema),
             spark.createDataFrame([(f"missing: {what}", path, how)], "problem string, path string, hint string"))
 

@@ -56,12 +56,12 @@ def child_concat(spark, d):
     return rows.select("o_orderkey", F.array_join("items", " ").alias("slots"))
 
 
-@query("WITH " + LINES + """ SELECT l_orderkey, 0 AS page_no, count(*)::INT AS n_items, string_agg(l_linenumber || ':' || code || ':' || quantity, ',' ORDER BY l_linenumber) AS items
+@query("WITH " + LINES + """ SELECT l_orderkey, count(*)::INT AS n_items, string_agg(l_linenumber || ':' || code || ':' || quantity, ',' ORDER BY l_linenumber) AS items
 FROM lines GROUP BY 1""")
 def nest_children(spark, d):
     item = F.concat_ws(":", "l_linenumber", "code", "quantity")
     n = J.nest(order_lines(spark, d), ["l_orderkey"], ["l_linenumber"], item)
-    return n.select("l_orderkey", "page_no", F.size("items").alias("n_items"), F.array_join("items", ",").alias("items"))
+    return n.select("l_orderkey", F.size("items").alias("n_items"), F.array_join("items", ",").alias("items"))
 
 
 @query("""SELECT 'orders' AS key, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents

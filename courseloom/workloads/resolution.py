@@ -11,7 +11,7 @@ from courseloom.operators import resolve as R
 from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
-PASSAGE_GRAM = 32          # passages are far longer; a longer n-gram keeps candidates few
+PASSAGE_GRAMS = (1, 8, 32)  # passages are mostly longer; the longer n-gram keeps candidates few
 TEACHERS = ["山田", "西", "西村", "上田", "高橋"]
 GIVEN = ["太郎", "英昭", "友海", "竹志", "花子"]
 
@@ -22,7 +22,7 @@ def pick(items, at):
 
 def passages(spark, d):
     docs, items = wide(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark")
-    return CT.occurrences(docs.select("doc_id", "text"), ["doc_id"], "text", items, "text", PASSAGE_GRAM)
+    return CT.occurrences(docs.select("doc_id", "text"), ["doc_id"], "text", items, "text", PASSAGE_GRAMS)
 
 
 @query("""SELECT d.doc_id, b.item_id, length(d.text) - strpos(reverse(d.text), reverse(b.text)) + 1 AS stop FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")

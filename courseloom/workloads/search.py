@@ -135,21 +135,20 @@ def credit_totals(spark, d):
     return FC.credit_totals(cat, ["f", "season"], "cr")
 
 
-@query("""SELECT o_custkey, (o_orderkey // 4096)::BIGINT AS page, string_agg(o_orderkey, '.' ORDER BY o_orderkey::VARCHAR) AS share FROM orders GROUP BY 1, 2""")
+@query("""SELECT o_custkey, string_agg(o_orderkey, '.' ORDER BY o_orderkey::VARCHAR) AS share FROM orders GROUP BY 1""")
 def share_text(spark, d):
-    """Codes of a list joined to a link text, at most 4096 of them in one text."""
-    o = table(spark, d, "orders").select("o_custkey", F.floor(F.col("o_orderkey") / 4096).alias("page"), F.col("o_orderkey").cast("string").alias("code"))
-    return FC.share_text(o, ["o_custkey", "page"], "code")
+    """Codes of a list joined to a link text, one per owner."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("code"))
+    return FC.share_text(o, ["o_custkey"], "code")
 
 
-@query(r"""WITH w AS (SELECT doc_id, lang, string_split(string_split(text, chr(10))[1], ' ') AS ws FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, lang, regexp_split_to_array(text, '[ \n]') AS ws FROM documents),
 e AS (SELECT doc_id, lang, unnest(ws) AS m, generate_subscripts(ws, 1) AS i FROM w),
 u AS (SELECT doc_id, lang, m, min(i) AS i FROM e GROUP BY 1, 2, 3), k AS (SELECT lang, m FROM u GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT d.doc_id, string_agg(k.m, ' ' ORDER BY i) AS words FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN k ON k.lang = u.lang AND k.m = u.m GROUP BY 1""")
 def prune_rare_pairs(spark, d):
-    """List members that fewer than 5 rows of the group carry are dropped."""
-    words = F.array_distinct(F.split(F.get(F.split("text", "\n"), 0), " "))
-    docs = table(spark, d, "documents").select("doc_id", "lang", words.alias("words"))
+    """List members that fewer than 5 rows of the group carry are dropped; the lists are whole texts."""
+    docs = wide(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.array_distinct(F.split("text", "[ \n]")).alias("words"))
     return FC.prune_rare(docs, "doc_id", "lang", "words").select("doc_id", F.array_join("words", " ").alias("words"))
 
 
