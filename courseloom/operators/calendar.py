@@ -21,7 +21,7 @@ def calendar_frames(spark: SparkSession) -> dict[str, DataFrame]:
     day = lambda df, *cols: df.select(*[F.col(c).cast("date").alias(c) if c in cols else F.col(c) for c in df.columns])
     return {
         "terms": day(fixed_frame(spark, V.CALENDAR_TERMS, "year int, faculty string, term string, start string, end string"), "start", "end"),
-        "closed": day(fixed_frame(spark, V.CALENDAR_CLOSED, "year int, faculty string, first string, last string, reason string, op string"), "first", "last"),
+        "closed": day(fixed_frame(spark, V.CALENDAR_CLOSED, "year int, faculty string, first string, last string, op string"), "first", "last"),
         "swap": day(fixed_frame(spark, V.CALENDAR_SWAP, "year int, faculty string, date string, weekday string, op string"), "date"),
         "extra": day(fixed_frame(spark, V.CALENDAR_EXTRA, "year int, faculty string, term string, date string"), "date"),
     }
@@ -124,11 +124,17 @@ def period_frame(spark: SparkSession) -> DataFrame:
                        "period string, starts string, ends string")
 
 
-def site_calendar(frames: dict[str, DataFrame], year: int, verified: DataFrame, notes: DataFrame) -> DataFrame:
-    """Calendar payload rows of a year: days per calendar, with note and verified flag."""
+def site_calendar(frames: dict[str, DataFrame], year: int, same: DataFrame, notes: DataFrame) -> dict[str, DataFrame]:
+    """Calendar payload of a year, as tables.
+
+    ``days``: the class days of every calendar (the common one is the faculty ""). ``checked``: the
+    faculties whose own schedule was read, those that follow the common calendar (``differs`` is
+    false) and those with differences and their note. Without a calendar for the year both are empty.
+    """
     days = class_days(frames).where(F.col("year") == year)
     rows = days.groupBy("year", "faculty", "term", "weekday").agg(F.array_sort(F.collect_set("date")).alias("dates"))
-    v = verified.where(F.col("year") == year).select("faculty", F.lit(True).alias("verified"))
-    n = notes.where(F.col("year") == year).select("faculty", "note")
-    return (rows.join(n, "faculty", "left").join(v, "faculty", "left")
-            .withColumn("verified", F.coalesce("verified", F.col("note").isNotNull())))
+    own = calendars(frames).where(F.col("faculty") != BASE).join(notes, ["year", "faculty"], "full")
+    said = own.select("year", "faculty", F.lit(True).alias("differs"), F.coalesce("note", F.lit("")).alias("note"))
+    plain = same.select("year", "faculty", F.lit(False).alias("differs"), F.lit("").alias("note")).join(said, ["year", "faculty"], "left_anti")
+    there = days.select("year").distinct()
+    return {"days": rows, "checked": said.union(plain).where(F.col("year") == year).join(there, "year", "left_semi").distinct()}

@@ -22,7 +22,7 @@ def frames(spark, d):
     own = o.where("o_orderstatus = 'F'").groupBy("year", "term").agg(*span).select("year", L("F").alias("faculty"), "term", "start", "end")
     days = o.groupBy("year", "date").agg(F.count("*").alias("n"))
     quiet, busy = F.col("n") <= 3, F.col("n") >= 11
-    closed = lambda cond, fac, op: days.where(cond).select("year", fac.alias("faculty"), F.col("date").alias("first"), F.col("date").alias("last"), L("").alias("reason"), L(op).alias("op"))
+    closed = lambda cond, fac, op: days.where(cond).select("year", fac.alias("faculty"), F.col("date").alias("first"), F.col("date").alias("last"), L(op).alias("op"))
     swap = lambda cond, fac, w, op: days.where(cond).select("year", fac.alias("faculty"), "date", L(w).alias("weekday"), L(op).alias("op"))
     may = F.month("date") == 5
     return {

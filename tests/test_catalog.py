@@ -15,34 +15,23 @@ from courseloom.plans import extraction as X
 from courseloom.sources import pages as PG
 from courseloom.sources import sinks as SK
 
-BODY = """科目名称
-統計入門
-学部カテゴリ
-経済学部
-対象学部等
-学部2年
-対象学年
-2年～5年
-授業科目区分
-（経済工学科）選択必修科目／（経済・経営学科）自由選択科目
-単位数
-2
-開講学期
-春学期
-曜日時限
-春学期 土曜日 ２時限
-授業科目の目的（日本語）
-統計の基礎を学び、データを使って演習するための授業です。
-授業科目の成績評価の方法について
-定期試験
-実施しない。
-小テスト
-30%
-レポート
-70%
-出席
-なし。
-"""
+FIELDS = {"title": "地域調査法", "faculty_cat": "経済学部", "faculty": "学部3年", "target_grade": "3年～4年",
+          "category": "（経済工学科）基礎演習科目／（経済・経営学科）応用科目", "credits": "1", "term": "夏学期", "slots": "夏学期 金曜日 ４時限",
+          "outline": "町を歩いて資料を集め、地図と統計にまとめる方法を身につける。毎回、班ごとに記録を書く。",
+          "grading": "レポート\n60%\n小テスト\n40%\n定期試験\n実施しない。\n出席\nなし。"}
+OUTLINES = {"A": "授業科目の目的（日本語）", "B": "授業概要", "C": "授業概要"}
+
+
+def body_of(layout="A", **changed):
+    """A course page's text in one of the three layouts, label lines from the fixed values."""
+    at, lines = list(V.LAYOUT_LABELS).index(layout), []
+    for name, value in {**FIELDS, **changed}.items():
+        label = OUTLINES[layout] if name == "outline" else V.FIELD_LABELS[name][at]
+        lines += [label, value] if label else []
+    return "\n".join(lines) + "\n"
+
+
+BODY = body_of()
 KEY = ["university_id", "year", "course_code"]
 
 
@@ -62,26 +51,36 @@ def no_runs(spark):
 
 def test_structured_row(spark):
     r = X.structure_rows(raw(spark, ("x", BODY, 2027))).first()
-    assert r.category == "選択必修科目" and "経済・経営学科" in r.category_raw
-    assert [tuple(s) for s in r.sl] == [("春学期", "土", "2")] and r.grades == [2, 3, 4, 5]
+    assert r.category == "基礎演習科目" and "経済・経営学科" in r.category_raw
+    assert [tuple(s) for s in r.sl] == [("夏学期", "金", "4")] and r.grades == [3, 4]
     assert [r.eval_exam, r.eval_report, r.eval_quiz, r.eval_attend] == [0, 1, 1, 0]
-    assert (r.credits, r.is_undergrad, r.term_group, r.faculty, r.faculty_raw) == (2.0, 1, "春学期", "経済学部", "学部2年")
-    assert r.gt == 100.0 and r.gu == ["定期試験", "出席"] and r.d.startswith("統計の基礎")
+    assert (r.credits, r.is_undergrad, r.term_group, r.faculty, r.faculty_raw) == (1.0, 1, "夏学期", "経済学部", "学部3年")
+    assert r.gt == 100.0 and r.gu == ["定期試験", "出席"] and r.d.startswith("町を歩いて")
     assert r.subtitle is None and r.plan is None and r.pl == []
 
 
+@pytest.mark.parametrize("layout", list(V.LAYOUT_LABELS))
+def test_all_layouts(spark, layout):
+    df = raw(spark, ("x", body_of(layout, title="海の地形", term="冬学期", slots="冬学期 水曜日 １時限"), 2027)).withColumn("layout", F.lit(layout))
+    r = X.structure_rows(df).first()
+    assert (r.title, r.term_group, r.credits, r.target_grade) == ("海の地形", "冬学期", 1.0, "3年～4年")
+    assert [tuple(s) for s in r.sl] == [("冬学期", "水", "1")] and r.d.startswith("町を歩いて")
+    assert r.faculty == ("学部3年" if layout == "C" else "経済学部")
+
+
 def test_layouts_with_two_line_labels(spark):
-    body = "講義科目名\n薬学\nその他\n（自由記述欄）\n-\n授業形態\n（内容）\n講義\n授業科目名\nx\n講義科目名\nsecond"
+    two = [x for x in V.LAYOUT_LABELS["B"] if "\n" in x]
+    body = "講義科目名\n古文書\n" + "".join(f"{x}\nよみ{i}\n" for i, x in enumerate(two)) + "授業科目名\nほか\n講義科目名\nあとの題"
     df = raw(spark, ("x", body, 2027)).withColumn("layout", F.lit("B"))
     r = X.structure_rows(df).first()
-    assert r.title == "薬学"
+    assert r.title == "古文書"
     assert X.structure_rows(df.withColumn("layout", F.lit(None).cast("string"))).first().title is None
 
 
 def test_rare_categories_fold(spark):
-    rows = [(f"a{i}", BODY, 2027) for i in range(6)] + [(f"b{i}", BODY.replace("選択必修科目", "希少科目"), 2027) for i in range(5)]
+    rows = [(f"a{i}", BODY, 2027) for i in range(6)] + [(f"b{i}", body_of(category="珍しい科目"), 2027) for i in range(5)]
     got = {r.category: r["count"] for r in X.structure(raw(spark, *rows)).groupBy("category").count().collect()}
-    assert got == {"選択必修科目": 6, "その他": 5}
+    assert got == {"基礎演習科目": 6, "その他": 5}
 
 
 def test_rebuild_replaces_only_its_year(spark, tmp_path):
@@ -103,33 +102,33 @@ def test_freshness_gate(spark):
 
 
 def test_export(spark, tmp_path):
-    r = raw(spark, ("T1", BODY, 2027), ("T2", BODY.replace("統計入門", "=1+1"), 2027))
+    r = raw(spark, ("T1", BODY, 2027), ("T2", body_of(title="=2*3"), 2027))
     s = X.structure_rows(r)
     sha = r.where("course_code = 'T2'").first().body_sha256
     summary = spark.createDataFrame([("u", 2027, "T1", "古い", "old"), ("u", 2027, "T2", "新しい", sha)],
                                     "university_id string, year int, course_code string, summary string, source_sha256 string")
     rows = CAT.export_rows(s, r, summary)
     got = {x.course_code: (x.slots, x.summary) for x in rows.collect()}
-    assert got == {"T1": ("土2", None), "T2": ("土2", "新しい")}
+    assert got == {"T1": ("金4", None), "T2": ("金4", "新しい")}
     SK.write_csv(rows, str(tmp_path / "csv"))
     lines = [x for f in glob.glob(str(tmp_path / "csv" / "*.csv")) for x in csv.reader(open(f, encoding="utf-8-sig"))]
-    assert ["T2", "'=1+1"] == next(x for x in lines if x[0] == "T2")[:2]
+    assert ["T2", "'=2*3"] == next(x for x in lines if x[0] == "T2")[:2]
     SK.write_json(rows, str(tmp_path / "json"))
     js = [json.loads(x) for f in glob.glob(str(tmp_path / "json" / "*.json")) for x in open(f)]
-    assert {x["course_code"]: x["title"] for x in js}["T2"] == "=1+1" and "summary" in js[0]
+    assert {x["course_code"]: x["title"] for x in js}["T2"] == "=2*3" and "summary" in js[0]
     SK.write_csv(rows.where("false"), str(tmp_path / "none"))
     text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(str(tmp_path / "none" / "*.csv")))
     assert text.startswith("﻿") and "course_code" in text and text.count("\n") == 1
 
 
 def test_end_to_end(spark, tmp_path):
-    attack = '"><img src=x onerror=alert(1)><!--<script></script>'
-    r = raw(spark, ("TEST001", BODY.replace("統計入門", "統計入門" + attack), 2027),
-            ("X" + attack, BODY.replace("春学期", "後期").replace("土曜日", "月曜日"), 2027))
+    attack = "</script ><b onclick='x & y'>&lt;"
+    r = raw(spark, ("TEST001", body_of(title="地域調査法" + attack), 2027),
+            ("X" + attack, body_of(term="後期", slots="後期 月曜日 ４時限"), 2027))
     cat = CAT.build(X.structure(r), index(spark, "TEST001", "X" + attack), no_runs(spark), undergrad_only=False).cache()
     meta = CAT.meta(cat, spark.createDataFrame([], "title string"), 2027, False).first()
     assert (meta.year, meta.undergrad_only, meta.n, meta.detail_shards) == (2027, False, 2, 64)
-    assert meta.term_groups == ["春学期", "後期"] and meta.faculties == ["経済学部"] and meta.campuses == []
+    assert meta.term_groups == ["夏学期", "後期"] and meta.faculties == ["経済学部"] and meta.campuses == []
     lists, det = SK.split_details(cat)
     assert not set(V.DETAIL_COLUMNS) & set(lists.columns)
     texts = [x.json for x in SK.payload(lists).collect()]
@@ -138,7 +137,7 @@ def test_end_to_end(spark, tmp_path):
     SK.write_shards(det, str(tmp_path / "details"))
     got = {x.c: (x.shard, json.loads(x.detail)) for x in spark.read.json(str(tmp_path / "details")).collect()}
     shard, detail = got["TEST001"]
-    assert detail["grraw"] == "2年～5年" and 0 <= shard < 64 and "pl" not in detail and "rq" not in detail
+    assert detail["grraw"] == "3年～4年" and 0 <= shard < 64 and "pl" not in detail and "rq" not in detail
     SK.write_document(lists, CAT.meta(cat, spark.createDataFrame([], "title string"), 2027, False), str(tmp_path / "doc"))
     assert spark.read.json(str(tmp_path / "doc" / "courses")).count() == 2
 
@@ -163,7 +162,7 @@ def test_enrichment(spark):
                     rooms=spark.createDataFrame([("a", "D1", "pdf"), ("b", "D2", "pdf")], "c string, room string, source_url string"))
     got = {r.c: (r.rm, r.rmu, r.kl, r.ap, r.apu) for r in cat.collect()}
     assert got == {"a": ("E101", "list", "全学年", {"2026": "○"}, "list"), "b": ("D2", "pdf", None, None, None), "c": (None, None, None, None, None)}
-    found = FC.search(cat, FC.Facets(text="統計　ＡＢ")).count(), FC.search(cat, FC.Facets(text="統計")).count()
+    found = FC.search(cat, FC.Facets(text="地域　ＡＢ")).count(), FC.search(cat, FC.Facets(text="地域")).count()
     assert found == (0, 3)
 
 
