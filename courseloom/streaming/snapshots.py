@@ -1,14 +1,16 @@
 """Streaming form of the snapshot state: change capture, index, daily trend.
 
-The state table holds one small row per key (hashes and dates, not texts). Each micro-batch
-reads version n-1 and writes version n, named by the batch id: repeating a batch after a
-failure rewrites the same folders, so every change is logged exactly once. No table is
-overwritten while it is read.
+The state table holds one small row per key (hashes and dates, not texts), in buckets of the key
+and versions of the bucket. A micro-batch reads the newest version of the buckets that its keys
+fall into and writes a version named by the batch id: buckets it doesn't touch are neither read
+nor written, repeating a batch after a failure rewrites the same folders, so every change is
+logged exactly once, and no table is overwritten while it is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,35 +27,85 @@ def read_snapshots(spark: SparkSession, path: str, schema: str = SNAPSHOT, files
 
 
 def batch_changes(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(change rows, new state) of one batch; several versions of a key are taken in order."""
+    """(change rows, new state of the batch's keys and of those in ``state``) of one batch.
+
+    Several versions of a key are taken in order of ``fetched_at``. Rows that repeat a key and time
+    are one version (of unequal ones the greater hash and date). A version that is not newer than the
+    stored one is late: it is no change and doesn't replace the state, but ``first_seen`` takes the
+    earliest time ever seen. So the state doesn't depend on the order in which snapshots land.
+    """
+    seen = batch.groupBy(*KEY, "fetched_at").agg(F.max(F.struct("body_sha256", "updated_at")).alias("v"))
+    seen = seen.select(*KEY, "v.body_sha256", "v.updated_at", "fetched_at")
+    stored = state.select(*KEY, F.col("fetched_at").alias("_stored"))
+    timely = seen.join(stored, KEY, "left").where("_stored IS NULL OR fetched_at > _stored").drop("_stored")
     known = state.select(*KEY, "body_sha256", "updated_at", "fetched_at", F.lit(True).alias("_old"))
-    rows = known.join(batch.select(*KEY), KEY, "left_semi").unionByName(
-        batch.select(*KEY, "body_sha256", "updated_at", "fetched_at").withColumn("_old", F.lit(False)))
+    rows = known.join(timely.select(*KEY).distinct(), KEY, "left_semi").unionByName(timely.withColumn("_old", F.lit(False)))
     rows = rows.withColumn("_at", F.unix_micros("fetched_at"))
     log = change_history(rows, KEY, "_at", "body_sha256", "updated_at", chunk=3_600_000_000)
-    fresh = batch.select(*KEY, F.unix_micros("fetched_at").alias("_at"), F.col("fetched_at").alias("detected_at"))
+    fresh = timely.select(*KEY, F.unix_micros("fetched_at").alias("_at"), F.col("fetched_at").alias("detected_at"))
     log = log.join(fresh, [*KEY, "_at"]).drop("_at")
-    last = batch.groupBy(*KEY).agg(F.max(F.struct("fetched_at", "body_sha256", "updated_at")).alias("n"), F.min("fetched_at").alias("f"))
+    last = seen.groupBy(*KEY).agg(F.max(F.struct("fetched_at", "body_sha256", "updated_at")).alias("n"), F.min("fetched_at").alias("f"))
+    newer = F.col("n").isNotNull() & (F.col("fetched_at").isNull() | (F.col("n.fetched_at") > F.col("fetched_at")))
     new = state.join(last, KEY, "full").select(
-        *KEY, *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
-                for c in ("body_sha256", "updated_at", "fetched_at")],
-        F.coalesce("first_seen", "f").alias("first_seen"))
+        *KEY, *[F.when(newer, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("body_sha256", "updated_at", "fetched_at")],
+        F.least("first_seen", "f").alias("first_seen"))
     return log, new
 
 
+BUCKETS = 64
+
+
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+
+
+def current_state(spark: SparkSession, state_path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The newest version of each bucket, of versions below ``before``; of some buckets only."""
+    try:
+        state = spark.read.schema(STATE + ", bucket int, v int").parquet(state_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STATE)
+    for wanted in ([F.col("v") < before] if before is not None else []) + ([F.col("bucket").isin(buckets)] if buckets is not None else []):
+        state = state.where(wanted)
+    newest = {r["bucket"]: r["v"] for r in state.groupBy("bucket").agg(F.max("v").alias("v")).collect()}    # at most BUCKETS rows
+    picked = F.lit(False)
+    for bucket, v in newest.items():
+        picked = picked | ((F.col("bucket") == bucket) & (F.col("v") == v))
+    return state.where(picked).drop("bucket", "v")
+
+
 def track_changes(snapshots: DataFrame, state_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
     """Run all landed snapshots through the state; change rows go to one folder per batch."""
     def merge(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        state = s.read.schema(STATE).parquet(f"{state_path}/v={n - 1}") if n > 0 else s.createDataFrame([], STATE)
-        log, new = batch_changes(state, batch)
-        log.write.mode("overwrite").parquet(f"{log_path}/batch={n}")
-        new.write.mode("overwrite").parquet(f"{state_path}/v={n}")
+        batch = batch.persist()                         # read several times below
+        try:
+            touched = [r[0] for r in batch.select(bucket_of()).distinct().collect()]
+            log, new = batch_changes(current_state(s, state_path, n, touched), batch)
+            log.write.mode("overwrite").parquet(f"{log_path}/batch={n}")
+            (new.withColumn("bucket", bucket_of()).withColumn("v", F.lit(n)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(state_path))
+            prune(s, state_path, touched, n)
+        finally:
+            batch.unpersist()
 
     return (snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def prune(spark: SparkSession, state_path: str, buckets: list[int], n: int) -> None:
+    """Delete versions of these buckets that neither batch n nor its repetition can read."""
+    jvm = spark._jvm
+    for bucket in buckets:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{state_path}/bucket={bucket}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        versions = sorted((int(f.getPath().getName()[2:]), f.getPath()) for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        for v, path in [x for x in versions if x[0] < n][:-1]:
+            fs.delete(path, True)
+
+
 def change_trend(log: DataFrame, late: str = "1 day") -> DataFrame:
     """Changes per day and kind, on a stream or a table; late rows up to ``late`` count."""
     return (log.withWatermark("detected_at", late).groupBy(F.window("detected_at", "1 day").alias("w"), "kind")

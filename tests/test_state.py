@@ -94,12 +94,46 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert got == sorted(map(str, batch.select(*cols).collect()))
     kinds = sorted((r.course_code, r.kind) for r in spark.read.parquet(log).collect())
     assert kinds == [("a", "body_only"), ("a", "body_only"), ("a", "new"), ("a", "updated_at"), ("b", "new"), ("c", "body_only"), ("c", "new")]
-    last = {r.course_code: r.body_sha256 for r in spark.read.parquet(f"{state}/v=2").collect()}
+    last = {r.course_code: r.body_sha256 for r in ST.current_state(spark, state).collect()}
     assert last == {"a": "s1", "b": "s1", "c": "s8"}
     one, new = ST.batch_changes(spark.createDataFrame([], ST.STATE), frame(spark, versions()[0]))
     assert one.count() == new.count() == 2
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_state_does_not_depend_on_the_order_of_landing(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("abcd"), f"s{rng.randrange(3)}", f"u{rng.randrange(2)}", dt.datetime(2026, 5, 1, rng.randrange(12))) for _ in range(24)]
+    land, state, log = (str(tmp_path / x) for x in ("land", "state", "log"))
+    for part in range(4):
+        frame(spark, rows[6 * part:6 * part + 6] + rows[:1]).coalesce(1).write.mode("append").parquet(land)
+    query = ST.track_changes(ST.read_snapshots(spark, land, files=1), state, log, str(tmp_path / "ckpt"))
+    query.awaitTermination()
+    assert query.exception() is None
+    got = {r.course_code: (r.fetched_at, r.body_sha256, r.updated_at, r.first_seen) for r in ST.current_state(spark, state).collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        last = max((t, sha, date) for k, sha, date, t in rows if k == c)
+        want[c] = (*last, min(t for k, _, _, t in rows if k == c))
+    for c in want:                                       # versions of one time that land apart: the first to land stays
+        assert got[c][0] == want[c][0] and got[c][3] == want[c][3]
+        assert got[c][1:3] in {(sha, date) for k, sha, date, t in rows if k == c and t == want[c][0]}
+    assert got.keys() == want.keys()
+    kept = {}
+    for path in (tmp_path / "state").glob("bucket=*/v=*"):
+        kept.setdefault(path.parent.name, []).append(path.name)
+    assert all(len(v) <= 2 for v in kept.values())
+
+
+def test_late_and_repeated_snapshots(spark):
+    t = lambda h: dt.datetime(2026, 6, 1, h)
+    state = spark.createDataFrame([("u", 2026, "a", "s2", "u2", t(5), t(4))], ST.STATE)
+    log, new = ST.batch_changes(state, frame(spark, [("a", "s1", "u1", t(3)), ("a", "s2", "u2", t(5)), ("b", "s1", None, t(3)), ("b", "s1", None, t(3))]))
+    assert [(r.course_code, r.kind) for r in log.collect()] == [("b", "new")]
+    got = {r.course_code: (r.body_sha256, r.fetched_at, r.first_seen) for r in new.collect()}
+    assert got == {"a": ("s2", t(5), t(3)), "b": ("s1", t(3), t(3))}
+
+
 def test_changes_of_a_batch(spark):
     state = frame(spark, [("a", "s1", "u1", None), ("b", "s1", "u1", None), ("c", "s1", "u1", None)])
     batch = frame(spark, [("a", "s2", "u2", None), ("b", "s2", "u1", None), ("c", "s1", "u9", None), ("d", "s1", None, None)])
