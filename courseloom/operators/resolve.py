@@ -62,61 +62,74 @@ def page_seasons(lines: DataFrame, defaults: dict[str, str] = V.FILE_SEASON) ->
 def mentions(lines: DataFrame, pattern: str) -> DataFrame:
     """One row per room marker: the text since the previous marker and the previous line.
 
-    ``lines``: faculty, file, line_no (unique in the file), season, line. Rejected markers
-    still end a segment.
+    ``lines``: faculty, file, file_ord (the order in which files are read), line_no (unique in
+    the file), season, line. Rejected markers still end a segment.
     """
     full = lines.where(F.trim("line") != "")
     full = previous_value(full, ["faculty", "file"], "line_no", F.col("line"), "prev")
     rx = "(?U)" + pattern
     texts, rooms = between_matches("line", rx)
     zipped = F.arrays_zip(rooms.alias("room"), F.slice(texts, F.lit(1), F.size(rooms)).alias("seg"))
-    rows = exploded(full, ["faculty", "file", "line_no", "season", "prev"], zipped, "m", "pos")
-    rows = rows.select("faculty", "file", "line_no", "pos", "season", F.coalesce("season", F.lit(ANY)).alias("season_key"),
+    rows = exploded(full, ["faculty", "file", "file_ord", "line_no", "season", "prev"], zipped, "m", "pos")
+    rows = rows.select("faculty", "file", "file_ord", "line_no", "pos", "season", F.coalesce("season", F.lit(ANY)).alias("season_key"),
                        "m.seg", F.coalesce("prev", F.lit("")).alias("prev"), N.clean_room(F.col("m.room")).alias("room"))
     return rows.where(N.is_room("room"))
 
 
-def _named(rows: DataFrame, text: str, out: str, view: DataFrame, gram: int, tail_only: bool) -> DataFrame:
-    """Best dictionary name inside each distinct (faculty, season, text)."""
-    wanted = rows.select(*VIEW, text).where(F.length(text) >= gram).distinct()
-    found = occurrences(wanted.select(text).distinct(), [text], text, view, "name", (gram,))
-    near = nearest_name(wanted.join(found, text).join(view, [*VIEW, "name"], "left_semi"), [*VIEW, text], tail_only)
-    return near.select(*VIEW, text, F.col("name").alias(out))
+def _named(rows: DataFrame, text: str, kind: str, view: DataFrame, gram: int, tail_only: bool) -> DataFrame:
+    """Best dictionary name inside each distinct (faculty, season, text): VIEW, kind, text, name."""
+    wanted = rows.select(*VIEW, F.col(text).alias("text")).where(F.length("text") >= gram).distinct()
+    found = occurrences(wanted.select("text").distinct(), ["text"], "text", view, "name", (gram,))
+    near = nearest_name(wanted.join(found, "text").join(view, [*VIEW, "name"], "left_semi"), [*VIEW, "text"], tail_only)
+    return near.select(*VIEW, F.lit(kind).alias("kind"), "text", "name")
 
 
 def match_mentions(rows: DataFrame, courses: DataFrame, gram: int = V.MIN_NAME, tail_only: bool = False) -> DataFrame:
     """Add code (matched), ambiguous (several courses of that name), title (as read).
 
-    Four steps, the first that answers wins: a name inside the segment; a name at the end of
-    the previous line; the title read from the segment, also without its first words; the
-    teacher at the segment's end. All are left joins on aggregated dictionary keys.
+    The first that answers wins: a name inside the segment; a name at the end of the previous
+    line; the title read from the segment, also without its first words; the teacher at the
+    segment's end. All but the last are one join: each mention asks with up to five texts, ranked,
+    texts that are empty don't ask, and the least rank that is answered counts.
     """
     view = written(by_view(dictionary(courses)).select(*VIEW, "name", "code", "instructors"), "names")
     here = _span(view, [*VIEW, "name"], "c")
     rows = (rows.withColumn("seg_key", N.match_key("seg")).withColumn("prev_key", N.match_key("prev"))
             .withColumn("title", N.guess_title("seg")))
-    for i, cand in enumerate(N.title_candidates(F.col("title"))):
+    guesses = N.title_candidates(F.col("title"))
+    for i, cand in enumerate(guesses):
         rows = rows.withColumn(f"_w{i}", cand)
-    # read four times below
-    rows = written(rows.select("*", *[N.match_key(f"_w{i}").alias(f"_k{i}") for i in range(3)]), "mentions")
+    # read several times below
+    rows = written(rows.select("*", *[N.match_key(f"_w{i}").alias(f"_k{i}") for i in range(len(guesses))]), "mentions")
     names = here.select(*VIEW, "name")
-    rows = rows.join(_named(rows, "seg_key", "_a", names, gram, tail_only), [*VIEW, "seg_key"], "left")
-    rows = rows.join(_named(rows, "prev_key", "_b", names, gram, True), [*VIEW, "prev_key"], "left")
-    for i in range(3):
-        exact = names.select(*VIEW, F.col("name").alias(f"_k{i}"), F.lit(True).alias(f"_in{i}"))
-        rows = rows.join(exact, [*VIEW, f"_k{i}"], "left")
-    guessed = F.coalesce(*[F.when(F.col(f"_in{i}"), F.col(f"_k{i}")) for i in range(3)])
-    shown = F.coalesce(*[F.when(F.col(f"_in{i}"), F.col(f"_w{i}")) for i in range(3)], F.col("title"))
-    rows = rows.withColumn("name", F.coalesce("_a", "_b", guessed)).withColumn("title", F.when(
-        F.coalesce("_a", "_b").isNotNull(), "").otherwise(shown))
-    rows = rows.join(here, [*VIEW, "name"], "left")
+    asks = [("seg", "seg_key"), ("prev", "prev_key"), *[("exact", f"_k{i}") for i in range(len(guesses))]]
+    asked = rows.select(*MENTION, *VIEW, F.inline(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), F.col(c).alias("text"))
+                                                          for i, (kind, c) in enumerate(asks)]))).where("text <> ''")
+    answers = _named(rows, "seg_key", "seg", names, gram, tail_only).union(_named(rows, "prev_key", "prev", names, gram, True)).union(
+        names.select(*VIEW, F.lit("exact").alias("kind"), F.col("name").alias("text"), "name"))
+    best = asked.join(answers, [*VIEW, "kind", "text"]).groupBy(*MENTION).agg(F.min(F.struct("rank", "name")).alias("_b"))
+    rows = rows.join(best, MENTION, "left").withColumn("name", F.col("_b.name"))
+    shown = F.when(F.col("_b").isNull(), F.col("title")).when(F.col("_b.rank") < 2, "")
+    for i in range(len(guesses)):
+        shown = shown.when(F.col("_b.rank") == i + 2, F.col(f"_w{i}"))
+    rows = rows.withColumn("title", shown).withColumn("name", _own_if_null("name"))
+    rows = rows.join(here, [*VIEW, "name"], "left").withColumn("name", F.col("_b.name"))
     rows = by_instructor(rows, view)
     code = F.when(F.col("c_lo") == F.col("c_hi"), F.col("c_lo")).when(F.col("name").isNull(), F.col("by_teacher"))
     ambiguous = F.coalesce(F.col("c_lo") != F.col("c_hi"), F.lit(False))
-    return rows.select("faculty", "file", "line_no", "pos", "season", "room", "seg", "title",
+    return rows.select("faculty", "file", "file_ord", "line_no", "pos", "season", "room", "seg", "title",
                        code.alias("code"), ambiguous.alias("ambiguous"))
 
 
+MENTION = ["faculty", "file", "line_no", "pos"]
+
+
+def _own_if_null(key: str) -> Column:
+    """A key that no dictionary has, one for each mention, in place of NULL: rows without a key are
+    then spread over all tasks of a left join instead of meeting in one."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\uffff"), F.col("file"), F.col("line_no").cast("string")))
+
+
 def teacher_keys(instructor: Column) -> Column:
     """Keys under which a teacher is found: prefixes of 2-6 letters, a one-letter surname."""
     first = F.element_at(F.split(strip(instructor), r"(?U)\s+"), 1)
@@ -139,6 +152,7 @@ def by_instructor(rows: DataFrame, view: DataFrame) -> DataFrame:
     alike = _span(taught.withColumn("head", F.substring("name", 1, 4)), [*VIEW, "fam", "head"], "h")
     rows = (rows.withColumn("_t", N.match_key("title"))
             .withColumn("fam", F.when(F.length("_t") >= 4, N.surname("seg"))).withColumn("head", F.substring("_t", 1, 4)))
+    rows = rows.withColumn("fam", _own_if_null("fam"))
     rows = rows.join(seminars, [*VIEW, "fam"], "left").join(alike, [*VIEW, "fam", "head"], "left")
     is_seminar = F.col("_t").endswith(V.SEMINAR_ENDING) & F.col("s_lo").isNotNull()
     hit = (F.when(is_seminar, F.when(F.col("s_lo") == F.col("s_hi"), F.col("s_lo")))
@@ -146,32 +160,34 @@ def by_instructor(rows: DataFrame, view: DataFrame) -> DataFrame:
     return rows.withColumn("by_teacher", hit).drop("_t", "fam", "head", "s_lo", "s_hi", "h_lo", "h_hi")
 
 
-def rooms_found(matched: DataFrame, source_url: str | None = None) -> DataFrame:
-    """First room of each matched course in reading order."""
-    order = ["file_ord", "line_no", "pos"] if "file_ord" in matched.columns else ["file", "line_no", "pos"]
-    cols = ["room", "file"] + ([source_url] if source_url else [])
-    return first_by(matched.where("code IS NOT NULL"), ["code"], order, cols)
+READING = ["file_ord", "line_no", "pos"]
+
+
+def rooms_found(matched: DataFrame) -> DataFrame:
+    """First room of each matched course in reading order, files in the order they are read."""
+    return first_by(matched.where("code IS NOT NULL"), ["code"], READING, ["room", "file"])
 
 
 def match_stats(matched: DataFrame) -> DataFrame:
     """Per faculty: mentions detected, courses resolved, mentions dropped as ambiguous."""
-    codes = matched.where("code IS NOT NULL").select("faculty", "code").distinct()
-    n = codes.groupBy("faculty").agg(F.count("*").alias("resolved"))
-    all_ = matched.groupBy("faculty").agg(F.count("*").alias("detected"), F.count_if("ambiguous").alias("dropped_ambiguous"))
-    return all_.join(n, "faculty", "left").select(
-        "faculty", "detected", F.coalesce("resolved", F.lit(0)).alias("resolved"), "dropped_ambiguous")
+    each = matched.groupBy("faculty", "code").agg(F.count("*").alias("n"), F.count_if("ambiguous").alias("dropped"))
+    return each.groupBy("faculty").agg(F.sum("n").alias("detected"), F.count("code").alias("resolved"), F.sum("dropped").alias("dropped_ambiguous"))
 
 
-def missing_titles(unmatched: DataFrame, known: DataFrame, name: str = "name",
-                   clean: Column | None = None) -> DataFrame:
+def missing_rows(unmatched: DataFrame, known: DataFrame, name: str = "name", clean: Column | None = None) -> DataFrame:
+    """Sightings of titles that no course has, cleaned and judged, with their comparison form."""
+    rows = unmatched.withColumn("title", N.missing_title("title") if clean is None else clean)
+    rows = rows.where(~N.is_missing_junk("title")) if clean is None else rows
+    return unknown_rows(rows, known, name)
+
+
+def missing_titles(unmatched: DataFrame, known: DataFrame, name: str = "name", clean: Column | None = None) -> DataFrame:
     """Titles that no course has: cleaned, judged, once per name; the first sighting stays.
 
     The season is blank when sightings disagree. ``unmatched``: title, room, faculty, season,
-    file, line_no, pos.
+    file, file_ord, line_no, pos.
     """
-    rows = unmatched.withColumn("title", N.missing_title("title") if clean is None else clean)
-    rows = rows.where(~N.is_missing_junk("title")) if clean is None else rows
-    return sightings(unknown_rows(rows, known, name), "name")
+    return sightings(missing_rows(unmatched, known, name, clean), "name")
 
 
 def unknown_rows(rows: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
@@ -184,7 +200,7 @@ def unknown_rows(rows: DataFrame, known: DataFrame, name: str = "name") -> DataF
 def sightings(rows: DataFrame, key: str) -> DataFrame:
     """First sighting of each key; season kept only where all sightings agree."""
     s = F.coalesce("season", F.lit(""))
-    first = F.min(F.struct("file", "line_no", "pos", "title", "room", "faculty"))
+    first = F.min(F.struct(*READING, "title", "room", "faculty", "file"))
     agg = rows.groupBy(key).agg(first.alias("f"), F.min(s).alias("_lo"), F.max(s).alias("_hi"))
     return agg.select(key, "f.title", "f.room", "f.faculty", "f.file",
                       F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise("").alias("season"))
@@ -192,15 +208,15 @@ def sightings(rows: DataFrame, key: str) -> DataFrame:
 
 def slash_title_rows(lines: DataFrame) -> DataFrame:
     """Title candidates written before a slash, one row each, in reading order."""
-    return exploded(lines, ["faculty", "file", "line_no", "season", F.lit("").alias("room")], N.slash_titles("line"), "title", "pos")
+    return exploded(lines, ["faculty", "file", "file_ord", "line_no", "season", F.lit("").alias("room")], N.slash_titles("line"), "title", "pos")
 
 
 def code_mentions(lines: DataFrame) -> DataFrame:
     """Course codes in lines, each with the text up to the next code."""
     texts, codes = between_matches("line", V.CODE_IN_LINE)
     tails = F.slice(texts, F.lit(2), F.size(codes))
-    return exploded(lines, ["file", "line_no", "season"], F.arrays_zip(codes.alias("code"), tails.alias("tail")), "m", "pos").select(
-        "file", "line_no", "season", "pos", "m.code", "m.tail")
+    return exploded(lines, ["file", "file_ord", "line_no", "season"], F.arrays_zip(codes.alias("code"), tails.alias("tail")), "m", "pos").select(
+        "file", "file_ord", "line_no", "season", "pos", "m.code", "m.tail")
 
 
 def code_rooms(found: DataFrame, courses: DataFrame) -> DataFrame:
@@ -210,7 +226,7 @@ def code_rooms(found: DataFrame, courses: DataFrame) -> DataFrame:
             .withColumn("head", nfkc(first_group("tail", V.CODE_ROOM, 1))).withColumn("want", N.match_key("title")))
     same = (F.col("want") == "") | F.contains(N.match_key("head"), F.substring("want", 1, 5))
     ok = same | has(strip("head"), V.PERSON_NAME)
-    return rows.select("file", "line_no", "pos", "code", N.clean_room("room").alias("room"),
+    return rows.select("file", "file_ord", "line_no", "pos", "code", N.clean_room("room").alias("room"),
                        F.when(ok, "ok").otherwise("disagree").alias("verdict"))
 
 
@@ -218,7 +234,7 @@ def unknown_code_rows(found: DataFrame, courses: DataFrame) -> DataFrame:
     """Codes in lines that no course has, at their first sighting."""
     new = found.join(courses.select("code"), "code", "left_anti")
     s = F.coalesce("season", F.lit(""))
-    agg = new.groupBy("code").agg(F.min(F.struct("file", "line_no", "pos", s.alias("season"))).alias("f"))
+    agg = new.groupBy("code").agg(F.min(F.struct(*READING, "file", s.alias("season"))).alias("f"))
     return agg.select("code", "f.file", "f.season")
 
 
@@ -237,11 +253,11 @@ def progressive(rows: DataFrame, courses: DataFrame) -> DataFrame:
     slot = view.withColumn("slot", F.explode(F.array_distinct("slots")))
     wanted_slot = left.select("row_id", *key, "surnames", F.explode(F.array_distinct("slots")).alias("slot"))
 
-    # substrings of the teachers' text, only of the lengths asked for
-    sizes = left.select(F.explode("surnames").alias("s")).select(F.length("s").alias("size")).distinct()
+    # substrings of the teachers' text, only of the lengths asked for under the same name
+    sizes = left.select(*key, F.explode("surnames").alias("s")).select(*key, F.length("s").alias("size")).distinct()
 
-    def written(df: DataFrame, extra: list[str]) -> DataFrame:
-        spread = df.select("code", *key, *extra, "_text").join(sizes, F.length("_text") >= F.col("size"))
+    def named_teachers(df: DataFrame, extra: list[str]) -> DataFrame:
+        spread = df.select("code", *key, *extra, "_text").join(sizes, key).where(F.length("_text") >= F.col("size"))
         starts = F.sequence(F.lit(1), F.length("_text") - F.col("size") + 1)
         grams = F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("_text"), p, F.col("size"))))
         return exploded(spread, ["code", *key, *extra], grams, "surname")
@@ -250,10 +266,10 @@ def progressive(rows: DataFrame, courses: DataFrame) -> DataFrame:
     b = _span(wanted_slot.join(_span(slot, [*key, "slot"], "x"), [*key, "slot"])
               .select("row_id", F.explode(F.array("x_lo", "x_hi")).alias("code")), ["row_id"], "b")
     c = _span(left.select("row_id", *key, F.explode("surnames").alias("surname"))
-              .join(_span(written(view, []), [*key, "surname"], "x"), [*key, "surname"])
+              .join(_span(named_teachers(view, []), [*key, "surname"], "x"), [*key, "surname"])
               .select("row_id", F.explode(F.array("x_lo", "x_hi")).alias("code")), ["row_id"], "c")
     d = _span(wanted_slot.withColumn("surname", F.explode("surnames"))
-              .join(_span(written(slot, ["slot"]), [*key, "slot", "surname"], "x"), [*key, "slot", "surname"])
+              .join(_span(named_teachers(slot, ["slot"]), [*key, "slot", "surname"], "x"), [*key, "slot", "surname"])
               .select("row_id", F.explode(F.array("x_lo", "x_hi")).alias("code")), ["row_id"], "d")
     out = left.join(a, key, "left").join(b, "row_id", "left").join(c, "row_id", "left").join(d, "row_id", "left")
     # the slot filter is tried only when the name alone is not enough, and so on

@@ -81,7 +81,7 @@ def room_lines(spark, d):
     title = F.when((k % 10 == 0) | F.col("title").isNull(), F.concat(L("Unknown course "), "o_orderpriority")).otherwise(F.col("title"))
     line = F.concat(k % 9, L(" ◆"), title, L(" "), pick(TEACHERS, k), L(" D"), k % 900 + 100)
     season = F.when(F.quarter("o_orderdate") == 1, "spring").when(F.quarter("o_orderdate") == 2, "autumn")
-    return o.select(L("法学部").alias("faculty"), F.col("o_orderstatus").alias("file"), k.alias("line_no"), season.alias("season"), line.alias("line"))
+    return o.select(L("法学部").alias("faculty"), F.col("o_orderstatus").alias("file"), F.ascii("o_orderstatus").alias("file_ord"), k.alias("line_no"), season.alias("season"), line.alias("line"))
 
 
 def matches(spark, d):
@@ -162,7 +162,7 @@ def code_lines(spark, d):
     o = table(spark, d, "orders").join(titles, "o_custkey")
     head = F.when(k % 5 == 0, L("まったく別の科目名 ")).when(k % 5 == 1, "").otherwise(F.concat("p_name", L(" ")))
     line = F.concat(L("3 "), code(k), L(" "), head, L("岩田 幸良 "), k % 800 + 100, L(" 田村 和彦 228 "), code(k + 5000000), L(" 水理学"))
-    lines = o.select(F.col("o_orderstatus").alias("file"), k.alias("line_no"), L("autumn").alias("season"), line.alias("line"))
+    lines = o.select(F.col("o_orderstatus").alias("file"), F.ascii("o_orderstatus").alias("file_ord"), k.alias("line_no"), L("autumn").alias("season"), line.alias("line"))
     known = o.where("o_orderstatus <> 'P'").select(code(k).alias("code"), F.col("p_name").alias("title"))
     return lines, known
 
@@ -188,7 +188,7 @@ def slash_titles(spark, d):
     """Titles before a slash, junk left out, first sighting kept."""
     k = F.col("p_partkey")
     line = F.concat(L("月曜日/Mon Seminar○共創演習"), "p_size", "p_type", L("/"), "p_name", L(" 英語/x abc/y ：集中/z"))
-    lines = table(spark, d, "part").select(L("共創学部").alias("faculty"), F.col("p_brand").alias("file"), k.alias("line_no"),
+    lines = table(spark, d, "part").select(L("共創学部").alias("faculty"), F.col("p_brand").alias("file"), L(0).alias("file_ord"), k.alias("line_no"),
                                            F.when(k % 2 == 0, "spring").otherwise("autumn").alias("season"), line.alias("line"))
     rows = R.slash_title_rows(lines).withColumn("name", N.match_key("title"))
     return R.sightings(rows, "name").select("name", "title", "season")

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from courseloom.operators import metrics as M
+from courseloom.plans import catalog as CAT
 from courseloom.plans import rooms as RM
 from courseloom.plans import side as SD
 from courseloom.sources import pages as PG
-from tests.test_resolve import COURSE
+from tests.test_resolve import COURSE, LINE
 
 
 def test_rooms(spark):
@@ -14,17 +15,17 @@ def test_rooms(spark):
         ("26111111", "民法演習", "法学部", ["津田 一"], None, []), ("26222222", "教育哲学概論", "教育学部", [], None, []),
         ("26342323", "土壌物理学", "農学部", [], None, []), ("26444444", "経済学演習", "経済学部", ["林 上"], None, [("月", "2")]),
         ("26444445", "経済学演習", "経済学部", ["森 下"], None, [("火", "2")])], COURSE)
-    line = lambda f, file, n, s, x: (f, file, n, s, x)
+    line = lambda f, file, n, s, x: (f, file, 0, n, s, x)
     lines = spark.createDataFrame([
         line("法学部", "law.pdf", 1, None, "◆民法演習 津田 D108"), line("法学部", "law.pdf", 2, None, "備考 一 二 三 四 五 六 七 八 九 十 十一"),
         line("法学部", "law.pdf", 3, "spring", "◆外交史演習 中島 演習室5"), line("教育学部", "edu.pdf", 1, None, "教育哲学概論【A104】田中 基幹【基幹教育】"),
         line("農学部", "agr.pdf", 1, "autumn", "26342323 土壌物理学 岩田 229 26999999 水理学"), line("共創学部", "k.pdf", 1, "autumn", "○共創基礎演習/Basic 月曜日/Mon")],
-        "faculty string, file string, line_no long, season string, line string")
+        LINE)
     sessions = spark.createDataFrame([
         (1, "経済学演習", "前期", "D-103", [("月", "2")], ["林"]), (2, "経済学演習", "前期", "D-104", [("水", "2")], []), (3, "経済学演習", "前期", "", [("月", "2")], [])],
         "row_id int, title string, term string, room string, slots array<struct<weekday:string,period:string>>, instructors array<string>")
     out = RM.build(lines, sessions, courses)
-    assert {r.code: r.room for r in out["rooms"].collect()} == {
+    assert {r.c: r.room for r in out["rooms"].collect()} == {
         "26111111": "D108", "26222222": "A104", "26342323": "229", "26444444": "D-103"}
     assert {r.faculty: (r.detected, r.resolved, r.dropped_ambiguous) for r in out["stats"].collect()} == {
         "法学部": (2, 1, 0), "教育学部": (1, 1, 0), "農学部": (1, 1, 0), "経済学部": (3, 1, 1), "共創学部": (1, 0, 0),
@@ -33,6 +34,30 @@ def test_rooms(spark):
         ("共創学部", "共創基礎演習", None, "autumn"), ("法学部", "外交史演習", None, "spring"), ("農学部", "", "26999999", "autumn")]
 
 
+def test_rooms_of_several_files_and_sources(spark):
+    courses = spark.createDataFrame([
+        ("26000001", "教育方法論", "教育学部", [], None, []), ("26000002", "農業経済学", "経済学部", [], None, [("月", "1")]),
+        ("26000003", "民法演習", "法学部", [], None, [])], COURSE)
+    lines = spark.createDataFrame([
+        # the full-year file is read first although its name sorts after that of the half-year
+        ("教育学部", "edu-2030-a.pdf", 1, 1, "spring", "教育方法論【B205】山 基幹"), ("教育学部", "edu-2030.pdf", 0, 9, None, "教育方法論【A104】山 基幹"),
+        ("農学部", "agr.pdf", 0, 1, None, "26000002 農業経済学 川 一 229"),
+        ("教育学部", "edu-2030.pdf", 0, 10, None, "備考 一 二 三 四 五 六 七 八 九 十 十一"),
+        ("教育学部", "edu-2030.pdf", 0, 11, "spring", "地域未来演習【A105】山 基幹"), ("法学部", "law.pdf", 0, 1, "autumn", "◆地域未来演習 中島 演習室5"),
+        ("共創学部", "k.pdf", 0, 1, "autumn", "○地域未来演習/Basic 月曜日/Mon")], LINE)
+    sessions = spark.createDataFrame([(1, "農業経済学", "前期", "D-108", [("月", "1")], [])],
+                                     "row_id int, title string, term string, room string, slots array<struct<weekday:string,period:string>>, instructors array<string>")
+    urls = spark.createDataFrame([("edu-2030.pdf", "page/edu"), ("econ.pdf", "page/econ"), ("econ.pdf", "page/econ")], "file string, source_url string")
+    out = RM.build(lines, sessions, courses, urls, "econ.pdf")
+    rooms = out["rooms"].collect()
+    assert sorted((r.c, r.room, r.source_url) for r in rooms) == [("26000001", "A104", "page/edu"), ("26000002", "D-108", "page/econ")]
+    assert [(r.title, r.faculty, r.season) for r in out["missing"].collect()] == [("地域未来演習", "教育学部", "")]
+    assert [(r.faculty, r.n) for r in out["missing_by_faculty"].collect()] == [("教育学部", 1)]
+    catalog = courses.select(F.col("code").alias("c"), F.lit(None).cast("string").alias("rm"), F.lit(None).cast("string").alias("rmu"))
+    merged = CAT.merge_rooms(catalog, out["rooms"]).collect()
+    assert sorted((r.c, r.rm, r.rmu) for r in merged) == [("26000001", "A104", "page/edu"), ("26000002", "D-108", "page/econ"), ("26000003", None, None)]
+
+
 def test_report(spark):
     index = spark.createDataFrame([("a", ["20", "00"]), ("b", ["20"])], "course_code string, kaiko_cd array<string>")
     raw = spark.createDataFrame([("a", "A", "2026-03-01 10:00"), ("b", None, None)], "course_code string, layout string, updated_at string")

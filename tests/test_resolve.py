@@ -10,7 +10,7 @@ from courseloom.operators import resolve as R
 
 COURSE = ("code string, title string, faculty string, instructors array<string>, season string, "
           "slots array<struct<weekday:string,period:string>>")
-LINE = "faculty string, file string, line_no long, season string, line string"
+LINE = "faculty string, file string, file_ord int, line_no long, season string, line string"
 
 
 def courses(spark, *rows):
@@ -18,7 +18,7 @@ def courses(spark, *rows):
 
 
 def lines(spark, *rows, faculty="法学部"):
-    return spark.createDataFrame([(faculty, "f.pdf", i, s, x) for i, (s, x) in enumerate(rows)], LINE)
+    return spark.createDataFrame([(faculty, "f.pdf", 0, i, s, x) for i, (s, x) in enumerate(rows)], LINE)
 
 
 def law(spark, dictionary, *rows):
@@ -44,7 +44,7 @@ def test_containment_against_brute_force(spark, tail_only):
 
     s = spark.createDataFrame([(x,) for x in segs], "seg string")
     n = spark.createDataFrame([(x,) for x in names], "name string")
-    got = {r.seg: r.name for r in CT.nearest_name(CT.occurrences(s, ["seg"], "seg", n, "name", 4), ["seg"], tail_only).collect()}
+    got = {r.seg: r.name for r in CT.nearest_name(CT.occurrences(s, ["seg"], "seg", n, "name", (4,)), ["seg"], tail_only).collect()}
     assert got == {x: best(x) for x in segs if best(x)}
 
 
