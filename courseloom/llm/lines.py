@@ -74,7 +74,7 @@ def letters_of(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.shiftrightunsigned(F.xxhash64(c), 24))
 
 
-def near_pairs(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_pairs(lines: DataFrame, marks: DataFrame, firsts: DataFrame) -> DataFrame:
     """For every line with an earlier one within the edit bound, pairs (later, earlier) of such
     first occurrences, the earliest one among them.
 
@@ -92,13 +92,12 @@ def near_pairs(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     4. The edit distance of each remaining pair is verified on the lines.
     """
     line_id = ["h1", "h2"]
-    eligible = lines.filter(F.length("line") >= MIN_CHARS)
-    keyed = eligible.select(*line_id, F.explode(halves(F.col("line"))).alias("k")).select(*line_id, "k.half", "k.h", "k.front")
+    keyed = marks.select(*line_id, F.explode("halves").alias("k")).select(*line_id, "k.half", "k.h", "k.front")
     common = step(keyed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
                   .filter("low <> high").select("half"), "halves")
     asked = step(keyed.join(common, "half", "left_semi").distinct(), "asked")
     homes = firsts.join(asked.select(*line_id).distinct(), line_id, "left_semi").select(*line_id, "first", "first.*")
-    texts = step(eligible.drop(*line_id).join(homes, ["d1", "d2", "pos"]).select(*line_id, "first", "line")
+    texts = step(lines.select("d1", "d2", "pos", "line").join(homes, ["d1", "d2", "pos"]).select(*line_id, "first", "line")
                  .dropDuplicates(line_id), "texts")
 
     rest = F.length("line") - F.col("h")
@@ -176,17 +175,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     document. Documents without an id come last. Extra columns aren't read, and an empty table gives
     no row.
 
-    Equal lines are folded by their digest, with map-side combining, before anything else, so a line
-    that a third of all documents have is one line; its occurrences find the first by an equi-join
-    of written tables, which adaptive execution splits. Texts are shuffled once, and only the lines
-    that share a half with another one are compared.
+    One pass over the texts writes each line's digest and half keys, and all but the last check works
+    on these. Equal lines are folded by their digest, with map-side combining, so a line that a third
+    of all documents have is one line; its occurrences find the first by an equi-join of written
+    tables, which adaptive execution splits. Texts are shuffled once, and only the lines that share a
+    half with another one are compared.
     """
     lines = lines_of(docs)
-    firsts = step(lines.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "firsts")
+    near_keys = F.when(F.length("line") >= MIN_CHARS, halves(F.col("line")))
+    marks = step(lines.select("doc_id", "d1", "d2", "pos", "h1", "h2", near_keys.alias("halves")), "marks")
+    firsts = step(marks.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "firsts")
     again = firsts.filter("n > 1").select("h1", "h2", "first")
-    equal = (lines.select("h1", "h2", place().alias("place")).join(again, ["h1", "h2"]).filter("place <> first")
+    equal = (marks.select("h1", "h2", place().alias("place")).join(again, ["h1", "h2"]).filter("place <> first")
              .select("place", F.lit(0).alias("distance"), F.col("first").alias("earlier")))
-    near = (near_pairs(lines, firsts.select("h1", "h2", "first")).groupBy(F.col("later").alias("place"))
+    near = (near_pairs(lines, marks, firsts.select("h1", "h2", "first")).groupBy(F.col("later").alias("place"))
             .agg(F.min("earlier").alias("earlier")).select("place", F.lit(EDITS).alias("distance"), "earlier"))
     return equal.union(near).select("place.doc_id", "place.d1", "place.d2", "place.pos", "distance",
                                     F.col("earlier.doc_id").alias("earlier_doc_id"), F.col("earlier.pos").alias("earlier_pos"))
