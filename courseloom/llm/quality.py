@@ -111,7 +111,7 @@ class Frequent:
     all of which the least is taken away when there are too many. A count is low by ``lost`` at
     most, so every word of that share is among the candidates."""
 
-    KEPT = 1 << 17
+    KEPT = 1 << 14
 
     def __init__(self):
         self.counts: Counter = Counter()
