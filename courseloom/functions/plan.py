@@ -78,3 +78,8 @@ def outline(picks: list[Column]) -> Column:
 
 def first_non_empty(picks: list[Column]) -> Column:
     return F.coalesce(*[F.nullif(strip(p), F.lit("")) for p in picks], F.lit(""))
+
+
+def plan_head(rows: Column, n: int = 5) -> Column:
+    """The first rows of a plan, which are shown at once; the rest is read on demand."""
+    return F.slice(rows, 1, n)

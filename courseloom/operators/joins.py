@@ -20,6 +20,12 @@ def missing(wanted: DataFrame, done: DataFrame, key: list[str] = KEY) -> DataFra
     return wanted.join(done.select(*key), key, "left_anti")
 
 
+def targets(wanted: DataFrame, done: DataFrame, key: list[str] = KEY, limit: int | None = None) -> DataFrame:
+    """Missing keys in order; with a limit only so many, taken from the front by each task first."""
+    rows = missing(wanted, done, key).orderBy(*key)
+    return rows if limit is None else rows.limit(limit)
+
+
 def mismatched(raw: DataFrame, derived: DataFrame, raw_hash: str, derived_hash: str, key: list[str] = KEY) -> DataFrame:
     """Rows whose derived hash differs from the raw one; a missing row counts as different."""
     d = derived.select(*key, F.col(derived_hash).alias("_derived"))

@@ -128,13 +128,13 @@ def consolidate(rows: DataFrame, key: str, order: list[str], fields: dict[str, s
     """
     from courseloom.functions.fields import marks as unify
 
+    pick = lambda c: F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(*order, F.col(c).alias("v"))))
     cell = rows.withColumn("_m", unify(marks))
-    per = cell.groupBy(key, cohort).agg(*[F.max(F.col("_m").contains(m)).alias(f"_h{i}") for i, m in enumerate(V.MARK_ORDER)])
+    per = cell.groupBy(key, cohort).agg(*[F.max(F.col("_m").contains(m)).alias(f"_h{i}") for i, m in enumerate(V.MARK_ORDER)],
+                                        *[pick(c).alias(f"_f{i}") for i, c in enumerate(fields.values())])
     united = F.concat(*[F.when(F.col(f"_h{i}"), m).otherwise("") for i, m in enumerate(V.MARK_ORDER)])
-    ap = per.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(cohort).alias("k"), united.alias("v"))))).alias("apply"))
-    pick = lambda c: F.coalesce(F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(*order, F.col(c).alias("v"))))["v"], F.lit(""))
-    first = rows.groupBy(key).agg(*[pick(c).alias(n) for n, c in fields.items()])
-    return first.join(ap, key)
+    marked = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(cohort).alias("k"), united.alias("v")))))
+    return per.groupBy(key).agg(*[F.coalesce(F.min(f"_f{i}")["v"], F.lit("")).alias(n) for i, n in enumerate(fields)], marked.alias("apply"))
 
 
 def optional(spark: SparkSession, path: str, schema: str, what: str, how: str = "") -> tuple[DataFrame, DataFrame]:

@@ -34,7 +34,7 @@ y AS (SELECT *, CASE WHEN k % 11 = 0 THEN 0 ELSE 1 END AS ug FROM x),
 rare AS (SELECT 1 AS r FROM y WHERE NOT b AND ug = 1 AND k % 997 = 3 HAVING count(*) BETWEEN 1 AND 5)"""
 
 
-@query("WITH " + BODY + """ SELECT k::VARCHAR AS course_code, yr AS year, '講義 ' || k || CASE WHEN b THEN '' ELSE '（経経）' END AS title, CASE WHEN b THEN c_mktsegment WHEN k % 11 = 0 THEN '経済学府' ELSE '経済学部' END AS faculty,
+@query("WITH " + BODY + """ SELECT k::VARCHAR AS course_code, yr AS year, '講義 ' || k || CASE WHEN b THEN '' ELSE '（経経）' END AS title, NULL::VARCHAR AS subtitle, CASE WHEN b THEN c_mktsegment WHEN k % 11 = 0 THEN '経済学府' ELSE '経済学部' END AS faculty,
 CASE WHEN NOT b THEN '経経' END AS department, CASE WHEN b THEN '1,2,3,4' ELSE array_to_string(generate_series(k % 3 + 1, 4), ',') END AS grades,
 CASE WHEN b THEN NULL WHEN k % 11 = 0 THEN CASE WHEN k % 997 = 3 THEN '（経済工学科）選択希少科目／自由' ELSE '（経済工学科）選択必修科目／自由' END
   WHEN k % 997 = 3 THEN CASE WHEN EXISTS (SELECT 1 FROM rare) THEN 'その他' ELSE '選択希少科目' END ELSE '選択必修科目' END AS category,
@@ -46,7 +46,7 @@ def extract_courses(spark, d):
     """Bodies to structured courses: sections, fields, flags, grading, plan, rare categories."""
     s = X.structure(bodies(spark, d))
     pl = F.array_join(F.transform("pl", lambda p: F.concat_ws(":", p["no"], p["theme"], p["detail"])), "|")
-    return s.select("course_code", "year", "title", "faculty", "department", F.array_join(F.col("grades").cast("array<string>"), ",").alias("grades"), "category", "credits", "term",
+    return s.select("course_code", "year", "title", "subtitle", "faculty", "department", F.array_join(F.col("grades").cast("array<string>"), ",").alias("grades"), "category", "credits", "term",
                     "is_undergrad", "is_online", "eval_exam", "eval_report", "is_intensive", "gt", pl.alias("pl"), "d", F.size("sl").alias("n_slots"))
 
 
