@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ class WordEncoder:
 
         self.own = Tokenizer.from_file(path)
         vocab = self.own.get_vocab()
-        self.ends = frozenset(i for word, i in vocab.items() if word.endswith("</w>"))
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.own.get_added_tokens_decoder().values())
         plain = [chr(i) for i in (9, 10, 13, *range(32, 127), *range(0xA0, 0x180)) if i != 0x130]
         kinds = {k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k) for k in "LN"}
@@ -52,31 +54,27 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _slow(self, text: str) -> bytes:
-        ids = self.own.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > self.WORDS_KEPT:
-            self.known.clear()
         for k in range(0, len(words), 2000):
-            part, found, now = words[k:k + 2000], [], []
-            for i in self.own.encode(" ".join(part), add_special_tokens=False).ids:
-                now.append(i.to_bytes(4, "little"))
-                if i in self.ends:
-                    found.append(b"".join(now))
-                    now = []
-            self.known.update(zip(part, found) if len(found) == len(part) and not now
-                              else ((w, self._slow(w)) for w in part))
+            part = words[k:k + 2000]
+            ids = np.array(self.own.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()]
+            if len(cuts) == len(part) + 1 and cuts[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.known.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
+            else:
+                self.known.update((w, self._slow(w)) for w in part)
 
     def encode(self, text: str) -> bytes:
         if not self.plain(text) or any(s in text for s in self.special):
             return self._slow(text)
         words = self.split(text.lower())
-        fresh = set(words).difference(self.known)
-        if fresh:
+        if len(self.known) > self.WORDS_KEPT:
+            self.known.clear()
+        if fresh := set(words).difference(self.known):
             self._learn(list(fresh))
-            if any(w not in self.known for w in words):         # the table was emptied meanwhile
-                self._learn(list(set(words).difference(self.known)))
         return b"".join(map(self.known.__getitem__, words))
 
 
