@@ -34,6 +34,8 @@ HINTS = frozenset("ad ads advert advertisement adverts banner sponsor sponsored
                   "discussion disqus".split())
 TALK = frozenset("comment comments reply replies discussion disqus".split())
 
+VERSION = 0.75              # an article that shares more of its characters is a version of the partner's
+
 
 @dataclass
 class Line:
@@ -147,16 +149,22 @@ def _runs(keys: list[int]) -> list[tuple[int, list[int]]]:
     return out
 
 
-def main_text(lines: list[Line], deleted: set[int]) -> str:
+def main_text(lines: list[Line], deleted: set[int], quoted: set[int] | frozenset[int] = frozenset()) -> str:
     """What is left when the lines shared with the partner are gone.
 
-    Shared lines are deleted outside the declared article; the article itself is main text in full,
-    also where it quotes what another page has. Then the exact check: nothing that the elements call
-    an aside stays (a slot that the partner lacks), and of a page with a declared article nothing
-    but the article.
+    Inside the declared article as outside of it, but there two guards keep main text: a line that
+    only the partner has and not the page on the other side (``quoted``) is a quotation, and where
+    shared lines hold more than VERSION of the article's characters the partner is another version
+    of the same article, which says nothing of its lines. Then the exact check: nothing that the
+    elements call an aside stays (a slot that the partner lacks), and of a page with a declared
+    article nothing but the article.
     """
-    declared = any(x.article and not x.aside for x in lines)
-    left = [x for p, x in enumerate(lines) if not x.aside and (x.article if declared else p not in deleted)]
+    own = [(p, x) for p, x in enumerate(lines) if x.article and not x.aside]
+    if not own:
+        return "\n".join(x.text for p, x in enumerate(lines) if not x.aside and p not in deleted)
+    left = [x for p, x in own if p not in deleted or p in quoted]
+    if sum(len(x.text) for x in left) < (1 - VERSION) * sum(len(x.text) for _, x in own):
+        left = [x for _, x in own]
     return "\n".join(x.text for x in left)
 
 
@@ -183,9 +191,13 @@ EDGE_SQL = PAGE_SQL + ", near_path string, near_keys array<long>, first boolean,
 
 
 def _pick(path: str, keys: list[int], *others: tuple[str, list[int]] | None) -> list[int]:
-    """Lines shared with the nearest of the neighbours; one with the very same lines says nothing."""
-    best = max((o for o in others if o and o[0] is not None and o[1] != keys), key=lambda o: alike(path, o[0]), default=None)
-    return shared(keys, best[1]) if best else []
+    """Lines shared with the nearest of the neighbours, as 2 * position, and 1 more if another
+    neighbour lacks the line; one with the very same lines says nothing."""
+    found = sorted((o for o in others if o and o[0] is not None and o[1] != keys), key=lambda o: -alike(path, o[0]))
+    if not found:
+        return []
+    on_all = set(keys).intersection(*(o[1] for o in found[1:]))
+    return [2 * p + (keys[p] not in on_all) for p in shared(keys, found[0][1])]
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +273,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(lines_of(h.as_py()), set(s.as_py() or ()))
+            texts = [main_text(lines_of(h.as_py()), {x >> 1 for x in s.as_py() or ()}, {x >> 1 for x in s.as_py() or () if x & 1})
                      for h, s in zip(batch.column("html"), batch.column("shared"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                                               pa.array(np.array([len(t) for t in texts], np.int64))],

@@ -130,3 +130,22 @@ def test_registered_pages_keep_their_article(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", pages[r["page_id"]])[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def with_article(host, k, body):
+    return (f"<body><nav>n{k}</nav><article><h1>Head {k}</h1><p>Share this on {host}</p>{body}<div><span>More of {host}</span></div></article>"
+            f"<p>By {host}</p>")
+
+
+def test_template_lines_leave_the_declared_article(spark):
+    bodies = [f"<p>own words {k} of this page</p><p>and more {k}</p>" for k in range(30)]
+    bodies[7] += "<p>own words 8 of this page</p>"                  # quotes its neighbour
+    rows = [(k, f"http://h.example/p/{k:02}", with_article("h", k, b)) for k, b in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got == {k: f"Head {k}\nown words {k} of this page\nand more {k}" + "\nown words 8 of this page" * (k == 7) for k in range(30)}
+
+
+def test_versions_of_an_article_stay_whole():
+    body = [f"<p>paragraph {j} of one article</p>" for j in range(10)]
+    a, b = (lines_of("<article>" + "".join(body[:4] + [f"<p>edited {k}</p>"] + body[4:]) + "</article>") for k in (1, 2))
+    assert len(main_text(a, set(shared(keys_of(a), keys_of(b)))).split("\n")) == 11
