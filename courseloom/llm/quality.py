@@ -18,7 +18,7 @@ MAX_REPEAT_PCT = 30         # base rule: more words than this in repeated window
 WINDOW = 8                  # words of a window
 
 COMMON_SHARE = 0.004        # a language's common words hold at least this share of its words each
-LANGUAGE_SHARE = 0.001      # languages with less of all words than this are judged by all languages together
+REFERENCE_WORDS = 1000      # languages with fewer words than this in the whole corpus aren't judged by a reference
 GUARD_CHARS = 100           # shorter documents aren't judged by their characters
 GUARD_WORDS = 40            # nor those with fewer words by their words
 MAX_CHAR_DISTANCE = 0.28    # Jensen-Shannon distance, base 2: 0 same, 1 disjoint
@@ -100,10 +100,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, parts.sum() / 2))
 
 
-def limit(most: float, bins: int, n: int) -> float:
+def limit(most: float, bins: int, n: int, of: float = math.inf) -> float:
     """The distance allowed to a document of n characters or words: a sample of n from the
-    reference itself has a divergence of (bins - 1) / (8 n ln 2) bits on average."""
-    return math.sqrt(most * most + SLACK * (bins - 1) / (8 * n * math.log(2)))
+    reference itself has a divergence of (bins - 1) / (8 n ln 2) bits on average, and a reference
+    that is a sample of only ``of`` adds its own share."""
+    return math.sqrt(most * most + SLACK * (bins - 1) / (8 * math.log(2)) * (1 / n + 1 / of))
 
 
 class Frequent:
@@ -138,8 +139,10 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[
     All documents count, in two passes. A word that holds a share of a language's words holds it in
     some task's part at least, so the first pass needs only each task's own candidates, at most
     1 / COMMON_SHARE for a language; the second counts these exactly. Both are aggregated with
-    map-side combining. What reaches the driver is bounded by the parameters: at most
-    1 / LANGUAGE_SHARE languages of 1 / COMMON_SHARE words each. A null language is one of its own.
+    map-side combining. A language has a reference if it has REFERENCE_WORDS words, however large
+    the rest of the corpus is, and a null or empty one never has. What reaches the driver is
+    at most 1 / COMMON_SHARE words of each such language from each task, and it keeps as many of
+    each language; ALL is what the languages make together, by which no document is judged.
     """
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Frequent] = {}
@@ -169,8 +172,7 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[
     texts = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     spark = docs.sparkSession
     seen = step(texts.mapInArrow(first, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "candidates")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    large = seen.filter((F.col("word") == "") & (F.col("n") >= LANGUAGE_SHARE * total)).select("lang")
+    large = seen.filter((F.col("word") == "") & (F.col("lang") != "") & (F.col("n") >= REFERENCE_WORDS)).select("lang")
     words: dict[str, set[bytes]] = {ALL: set()}
     for row in seen.join(F.broadcast(large), "lang").collect():
         words.setdefault(row["lang"], set()).add(row["word"].encode())
@@ -209,21 +211,23 @@ class Judge:
             self.known[name] = (np.asarray(chars, float), {w: k for k, w in enumerate(common)}, counts)
 
     def distances(self, lang: str | None, data: bytes) -> tuple[float | None, float | None, bool]:
-        """By characters and by words, null where the document is too short, and whether one is
-        over its limit."""
-        chars, place, words = self.known.get(lang or "", self.known[ALL])
+        """By characters and by words, null where the document is too short or its language has no
+        reference, and whether one is over its limit."""
+        if lang == ALL or lang not in self.known:
+            return None, None, False
+        chars, place, words = self.known[lang]
         mine, counts = plain_words(data), char_counts(data)
         by_char = by_word = None
         far = False
         if (n := sum(counts)) >= GUARD_CHARS:
             by_char = distance(np.array(counts, float), chars)
-            far = by_char > limit(MAX_CHAR_DISTANCE, len(counts), n)
+            far = by_char > limit(MAX_CHAR_DISTANCE, len(counts), n, chars.sum())
         if len(mine) >= GUARD_WORDS:
             hits = [k for w in mine if (k := place.get(w)) is not None]
             histogram = np.bincount(np.array(hits, np.int64), minlength=len(words)).astype(float)
             histogram[-1] = len(mine) - len(hits)
             by_word = distance(histogram, words)
-            far = far or by_word > limit(MAX_WORD_DISTANCE, len(words), len(mine))
+            far = far or by_word > limit(MAX_WORD_DISTANCE, len(words), len(mine), words.sum())
         return by_char, by_word, far
 
 
@@ -233,8 +237,8 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
 
     A document is kept if it passes the base rules and neither its character classes nor its common
     words are further from its language's than the limits (Jensen-Shannon distance), which are
-    wider the shorter it is. A document too short for a histogram isn't judged by it: the distance
-    is null and doesn't count. Repeated
+    wider the shorter it is. A document too short for a histogram isn't judged by it, nor is one whose
+    language is null or has too few words for a reference: the distance is null and doesn't count. Repeated
     rows are judged each; a null or empty text has no words and fails; extra columns aren't read;
     an empty table gives no row.
     """

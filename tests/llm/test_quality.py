@@ -103,3 +103,17 @@ def test_references_count_everything(spark, docs):
         every = sum(words.values())
         assert known[name][1] == {b"": every, **{w: n for w, n in words.items() if n >= quality.COMMON_SHARE * every}}
         assert known[name][0].tolist() == np.sum([char_counts(t.encode()) for t in texts], axis=0).tolist()
+
+
+def test_rare_and_null_languages_are_not_judged_by_the_others(spark, docs):
+    rng, foreign = random.Random(4), ("der", "und", "die", "das", "ist")
+    rows = [(i, prose(rng, 60)) for i in range(300)]
+    rows += [(1000 + i, prose(rng, 60, foreign).upper()) for i in range(24)] + [(2000, prose(rng, 300, foreign).upper())]
+    rows += [(3000 + i, prose(rng, 300, foreign).upper()) for i in range(8)] + [(4000, prose(rng, 300).replace(" ", "%%% "))]
+    name = F.when(F.col("doc_id") < 1000, "en").when(F.col("doc_id") < 2000, "de").when(F.col("doc_id") < 3000, "xx").when(F.col("doc_id") < 4000, None)
+    df = docs(rows).withColumn("lang", name.otherwise("en"))
+    big = df.union(docs([(5000 + i, prose(rng, 6000)) for i in range(280)]).withColumn("lang", F.lit("en")))    # "de" is under 0.1 % of it
+    for table in (df, big):
+        got = {r["doc_id"]: r for r in judge(table).filter("doc_id < 5000").collect()}
+        assert {i for i, r in got.items() if not r["kept"]} == {4000}
+        assert all((r["word_distance"] is None) == (2000 <= i < 4000) for i, r in got.items())
