@@ -186,18 +186,26 @@ def alike(a: str, b: str) -> int:
 PAGE = [("k1", pa.int64()), ("k2", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("keys", pa.list_(pa.int64()))]
 PAGE_SQL = "k1 long, k2 long, host string, path string, keys array<long>"
 EDGE = [*PAGE, ("near_path", pa.string()), ("near_keys", pa.list_(pa.int64())), ("first", pa.bool_()), ("last", pa.bool_()),
-        ("part", pa.int32()), ("shared", pa.list_(pa.int32()))]
-EDGE_SQL = PAGE_SQL + ", near_path string, near_keys array<long>, first boolean, last boolean, part int, shared array<int>"
+        ("part", pa.int32()), ("near", pa.int32()), ("shared", pa.list_(pa.int32()))]
+EDGE_SQL = PAGE_SQL + ", near_path string, near_keys array<long>, first boolean, last boolean, part int, near int, shared array<int>"
+FOUND_SQL = "k1 long, k2 long, near int, shared array<int>"
 
 
-def _pick(path: str, keys: list[int], *others: tuple[str, list[int]] | None) -> list[int]:
-    """Lines shared with the nearest of the neighbours, as 2 * position, and 1 more if another
-    neighbour lacks the line; one with the very same lines says nothing."""
+def _pick(path: str, keys: list[int], *others: tuple[str, list[int]] | None) -> tuple[int, list[int]]:
+    """How near the nearest of the neighbours is, and the lines shared with it, as 2 * position, and
+    1 more if another neighbour lacks the line; -1 without a neighbour of other lines."""
     found = sorted((o for o in others if o and o[0] is not None and o[1] != keys), key=lambda o: -alike(path, o[0]))
     if not found:
-        return []
+        return -1, []
     on_all = set(keys).intersection(*(o[1] for o in found[1:]))
-    return [2 * p + (keys[p] not in on_all) for p in shared(keys, found[0][1])]
+    return alike(path, found[0][0]), [2 * p + (keys[p] not in on_all) for p in shared(keys, found[0][1])]
+
+
+def _merged(found: list[tuple[int, list[int]]]) -> list[int]:
+    """Of what the first and the last place of a page found, that of the nearer neighbour; what the
+    other's neighbour lacks is marked too."""
+    (_, best), *rest = sorted((f for f in found if f[0] >= 0), reverse=True) or [(-1, [])]
+    return [x | any(x >> 1 not in {y >> 1 for y in other} for _, other in rest) for x in best]
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,15 +225,15 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for after in rows():
         if now:
             next_to = of(after, now[2])
-            out.append((*now, *(next_to or (None, None)), True, False, part, None) if before is None else
-                       (*now, None, None, False, False, part, _pick(now[3], now[4], of(before, now[2]), next_to)))
+            out.append((*now, *(next_to or (None, None)), True, False, part, None, None) if before is None else
+                       (*now, None, None, False, False, part, *_pick(now[3], now[4], of(before, now[2]), next_to)))
         before, now = now, after
         if len(out) >= 1000:
             yield _table(out)
             out = []
     if now:
         near = of(before, now[2])
-        out.append((*now, *(near or (None, None)), before is None, True, part, None))
+        out.append((*now, *(near or (None, None)), before is None, True, part, None, None))
     yield _table(out)
 
 
@@ -240,20 +248,27 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [_pick(r["path"], r["keys"], (r["near_path"], r["near_keys"]),
                        (r["lag_path"], r["lag_keys"]) if r["first"] and r["lag_host"] == r["host"] else None,
                        (r["lead_path"], r["lead_keys"]) if r["last"] and r["lead_host"] == r["host"] else None) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(found, pa.list_(pa.int32()))],
-                                         ["k1", "k2", "shared"])
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([f[0] for f in found], pa.int32()),
+                                          pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["k1", "k2", "near", "shared"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_merged([(x["near"], x["shared"]) for x in f]) for f in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["g1", "g2", "shared"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (code points).
 
     1. Each page becomes its lines' keys, a few numbers a line (thin: html isn't carried along).
-    2. The thin rows are range-partitioned and sorted by host and path, so the nearest pages by path
-       are the rows next to each other, however many pages a host has. Each page is aligned with the
-       nearer of its neighbours by a longest common subsequence of keys. The two rows at the borders
-       of each part find their neighbour over the border in a table of two rows a part.
-    3. The positions of shared lines go back to the pages by an equi-join on a 128-bit digest of the
-       row, and are deleted; see ``main_text``.
+    2. Pages of a host with the very same keys are folded to one, at the first and at the last of
+       their paths. These thin rows are range-partitioned and sorted by host and path, so the nearest
+       pages by path are the rows next to each other, however many pages a host has. Each is aligned
+       with the nearer of its neighbours by a longest common subsequence of keys. The two rows at the
+       borders of each part find their neighbour over the border in a table of two rows a part.
+    3. The positions of shared lines go to all copies by an equi-join on a 128-bit digest of host and
+       keys, back to the pages by one on a digest of the row, and are deleted; see ``main_text``.
 
     A null html is empty and gives the empty text. A null or odd url makes a page of the host "".
     Repeated rows are one page to the pairing and are returned each. Extra columns aren't read, an
@@ -280,17 +295,22 @@ def extract(pages: DataFrame) -> DataFrame:
                                              ["page_id", "url", "text", "n_chars"])
 
     order = ["host", "path", "k1", "k2"]
-    thin = step(keyed.mapInArrow(read, PAGE_SQL), "lines")
-    aligned = step(thin.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    thin = step(keyed.mapInArrow(read, PAGE_SQL)
+                .withColumns({"g1": F.xxhash64("host", "keys"), "g2": F.xxhash64(F.lit(1), "keys", "host")}), "lines")
+    folded = (thin.groupBy("g1", "g2").agg(F.first("host").alias("host"), F.min("path").alias("low"), F.max("path").alias("high"),
+                                           F.first("keys").alias("keys"))
+              .select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "host", F.explode(F.array_distinct(F.array("low", "high"))).alias("path"), "keys"))
+    aligned = step(step(folded, "folded").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
                    .mapInArrow(_adjacent, EDGE_SQL), "aligned")
     over = Window.orderBy("part", F.col("last").cast("int"))
     borders = aligned.filter("shared is null")
     for side, shift in (("lag", F.lag), ("lead", F.lead)):
         for name in ("host", "path", "keys"):
             borders = borders.withColumn(f"{side}_{name}", shift(name).over(over))
-    gone = step(aligned.filter("shared is not null").select("k1", "k2", "shared")
-                .union(borders.mapInArrow(_borders, "k1 long, k2 long, shared array<int>"))
-                .filter("size(shared) > 0").groupBy("k1", "k2").agg(F.max("shared").alias("shared")), "gone")
+    found = (aligned.filter("shared is not null").select("k1", "k2", "near", "shared").union(borders.mapInArrow(_borders, FOUND_SQL))
+             .filter("near >= 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("near", "shared")).alias("found")))
+    merged = step(found.mapInArrow(_merge, "g1 long, g2 long, shared array<int>").filter("size(shared) > 0"), "merged")
+    gone = step(thin.select("k1", "k2", "g1", "g2").distinct().join(merged, ["g1", "g2"]).select("k1", "k2", "shared"), "gone")
     types = [f"{n} {pages.schema[n].dataType.simpleString()}" for n in ("page_id", "url")]
     return (keyed.join(gone, ["k1", "k2"], "left").select("page_id", "url", "html", "shared")
             .mapInArrow(finish, ", ".join([*types, "text string, n_chars long"])))

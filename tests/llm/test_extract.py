@@ -149,3 +149,18 @@ def test_versions_of_an_article_stay_whole():
     body = [f"<p>paragraph {j} of one article</p>" for j in range(10)]
     a, b = (lines_of("<article>" + "".join(body[:4] + [f"<p>edited {k}</p>"] + body[4:]) + "</article>") for k in (1, 2))
     assert len(main_text(a, set(shared(keys_of(a), keys_of(b)))).split("\n")) == 11
+
+
+@pytest.mark.parametrize("parts", ["1", "8"])
+def test_copies_of_a_page_get_one_text(spark, parts):
+    page = lambda k: f"<div><p>Welcome all</p><p>body {k}</p><p>Imprint</p></div>"
+    rows = [(k, f"http://h.example/a/{k:02}", page(5 if 4 <= k < 12 else k)) for k in range(20)]
+    rows += [(50, "http://h.example/z/9", page(5)), (51, "http://only.example/1", page(1)), (52, "http://only.example/2", page(1))]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = {k: f"body {5 if 4 <= k < 12 or k == 50 else k}" for k, *_ in rows[:21]}
+    assert got == {**want, 51: "Welcome all\nbody 1\nImprint", 52: "Welcome all\nbody 1\nImprint"}
