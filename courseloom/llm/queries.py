@@ -1,4 +1,5 @@
 """The registered queries of this subpackage, with their SQL."""
 
-from courseloom.llm import decontaminate, extract, lines, packing, quality, secrets, simhash, tokens, toxicity, warc  # noqa: F401
+from courseloom.llm import (  # noqa: F401
+    decontaminate, extract, lines, packing, quality, secrets, simhash, tokens, toxicity, warc, whitening)
 from courseloom.llm.common import QUERIES, SQL  # noqa: F401
