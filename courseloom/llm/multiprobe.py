@@ -113,9 +113,8 @@ def choose(top: float, queries: np.ndarray, rows: np.ndarray, near: np.ndarray,
             """When the bucket of a row is visited, in each table."""
             move = np.floor(held.rows(x)) - slots[whose]
             close = (np.abs(move) <= 1).all(axis=-1)
-            code = ((move + 1) * 3 ** np.arange(hashes - 1, -1, -1)).sum(axis=-1)
-            at = np.take_along_axis(rank[whose], np.where(close, code, 0).astype(int)[:, :, None], axis=2)[:, :, 0]
-            return np.where(close, at, 3 ** hashes)
+            code = np.where(close, ((move + 1) * 3 ** np.arange(hashes - 1, -1, -1)).sum(axis=-1), 0).astype(int)
+            return np.where(close, rank[whose[:, None], np.arange(code.shape[1]), code], 3 ** hashes)
 
         first = np.minimum.accumulate(visited(near, owner), axis=1)
         met = np.concatenate([visited(rows, np.full(len(rows), k)) for k in range(0, len(queries), 8)])
