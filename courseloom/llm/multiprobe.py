@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ RECALL = 0.96               # of the neighbours of the sampled queries, at least
 SAMPLE_QUERIES, SAMPLE_ROWS = 128, 512  # what the index is fitted on, those with the least hash
 ROW_COST = 200              # a row sent costs as much as so many comparisons
 BLOCK = 512                 # rows or queries of a bucket that meet in one cell
+FLUSH = 1 << 18             # found pairs that a task keeps before it shortens the lists
 SEED = 42
 
 
@@ -170,10 +172,39 @@ def best_of(q: np.ndarray, c: np.ndarray, keep: int) -> tuple[np.ndarray, np.nda
     return a, b, (q[a] * c[b]).sum(axis=1)
 
 
+def shortened(found: list[pa.RecordBatch], keep: int) -> list[pa.RecordBatch]:
+    """The ``keep`` best of each query (k1, k2), each pair once, in order."""
+    if not found:
+        return []
+    t = pa.Table.from_batches(found).sort_by([("k1", "ascending"), ("k2", "ascending"), ("score", "descending"), ("id", "ascending")])
+    k1, k2, score = (t[c].to_numpy() for c in ("k1", "k2", "score"))
+    first = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    n = t.num_rows
+    again = np.zeros(n, bool)
+    again[1:] = ~first[1:] & (score[1:] == score[:-1]) & pc.equal(t["id"].slice(1), t["id"].slice(0, n - 1)).to_numpy()
+    place = np.cumsum(~again)                           # a query's rows are numbered from that of its first one
+    start = np.maximum.accumulate(np.where(first, place, 0))
+    return t.filter(pa.array(~again & (place - start < keep))).combine_chunks().to_batches()
+
+
 def compared(met: DataFrame, length: int, keep: int) -> DataFrame:
-    """k1, k2, id, score of the best pairs of every cell; a task holds the points of one cell."""
+    """k1, k2, id, score of the best pairs of the cells. A task holds the points of one cell, and of
+    what it has found the best of each query, up to FLUSH pairs; what is more goes out before the end."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for part in pairs(batches):
+            found.append(part)
+            size += part.num_rows
+            if size > FLUSH:
+                found = shortened(found, keep)
+                size = sum(x.num_rows for x in found)
+                if size > FLUSH // 2:
+                    yield from found
+                    found, size = [], 0
+        yield from shortened(found, keep)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, homes, c = None, [], None                  # cell, its points so far, their vectors once complete
         for batch in batches:
             cell, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
@@ -203,7 +234,7 @@ def compared(met: DataFrame, length: int, keep: int) -> DataFrame:
 
 def lists(found: DataFrame, keep: int) -> DataFrame:
     """k1, k2 and ``near``, the ``keep`` best (less, id) of each query in order; less is -score. Pairs
-    found in several tables count once, and tasks send on no more than the best of a query."""
+    found by several tasks count once, and tasks send on no more than the best of a query."""
     rank = F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "id"))
     pair = F.struct((-F.col("score")).alias("less"), "id")
     return (found.withColumn("rank", rank).filter(F.col("rank") <= keep)

@@ -42,9 +42,10 @@ def clustered(seed, many=400, length=12, groups=8):
     return (centres[rng.integers(0, groups, many)] + 0.3 * rng.normal(size=(many, length))) * rng.uniform(0.5, 2, (many, 1))
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_all_neighbours_when_everything_is_probed(table, monkeypatch, block):
+@pytest.mark.parametrize("block, flush", [(512, 1 << 18), (7, 100), (20, 3000)])
+def test_all_neighbours_when_everything_is_probed(table, monkeypatch, block, flush):
     monkeypatch.setattr(multiprobe, "BLOCK", block)
+    monkeypatch.setattr(multiprobe, "FLUSH", flush)
     monkeypatch.setattr(multiprobe, "HASHES", [1])
     monkeypatch.setattr(multiprobe, "WIDTHS", [50.0])
     rows = [(i, v.tolist()) for i, v in enumerate(clustered(1))]
