@@ -138,10 +138,14 @@ def ledger_row(df: DataFrame, job: str, scope: str, started: Column, status: str
         F.when(F.col("n_error") > 0, "failed").otherwise(status).alias("status"))
 
 
+class StaleError(RuntimeError):
+    """Derived rows are older than the texts they were made from."""
+
+
 def assert_fresh(raw: DataFrame, derived: DataFrame, key: list[str] = KEY) -> None:
     """Stop before a sink when a text is newer than what was derived from it."""
     from courseloom.operators.joins import mismatched
 
     n = mismatched(raw, derived, "body_sha256", "extracted_sha256", key).count()
     if n:
-        raise RuntimeError(f"{n} texts differ from their derived rows; run the extraction first")
+        raise StaleError(f"{n} texts differ from their derived rows; run the extraction first")

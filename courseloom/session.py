@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,15 @@ def local_session(cpus: str = "*", app: str = "courseloom", **extra: str) -> Spa
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from another folder import this package, where it isn't installed."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only in local
     tests, where none is named."""
@@ -62,6 +73,11 @@ def run_folder(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in this application's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 _FOLDERS: set[str] = set()
 
 
@@ -92,6 +108,6 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     cost nothing but their tasks, and the planner knows the table's real size: it broadcasts
     a small one and shuffles a large one.
     """
-    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

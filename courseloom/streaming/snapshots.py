@@ -1,21 +1,20 @@
-"""Streaming form of the snapshot state: change capture, index, daily trend.
+"""Streaming form of the snapshot state: listing index, change capture, daily trend.
 
-The state table holds one small row per key (hashes and dates, not texts), in buckets of the key
-and versions of the bucket. A micro-batch reads the newest version of the buckets that its keys
-fall into and writes a version named by the batch id: buckets it doesn't touch are neither read
-nor written, repeating a batch after a failure rewrites the same folders, so every change is
-logged exactly once, and no table is overwritten while it is read.
+The index and the newest snapshot of each course live in the state store; what a batch changes is
+appended to a log by Spark's file sink, once each, however often a batch is repeated. The current
+table is the newest row of each key in that log.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from courseloom.operators.joins import KEY
-from courseloom.operators.snapshots import change_history
+from courseloom.operators.snapshots import LIST_COLUMNS, change_history
+from courseloom.session import importable
+from courseloom.streaming.stateful import IndexState, SnapshotState, combined, fold_sightings, fold_versions, state_store
 
 SNAPSHOT = ("university_id string, year int, course_code string, body_sha256 string, updated_at string, "
             "fetched_at timestamp")
@@ -52,58 +51,87 @@ def batch_changes(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
     return log, new
 
 
-BUCKETS = 64
-
-
-def bucket_of() -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
-
-
-def current_state(spark: SparkSession, state_path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """The newest version of each bucket, of versions below ``before``; of some buckets only."""
-    try:
-        state = spark.read.schema(STATE + ", bucket int, v int").parquet(state_path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STATE)
-    for wanted in ([F.col("v") < before] if before is not None else []) + ([F.col("bucket").isin(buckets)] if buckets is not None else []):
-        state = state.where(wanted)
-    newest = {r["bucket"]: r["v"] for r in state.groupBy("bucket").agg(F.max("v").alias("v")).collect()}    # at most BUCKETS rows
-    picked = F.lit(False)
-    for bucket, v in newest.items():
-        picked = picked | ((F.col("bucket") == bucket) & (F.col("v") == v))
-    return state.where(picked).drop("bucket", "v")
-
-
-def track_changes(snapshots: DataFrame, state_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Run all landed snapshots through the state; change rows go to one folder per batch."""
-    def merge(batch: DataFrame, n: int) -> None:
-        s = batch.sparkSession
-        batch = batch.persist()                         # read several times below
-        try:
-            touched = [r[0] for r in batch.select(bucket_of()).distinct().collect()]
-            log, new = batch_changes(current_state(s, state_path, n, touched), batch)
-            log.write.mode("overwrite").parquet(f"{log_path}/batch={n}")
-            (new.withColumn("bucket", bucket_of()).withColumn("v", F.lit(n)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(state_path))
-            prune(s, state_path, touched, n)
-        finally:
-            batch.unpersist()
-
-    return (snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-def prune(spark: SparkSession, state_path: str, buckets: list[int], n: int) -> None:
-    """Delete versions of these buckets that neither batch n nor its repetition can read."""
-    jvm = spark._jvm
-    for bucket in buckets:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{state_path}/bucket={bucket}")
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted((int(f.getPath().getName()[2:]), f.getPath()) for f in fs.listStatus(folder)) if fs.exists(folder) else []
-        for v, path in [x for x in versions if x[0] < n][:-1]:
-            fs.delete(path, True)
+def newest(log: DataFrame, key: list[str]) -> DataFrame:
+    """The row of greatest ``version`` of each key, by an aggregate that tasks combine first."""
+    rest = [c for c in log.columns if c not in key]
+    return log.groupBy(*key).agg(F.max_by(F.struct(*rest), "version").alias("_r")).select(*key, "_r.*")
+
+
+def track_index(listed: DataFrame, log_path: str, checkpoint: str, key: list[str] = KEY, attributes: list[str] = LIST_COLUMNS,
+                code: str = "kaiko_cd", seen: str = "seen_at") -> StreamingQuery:
+    """Keep the listing index of a stream of listing rows: the streaming form of ``upsert_index``.
+
+    Every batch appends a row for each key that it touches: key, codes in order of their first
+    sighting, first_seen, last_seen, the attributes of the latest row, version. Files may land in any
+    order and repeatedly, the index is the same.
+    """
+    spark = listed.sparkSession
+    importable(spark)
+    at = F.unix_micros(F.col(seen).cast("timestamp"))
+    rows = listed.select(*key, F.col(code).cast("string").alias("_code"), at.alias("_first"), at.alias("_last"), *attributes)
+    kind = listed.schema[seen].dataType
+    processor = IndexState([listed.schema[k] for k in key], [listed.schema[a] for a in attributes], code)
+    types = {**dict(listed.dtypes), code: "array<string>", "first_seen": "bigint", "last_seen": "bigint", "version": "bigint"}
+    with state_store(spark):
+        out = combined(rows, fold_sightings, len(key)).groupBy(*key).transformWithState(
+            processor, ", ".join(f"`{n}` {types[n]}" for n in processor.output), "Append", "None")
+        when = {c: F.timestamp_micros(c).cast(kind) for c in ("first_seen", "last_seen")}
+        return appended(out.withColumns(when), log_path, checkpoint)
+
+
+def current_index(spark: SparkSession, log_path: str, key: list[str] = KEY) -> DataFrame:
+    return newest(spark.read.parquet(log_path), key).drop("version")
+
+
+def appended(out: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    return (out.writeStream.format("parquet").outputMode("append").option("path", log_path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def track_changes(snapshots: DataFrame, log_path: str, checkpoint: str, key: list[str] = KEY, sha: str = "body_sha256",
+                  updated: str = "updated_at", fetched: str = "fetched_at", age_days: int | None = None, late: str = "30 days") -> StreamingQuery:
+    """Run all landed snapshots through the state and append every kept version to the log.
+
+    A log row has the key, version, old and new hash and date, kind (NULL: same text), detected_at and
+    first_seen; ``change_rows`` and ``current_state`` read it. Late and repeated snapshots are treated
+    as by ``batch_changes``. With ``age_days``, a key without a newer snapshot is forgotten once the
+    watermark, which follows the newest snapshot at a distance of ``late``, is so many days past its
+    last one, so the state is bounded; rows that come later than the watermark are then dropped.
+    """
+    spark = snapshots.sparkSession
+    importable(spark)
+    if age_days is not None:
+        snapshots = snapshots.withWatermark(fetched, late)
+    at = F.unix_micros(F.col(fetched).cast("timestamp"))
+    rows = snapshots.select(*key, at.alias("_at"), F.col(sha).alias("_sha"), F.col(updated).alias("_date"))
+    schema = snapshots.schema
+    out_schema = (", ".join(f"`{k}` {schema[k].dataType.simpleString()}" for k in key)
+                  + ", version bigint, old_sha256 string, new_sha256 string, old_updated_at string, new_updated_at string, "
+                    "kind string, detected_us bigint, first_us bigint")
+    if age_days is None:
+        rows = combined(rows, fold_versions, len(key))
+    else:                                               # the watermark's column has to reach the state
+        rows = snapshots.select(*key, at.alias("_at"), F.col(sha).alias("_sha"), F.col(updated).alias("_date"), F.col(fetched).alias("_time"))
+    processor = SnapshotState(key, None if age_days is None else age_days * 86_400_000)
+    with state_store(spark):
+        out = rows.groupBy(*key).transformWithState(processor, out_schema, "Append", "None" if age_days is None else "EventTime")
+        kind = schema[fetched].dataType
+        out = out.select(*key, "version", "old_sha256", "new_sha256", "old_updated_at", "new_updated_at", "kind",
+                         F.timestamp_micros("detected_us").cast(kind).alias("detected_at"),
+                         F.timestamp_micros("first_us").cast(kind).alias("first_seen"))
+        return appended(out, log_path, checkpoint)
+
+
+def change_rows(log: DataFrame) -> DataFrame:
+    """The changes in a log: versions whose text is new or another one."""
+    return log.where("kind IN ('new', 'updated_at', 'body_only')").drop("version", "first_seen")
+
+
+def current_state(log: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Hash, date and time of each known key's newest version, and its first sighting."""
+    last = newest(log, key).where("kind IS DISTINCT FROM 'evicted'")
+    return last.select(*key, F.col("new_sha256").alias("body_sha256"), F.col("new_updated_at").alias("updated_at"),
+                       F.col("detected_at").alias("fetched_at"), "first_seen")
 
 
 def change_trend(log: DataFrame, late: str = "1 day") -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courseloom.operators import snapshots as S
+from courseloom.operators.ledger import Ledger
+from courseloom.session import new_folder
 from courseloom.sources import pages as P
+from courseloom.streaming import snapshots as ST
 from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
@@ -37,6 +40,46 @@ def change_kinds(spark, d):
     return S.change_history(v, ["user_id"], "event_id", "sha", "upd")
 
 
+def landed(spark, rows, slices, start):
+    """Run a stream over files that land slice by slice; ``start`` opens it on what is there."""
+    land = new_folder(spark, "land")
+    for k in range(slices):
+        rows.where(F.col("slice") == k).write.mode("append").parquet(land)
+        live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(land)
+        run = start(live.drop("slice"))
+        run.awaitTermination()                           # raises what the stream raised
+
+
+@query("""WITH s AS (SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY 1, 2)
+SELECT user_id, (SELECT string_agg(event_type, ',' ORDER BY t, event_type) FROM s WHERE s.user_id = e.user_id) AS codes, max({'t': ts, 'p': props}).p AS props,
+strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events e GROUP BY user_id""")
+def index_stream(spark, d):
+    """The index kept by a stream, from listings that land out of order in two slices."""
+    ev = table(spark, d, "events").select("user_id", F.col("event_type").alias("kaiko_cd"), "props", F.col("ts").alias("seen_at"),
+                                          F.pmod(F.xxhash64("event_id"), L(2)).cast("int").alias("slice"))
+    log, ckpt = new_folder(spark, "index"), new_folder(spark, "ckpt")
+    landed(spark, ev, 2, lambda live: ST.track_index(live, log, ckpt, ["user_id"], ["props"]))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    index = ST.current_index(spark, log, ["user_id"])
+    return index.select("user_id", F.array_join("kaiko_cd", ",").alias("codes"), "props", stamp("first_seen"), stamp("last_seen"))
+
+
+@query("""WITH v AS (SELECT user_id, ts, event_id % 3 AS k, max({'s': event_type, 'u': floor(value)::BIGINT::VARCHAR}) AS c FROM events GROUP BY 1, 2, 3),
+m AS (SELECT user_id, k, max(ts) AS last FROM v GROUP BY 1, 2),
+b AS (SELECT user_id, k, max(last) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m),
+t AS (SELECT user_id, ts, c.s AS sha, c.u AS upd FROM v JOIN b USING (user_id, k) WHERE seen IS NULL OR ts > seen),
+p AS (SELECT *, lag(ts) OVER w AS pts, lag(sha) OVER w AS psha, lag(upd) OVER w AS pupd FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, psha AS old_sha256, sha AS new_sha256, pupd AS old_updated_at, upd AS new_updated_at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS detected_at,
+CASE WHEN pts IS NULL THEN 'new' WHEN pupd IS DISTINCT FROM upd THEN 'updated_at' ELSE 'body_only' END AS kind FROM p WHERE pts IS NULL OR psha <> sha""")
+def snapshot_stream(spark, d):
+    """Changes logged by a stream, from snapshots that land in three slices, many of them late."""
+    ev = table(spark, d, "events").select("user_id", F.col("event_type").alias("body_sha256"), F.floor("value").cast("string").alias("updated_at"),
+                                          F.col("ts").alias("fetched_at"), (F.col("event_id") % 3).cast("int").alias("slice"))
+    log, ckpt = new_folder(spark, "changes"), new_folder(spark, "ckpt")
+    landed(spark, ev, 3, lambda live: ST.track_changes(live, log, ckpt, ["user_id"]))
+    return ST.change_rows(spark.read.parquet(log)).withColumn("detected_at", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def sweep_runs(spark, d):
     """Events as a run ledger; the user and event numbers give the swept codes."""
     ev = table(spark, d, "events")
@@ -131,3 +174,29 @@ def listing_rows(spark, d):
 def run_ledger(spark, d):
     ev = table(spark, d, "events").select((F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "signup").alias("changed"), F.length("props").alias("bytes"))
     return S.ledger_row(ev, "detail", "year=2026", F.current_timestamp()).drop("started_at", "ended_at")
+
+
+@query("""WITH e AS (SELECT event_type <> 'error' AS ok, event_type = 'signup' AS changed, length(props) AS n FROM events),
+r AS (SELECT 'sweep' AS job, 'all' AS scope, count(*) AS n_target, count(*) AS n_fetched, count(*) FILTER (changed) AS n_changed, 0 AS n_error, sum(n)::BIGINT AS bytes, 'ok' AS status FROM e WHERE ok
+UNION ALL SELECT 'detail', 'year=2026', count(*), count(*) FILTER (ok), count(*) FILTER (changed), count(*) FILTER (NOT ok), coalesce(sum(n) FILTER (ok), 0)::BIGINT, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'failed' ELSE 'ok' END FROM e
+UNION ALL SELECT 'export', 'year=2026', NULL, NULL, NULL, NULL, NULL, 'aborted')
+SELECT job, scope, n_target::BIGINT AS n_target, n_fetched::BIGINT AS n_fetched, n_changed::BIGINT AS n_changed, n_error::BIGINT AS n_error, bytes, status FROM r""")
+def job_ledger(spark, d):
+    """Three jobs under a ledger: all rows good, some not, and one that its freshness gate stops."""
+    ev = table(spark, d, "events").select("event_id", (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "signup").alias("changed"),
+                                          F.length("props").alias("n"), F.md5("props").alias("body_sha256"))
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    counted = {"ok": F.col("ok"), "changed": F.col("changed"), "size": F.col("n")}
+    fetched = new_folder(spark, "fetched")
+    with ledger.job("sweep", "all") as run:
+        run.write(ev.where("ok"), lambda df: df.write.parquet(new_folder(spark, "listed")), **counted)
+    with ledger.job("detail", "year=2026") as run:
+        run.write(ev, lambda df: df.write.parquet(fetched), **counted)
+    try:
+        with ledger.job("export", "year=2026") as run:
+            raw = spark.read.parquet(fetched)
+            S.assert_fresh(raw, raw.withColumn("extracted_sha256", F.concat("body_sha256", L("-"))), ["event_id"])
+            run.write(raw, lambda df: df.write.parquet(new_folder(spark, "export")), **counted)
+    except S.StaleError:                                 # recorded by the ledger
+        pass
+    return ledger.runs().drop("run_id", "started_at", "ended_at", "note")
