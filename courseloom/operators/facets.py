@@ -189,15 +189,17 @@ def share_text(codes: DataFrame, owner: list[str], code: str) -> DataFrame:
     return codes.groupBy(*owner).agg(F.array_join(F.array_sort(F.collect_set(code)), ".").alias("share"))
 
 
-def prune_rare(df: DataFrame, key: str, group: str, items: str, least: int = V.DEPARTMENT_MIN_COUNT) -> DataFrame:
+def prune_rare(df: DataFrame, key: str, group: str, items: str, least: int = V.DEPARTMENT_MIN_COUNT, keep: DataFrame | None = None) -> DataFrame:
     """Drop list members that few rows of the group carry; an emptied list becomes NULL.
 
     Members are counted per row, the (group, member) counts meet the exploded rows on both
-    columns, and the lists are rebuilt in their order.
+    columns, and the lists are rebuilt in their order. Where the members to ``keep`` (_g, _m) are
+    known from elsewhere, nothing is counted.
     """
     rows = exploded(df, [key, F.col(group).alias("_g")], F.col(items), "_m", "_i")
-    keep = rows.groupBy("_g", "_m").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g", "_m")
-    keep = written(keep, "members")
+    if keep is None:
+        keep = rows.groupBy("_g", "_m").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g", "_m")
+        keep = written(keep, "members")
     kept = (rows.join(keep, ["_g", "_m"], "left_semi").groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_kept")))
     return (df.join(kept, key, "left").withColumn(items, F.transform("_kept", lambda x: x["_m"])).drop("_kept"))
