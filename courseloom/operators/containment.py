@@ -1,18 +1,31 @@
-"""Which dictionary names occur in which texts, as equi-joins instead of all pairs.
+"""Which dictionary names occur in which texts, without pairing all texts with all names.
 
-Step 1 meets the hash of each position's n-gram with the distinct (hash, name length) pairs of the
-dictionary, however many names share the n-gram. Step 2 reads the surviving positions'
-full substrings and meets them with the names themselves. No step pairs a text with a name
-it does not contain, and a hot n-gram costs one row per position and distinct length.
+A dictionary of up to LETTERS letters in all is one automaton (Aho-Corasick: a trie with links from
+each node to the longest other beginning that its letters end with), sent to all tasks: each text is
+read once where it lies, and nothing is shuffled.
+
+A larger dictionary is met by equi-joins. Step 1 meets the hash of each position's n-gram with the
+distinct (hash, name length) pairs of the dictionary, however many names share the n-gram. Step 2
+reads the surviving positions' full substrings and meets them with the names themselves. No step
+pairs a text with a name it does not contain, and a hot n-gram costs one row per position and
+distinct length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courseloom import values as V
 from courseloom.functions.text import exploded
+from courseloom.session import importable, written
+
+LETTERS = 400_000           # of a dictionary that is sent to all tasks, at most
+SENT_ROWS = 50_000          # occurrences that a task gathers before it passes them on
 
 
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
@@ -36,19 +49,65 @@ def occurrences(texts: DataFrame, keys: list[str], text: str, names: DataFrame,
                 grams: tuple[int, ...] = (V.MIN_NAME,)) -> DataFrame:
     """(keys, name, start, stop, n) of every occurrence; positions count code points from 0.
 
-    A name is searched by the longest of ``grams`` that it fills; names shorter than the least
-    of them are not searched, so the least is the shortest name asked for. Texts are
-    deduplicated before their positions are spread, names are taken once each.
+    Names shorter than the least of ``grams`` are not searched, so that is the shortest name asked
+    for; the others only serve the joins, where a name is searched by the longest one that it fills.
+    Names are taken once each; their letters are counted before they are sent anywhere.
     """
     grams = tuple(sorted(grams))
-    words = names.select(F.col(name).alias("name")).where(F.length(name) >= grams[0]).distinct()
+    words = written(names.select(F.col(name).alias("name")).where(F.length(name) >= grams[0]).distinct(), "names")
+    bodies = texts.select(*keys, F.col(text).alias("_text")).where(F.length("_text") >= grams[0])
+    letters = words.agg(F.sum(F.length("name"))).first()[0] or 0
+    if letters <= LETTERS:
+        return _scanned(bodies, keys, [r["name"] for r in words.collect()])
+    return _joined(bodies, keys, words, grams)
+
+
+def _scanned(bodies: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Occurrences by one pass of each text through the automaton of all names."""
+    importable(bodies.sparkSession)
+    sent = bodies.sparkSession.sparkContext.broadcast(names)
+    fields = [*bodies.select(*keys).schema.fields, T.StructField("name", T.StringType()),
+              *(T.StructField(c, T.IntegerType()) for c in ("start", "stop", "n"))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in sent.value:
+            automaton.add_word(word, word)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+
+        def passed(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            ends = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), *ends], [f.name for f in fields])
+
+        for batch in batches:
+            rows, found = [], []
+            for row, value in enumerate(batch.columns[-1]):
+                body = value.as_py()
+                for last, word in automaton.iter(body):
+                    found.append((word, last + 1 - len(word), last + 1, len(body)))
+                    rows.append(row)
+                    if len(rows) >= SENT_ROWS:
+                        yield passed(batch, rows, found)
+                        rows, found = [], []
+            if rows:
+                yield passed(batch, rows, found)
+
+    return bodies.select(*keys, "_text").mapInArrow(scan, T.StructType(fields))
+
+
+def _joined(bodies: DataFrame, keys: list[str], words: DataFrame, grams: tuple[int, ...]) -> DataFrame:
+    """Occurrences by equi-joins of positions with the dictionary."""
     words = words.withColumn("size", F.length("name"))
     mine = F.lit(grams[0])
     for g in grams[1:]:
         mine = F.when(F.col("size") >= g, g).otherwise(mine)
     heads = words.withColumn("g", mine).select(F.xxhash64("g", F.expr("substring(name, 1, g)")).alias("head"), "size").distinct()
 
-    bodies = texts.select(*keys, F.col(text).alias("_text")).where(F.length("_text") >= grams[0])
     spots = exploded(bodies, keys, F.concat(*[_grams(F.col("_text"), g) for g in grams]), "_s")
     hits = spots.select(*keys, "_s.head", "_s.start").join(heads, "head").select(*keys, "start", "size").distinct()
     full = (bodies.join(hits, keys)

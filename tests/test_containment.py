@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from courseloom.operators import containment
 from courseloom.operators.containment import contains_known, nearest_name, occurrences
 from courseloom.operators.joins import nest, nest_pages, with_children
 from courseloom.operators.ordered import fill_down, previous_value, running_count
@@ -17,8 +18,16 @@ def all_places(text, name):
     return [i for i in range(len(text) - len(name) + 1) if text[i:i + len(name)] == name]
 
 
-@pytest.mark.parametrize("grams", [(1,), (2,), (1, 3), (1, 2, 4)])
-def test_every_occurrence(spark, grams):
+@pytest.fixture(params=["automaton", "joins"])
+def way(request, monkeypatch):
+    """Both forms: a dictionary that is sent to all tasks, and one that is too large for that."""
+    if request.param == "joins":
+        monkeypatch.setattr(containment, "LETTERS", -1)
+    monkeypatch.setattr(containment, "SENT_ROWS", 100)
+
+
+@pytest.mark.parametrize("grams", [(1,), (2,), (1, 2, 4)])
+def test_every_occurrence(spark, way, grams):
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(90, None), (91, "")]
     names = sorted({"".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 6))) for _ in range(60)}) + ["", None]
@@ -28,7 +37,7 @@ def test_every_occurrence(spark, grams):
     assert len(want) > 100 and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
 
 
-def test_names_after_emoji_and_short_names(spark):
+def test_names_after_emoji_and_short_names(spark, way):
     texts = spark.createDataFrame([(1, "😀 😀 hello world"), (2, "𠮷野 hello")], "k int, t string")
     names = spark.createDataFrame([("hello",), ("hello world",), ("野",)], "name string")
     found = occurrences(texts, ["k"], "t", names, "name", (1, 4))
@@ -39,6 +48,18 @@ def test_names_after_emoji_and_short_names(spark):
     assert {r["title"] for r in known.collect()} == {"😀 hel", "a"}
 
 
+def test_no_names_and_no_texts(spark, way):
+    texts, none = spark.createDataFrame([("k", "some text")], "k string, t string"), spark.createDataFrame([], "name string")
+    assert occurrences(texts, ["k"], "t", none, "name").collect() == []
+    assert occurrences(texts.where("false"), ["k"], "t", texts, "t").collect() == []
+
+
+def test_a_small_dictionary_shuffles_no_text(spark):
+    texts = spark.createDataFrame([(i, f"text {i} with names") for i in range(50)], "k int, t string")
+    found = occurrences(texts, ["k"], "t", spark.createDataFrame([("names",), ("text",)], "name string"), "name")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 100
+
+
 def test_a_parent_of_many_children_is_one_row(spark):
     children = spark.range(5000).select(F.lit(1).alias("p"), F.col("id").alias("no"))
     lists = nest(children, ["p"], ["no"], F.col("no"))
