@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from courseloom.llm.common import query, step, table
 
 EDITS = 1                   # the edit bound, in code points; the halves and the check are made for one
-MIN_CHARS = 16              # shorter lines are repeated only by equal lines
 AROUND = " \t\r"            # white space around a line, which isn't compared
 
 
@@ -35,8 +34,9 @@ def place() -> Column:
 
 def half(n: Column) -> Column:
     """Length of the half that is compared as a whole: at most half of n - 1, and the same for most
-    neighbouring lengths."""
-    return F.floor((n - 1) / 16).cast("int") * 8
+    neighbouring lengths; in finer steps for short lines, so that they don't all share one half."""
+    return (F.when(n > 16, F.floor((n - 1) / 16) * 8).when(n > 4, F.floor((n - 1) / 4) * 2)
+            .when(n > 2, F.lit(1)).otherwise(F.lit(0)).cast("int"))
 
 
 def halves(line: Column) -> Column:
@@ -169,9 +169,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     (from 0), distance, earlier_doc_id, earlier_pos.
 
     The earliest line stays: one goes if there is an earlier line within the bound, be that line
-    kept or not; the one given is the earliest of those at the least distance. Lines are compared
-    without white space around them. Blank lines and lines of null or empty texts are never repeated,
-    lines shorter than MIN_CHARS only by equal ones. Rows that repeat doc_id and text are one
+    kept or not; the one given is the earliest of those at the least distance. Lines of any length are
+    compared, without white space around them, so all lines of one letter are within the bound of each
+    other. Blank lines and lines of null or empty texts are never repeated. Rows that repeat doc_id and text are one
     document. Documents without an id come last. Extra columns aren't read, and an empty table gives
     no row.
 
@@ -182,8 +182,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     half with another one are compared.
     """
     lines = lines_of(docs)
-    near_keys = F.when(F.length("line") >= MIN_CHARS, halves(F.col("line")))
-    marks = step(lines.select("doc_id", "d1", "d2", "pos", "h1", "h2", near_keys.alias("halves")), "marks")
+    marks = step(lines.select("doc_id", "d1", "d2", "pos", "h1", "h2", halves(F.col("line")).alias("halves")), "marks")
     firsts = step(marks.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count("*").alias("n")), "firsts")
     again = firsts.filter("n > 1").select("h1", "h2", "first")
     equal = (marks.select("h1", "h2", place().alias("place")).join(again, ["h1", "h2"]).filter("place <> first")
@@ -221,14 +220,14 @@ firsts AS (
   SELECT line, min({'d': doc_id, 'p': pos}) AS f, length(line) AS n FROM lines WHERE line <> '' GROUP BY line),
 cuts AS (
   SELECT line, f, n, p, hash(substr(line, 1, p - 1) || substr(line, p + 1)) AS h
-  FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM firsts WHERE n >= 16)),
+  FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM firsts)),
 pairs AS (
   SELECT b.f AS later, a.f AS earlier FROM cuts a JOIN cuts b ON a.h = b.h AND a.p = b.p AND a.n = b.n
   WHERE a.f < b.f AND a.line <> b.line
     AND substr(a.line, 1, a.p - 1) || substr(a.line, a.p + 1) = substr(b.line, 1, b.p - 1) || substr(b.line, b.p + 1)
   UNION
   SELECT greatest(a.f, b.f), least(a.f, b.f) FROM cuts a JOIN firsts b ON a.h = hash(b.line)
-  WHERE b.n >= 16 AND a.n = b.n + 1 AND substr(a.line, 1, a.p - 1) || substr(a.line, a.p + 1) = b.line)
+  WHERE a.n = b.n + 1 AND substr(a.line, 1, a.p - 1) || substr(a.line, a.p + 1) = b.line)
 SELECT doc_id, pos AS line_no, 0 AS distance, f.d AS earlier_doc_id, f.p AS earlier_line_no
 FROM lines JOIN firsts USING (line) WHERE {'d': doc_id, 'p': pos} <> f
 UNION ALL

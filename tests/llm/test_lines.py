@@ -28,10 +28,9 @@ def brute(rows):
     found = [(i, p, 0, *first[x]) for i, p, x in lines if first[x] != (i, p)]
     order = sorted(first, key=first.get)
     for n, x in enumerate(order):
-        if len(x) >= 16:
-            near = [y for y in order[:n] if len(y) >= 16 and abs(len(x) - len(y)) < 2 and edit_distance(x, y) == 1]
-            if near:
-                found.append((*first[x], 1, *first[near[0]]))
+        near = [y for y in order[:n] if abs(len(x) - len(y)) < 2 and edit_distance(x, y) == 1]
+        if near:
+            found.append((*first[x], 1, *first[near[0]]))
     return Counter(found)
 
 
@@ -46,8 +45,8 @@ def rows():
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdeé日😀") for _ in range(rng.randint(1, 6)))
     base = [" ".join(word() for _ in range(rng.choice([1, 4, 6, 8, 30, 90]))) for _ in range(60)]
-    base += ["x" * n for n in (15, 16, 17, 18, 31, 32, 33, 48, 49)] + ["", " \t", "\r"]
-    for n in (16, 17, 32, 33, 48, 49, 64, 65, 80, 81):
+    base += ["x" * n for n in (15, 16, 17, 18, 31, 32, 33, 48, 49)] + ["", " \t", "\r", "a", "b", "ab", "é", "日本", "aé日", "total: 12345"]
+    for n in (2, 3, 4, 5, 6, 8, 9, 12, 13, 16, 17, 32, 33, 48, 49, 64, 65, 80, 81):
         base.append("".join(rng.choice("abcdefgh") for _ in range(n)))
     out = []
     for i in range(80):
@@ -98,9 +97,15 @@ def test_long_lines_and_nothing(docs):
     assert repeated_lines(docs([])).collect() == [] and without_repeats(docs([])).collect() == []
 
 
+def test_short_lines_are_near_too(docs):
+    rows = [(1, "total: 12345"), (2, "total: 12346\nyes"), (3, "a\nyet\nyes!"), (4, "b\nc1")]
+    got = {(r["doc_id"], r["pos"], r["distance"], r["earlier_doc_id"], r["earlier_pos"]) for r in repeated_lines(docs(rows)).collect()}
+    assert got == set(brute(rows)) and (2, 0, 1, 1, 0) in got and (4, 0, 1, 3, 0) in got
+
+
 def test_halves_of_neighbouring_lengths_meet(spark):
     n = F.col("id").cast("int")
-    rows = spark.range(16, 2000).select(n.alias("n"), half(n).alias("now"), half(n - 1).alias("before"), half(n + 1).alias("next")).collect()
+    rows = spark.range(1, 2000).select(n.alias("n"), half(n).alias("now"), half(n - 1).alias("before"), half(n + 1).alias("next")).collect()
     for r in rows:
         assert 2 * r["now"] <= r["n"] - 1 and r["now"] <= r["next"] <= r["now"] + 8
 
