@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions import plan as PL
 from courseloom.operators import calendar as C
 from courseloom.operators import resolve as R
+from courseloom.operators.snapshots import StaleError
 from courseloom.plans import catalog as CAT
+from courseloom.plans import publish as PB
 from courseloom.plans import rooms as RM
 from courseloom.session import run_folder
 from courseloom.sources import pages as PG
@@ -18,6 +22,7 @@ from courseloom.sources import sinks as SK
 from courseloom.workloads import resolution as RS
 from courseloom.workloads import schedule as SC
 from courseloom.workloads.registry import query, table
+from courseloom.workloads.search import order_catalog
 
 L = F.lit
 
@@ -132,9 +137,57 @@ def rooms_in_catalog(spark, d):
     return CAT.merge_rooms(empty, out["rooms"])
 
 
-@query("WITH " + SC.DAYS + """ SELECT year, faculty, term, weekday, count(DISTINCT date)::INT AS n, strftime(min(date), '%Y-%m-%d') AS first FROM class_days WHERE weekday IS NOT NULL AND year = 1995 GROUP BY ALL""")
+def site_calendar(spark, d):
+    same = spark.createDataFrame([(1995, "G"), (1995, "F"), (1970, "H")], "year int, faculty string")
+    notes = spark.createDataFrame([(1995, "F", "own spans"), (1970, "H", "no calendar")], "year int, faculty string, note string")
+    return C.site_calendar(SC.frames(spark, d), 1995, same, notes)
+
+
+@query("WITH " + SC.DAYS + """ SELECT 'days' AS part, year, faculty, term, weekday, count(DISTINCT date)::INT AS n, strftime(min(date), '%Y-%m-%d') AS first, NULL::BOOLEAN AS differs, NULL AS note
+FROM class_days WHERE weekday IS NOT NULL AND year = 1995 GROUP BY ALL
+UNION ALL SELECT 'checked', year, f, NULL, NULL, NULL, NULL, f = 'F', CASE f WHEN 'F' THEN 'own spans' ELSE '' END FROM (SELECT DISTINCT year FROM class_days WHERE year = 1995), (SELECT unnest(['F', 'G']) AS f)
+UNION ALL SELECT 'periods', 1995, NULL, NULL, p, NULL, t, NULL, NULL FROM (SELECT unnest(['""" + "', '".join(V.PERIOD_TIMES) + """']) AS p, unnest(['""" + "', '".join(a for a, _ in V.PERIOD_TIMES.values()) + """']) AS t)""")
 def calendar_payload(spark, d):
-    """Class days of each calendar of a year."""
-    none = spark.createDataFrame([], "year int, faculty string, note string")
-    site = C.site_calendar(SC.frames(spark, d), 1995, none.drop("note"), none)
-    return site["days"].select("year", "faculty", "term", "weekday", F.size("dates").alias("n"), F.get("dates", 0).cast("string").alias("first"))
+    """Class days of each calendar of a year, the checked faculties, and when periods begin."""
+    site = site_calendar(spark, d)
+    none = lambda t: L(None).cast(t)
+    days = site["days"].select(L("days").alias("part"), "year", "faculty", "term", "weekday", F.size("dates").alias("n"), F.get("dates", 0).cast("string").alias("first"),
+                               none("boolean").alias("differs"), none("string").alias("note"))
+    checked = site["checked"].select(L("checked"), "year", "faculty", none("string"), none("string"), none("int"), none("string"), "differs", "note")
+    times = C.period_frame(spark).select(L("periods"), L(1995), none("string"), none("string"), "period", none("int"), "starts", none("boolean"), none("string"))
+    return days.union(checked).union(times)
+
+
+@query("""WITH s AS (SELECT unnest([1, 2, 3]) AS step), k AS (SELECT step, o_orderkey AS c FROM s, orders WHERE CASE WHEN step < 3 THEN o_orderkey % 2 = 0 ELSE o_orderkey % 3 = 0 END)
+SELECT step, 'courses' AS part, count(*) AS n, sum(c)::BIGINT AS total FROM k GROUP BY 1 UNION ALL SELECT step, 'details', count(*), sum(c)::BIGINT FROM k WHERE c % 5 <> 0 GROUP BY 1
+UNION ALL SELECT step, 'missing', count(*), sum(p_partkey)::BIGINT FROM s, part WHERE p_size < 9 GROUP BY 1
+UNION ALL SELECT step, 'meta', (SELECT count(*) FROM k WHERE k.step = s.step), (SELECT count(*) FROM part WHERE p_size < 9) FROM s""")
+def site_publication(spark, d):
+    """What readers see after a publication, after one that a stale text stops, and after one without
+    any missing title."""
+    site = PB.Publication(spark, fresh(spark, "site"))
+    k = F.col("c").cast("bigint")
+    records = order_catalog(spark, d).withColumn("c", F.col("c").cast("string")).withColumn("d", F.when(k % 5 != 0, F.concat(L("about "), "f")).otherwise(""))
+    raw = records.select("c", F.md5("c").alias("body_sha256"))
+    derived = raw.select("c", F.col("body_sha256").alias("extracted_sha256"))
+    stale = derived.withColumn("extracted_sha256", F.when(k % 100 == 1, "old").otherwise(F.col("extracted_sha256")))
+    missing = table(spark, d, "part").where("p_size < 9").select("p_partkey", F.col("p_name").alias("title"))
+    year = site_calendar(spark, d)
+
+    def publish(catalog, structured, titles):
+        PB.publish_site(site, catalog, raw, structured, titles, year, 1995, "https://example.org/{code}", key=["c"])
+
+    def seen(step):
+        doc = spark.read.json(site.folder("meta")).select(L("meta").alias("part"), F.col("n"), F.col("n_missing").alias("total"))
+        parts = [spark.read.json(site.folder(p)).agg(F.count("*").alias("n"), F.sum(F.col(c).cast("bigint")).alias("total")).select(L(p).alias("part"), "n", "total")
+                 for p, c in (("courses", "c"), ("details", "c"), ("missing", "p_partkey"))]
+        return reduce(DataFrame.union, parts, doc).select(L(step).alias("step"), "part", "n", "total")
+
+    publish(records.where(k % 2 == 0), derived, missing)
+    out = seen(1)
+    try:
+        publish(records, stale, missing)
+    except StaleError:
+        out = out.union(seen(2))
+    publish(records.where(k % 3 == 0), derived, missing.where("false"))
+    return out.union(seen(3))
