@@ -31,8 +31,8 @@ SENT_ROWS = 50_000          # occurrences that a task gathers before it passes t
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
-def _grams(text: Column, gram: int) -> Column:
-    """(head, start) of the n-grams at all code points of a text.
+def pieces(text: Column, gram: int) -> Column:
+    """The n-grams at all code points of a text, in order.
 
     A look-ahead match counts UTF-16 units, which are code points unless the text has
     characters beyond the basic plane; such a text is cut into its code points first.
@@ -41,8 +41,12 @@ def _grams(text: Column, gram: int) -> Column:
     cut = F.get(F.transform(F.array(F.split(text, "")), lambda cs: F.when(F.size(cs) >= gram, F.transform(
         F.sequence(F.lit(1), F.size(cs) - gram + 1), lambda p: F.array_join(F.slice(cs, p, gram), "")))), 0)
     found = F.when(F.regexp_like(text, F.lit(ASTRAL)), cut).otherwise(plain)
-    return F.transform(F.coalesce(found, F.array().cast("array<string>")),
-                       lambda g, i: F.struct(F.xxhash64(F.lit(gram), g).alias("head"), i.alias("start")))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _grams(text: Column, gram: int) -> Column:
+    """(head, start) of the n-grams at all code points of a text."""
+    return F.transform(pieces(text, gram), lambda g, i: F.struct(F.xxhash64(F.lit(gram), g).alias("head"), i.alias("start")))
 
 
 def occurrences(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str,

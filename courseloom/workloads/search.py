@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courseloom.functions import fields as FL
 from courseloom.functions.text import exploded, search_key
 from courseloom.operators import facets as FC
 from courseloom.operators import joins as J
+from courseloom.operators.textindex import TextIndex
+from courseloom.session import new_folder
 from courseloom.workloads.registry import query, table, wide
 from courseloom.workloads.rules import ORDER_SLOTS, order_slots
 
@@ -48,6 +53,17 @@ def keyword_and(spark, d):
     return FC.search(document_search(spark, d), FC.Facets(text="Ｌｉｃｅｎｓｅ　THE")).select("doc_id")
 
 
+ASKED = {"license": "Ｌｉｃｅｎｓｅ　THE", "rare": "license agreement", "one letter": "z", "two letters": "qu 99", "none": "no such wordzzz"}
+
+
+@query("WITH q AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {[*FC.keyword_words(t)]})" for n, t in ASKED.items()) + """) AS v(asked, words))
+SELECT asked, doc_id FROM q, documents WHERE len(list_filter(words, lambda w: NOT contains(lower(text) || ' ' || lower(source), w))) = 0""")
+def keyword_index(spark, d):
+    """Keyword queries, also of one and two letters, by an index of the folded texts built once."""
+    index = TextIndex(spark, new_folder(spark, "texts"), "doc_id").build(document_search(spark, d))
+    return reduce(DataFrame.union, [index.search(text).select(L(name).alias("asked"), "doc_id") for name, text in ASKED.items()])
+
+
 @query("WITH " + ORDER_SLOTS + " SELECT DISTINCT o_orderkey AS c FROM order_slots WHERE weekday = '水' AND period = '2'")
 def slot_filter(spark, d):
     return FC.search(order_catalog(spark, d), FC.Facets(slot=("水", "2"))).select("c")
