@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,10 @@ def member_counts(df: DataFrame, codes: str, order: dict[str, str]) -> DataFrame
     return n.select("code", table[F.col("code")].alias("label"), "n", place.alias("place")).where("place > 0")
 
 
-def group_counts(df: DataFrame, column: str, unknown: str = "(unknown)") -> DataFrame:
+UNKNOWN = "(unknown)"
+
+
+def group_counts(df: DataFrame, column: str, unknown: str = UNKNOWN) -> DataFrame:
     return (df.groupBy(F.coalesce(F.col(column), F.lit(unknown)).alias(column)).agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), column))
 
@@ -94,19 +100,55 @@ def sample_rows(df: DataFrame, key: str, n: int = 12, seed: int = 1) -> DataFram
     return df.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), key), 256), key).limit(n)
 
 
+@dataclass
+class Counted:
+    """Groups of a section: a column, what is summed in each of its groups (rows, if nothing is given),
+    and the name of the group without a value (groups without a name are left out)."""
+
+    by: Column
+    value: Column | None = None
+    unknown: str | None = None
+
+
+def figures(df: DataFrame, sections: dict[str, Counted], whole: list[tuple[str, str, Column]]) -> DataFrame:
+    """(section, key, value) of a table in one pass: counts by the columns of ``sections`` and the
+    figures (section, key, aggregate) over all rows, as grouping sets of one aggregation.
+
+    Groups whose value is 0 are left out. Tasks combine the groups before anything is shuffled, so
+    what is shuffled are the groups, however often a value occurs.
+    """
+    names = [f"_g{i}" for i in range(len(sections))]
+    marked = df.withColumns({n: c.by.cast("string") for n, c in zip(names, sections.values())})
+    sums = [(F.sum(c.value) if c.value is not None else F.count(F.lit(1))).cast("double").alias(f"_v{i}") for i, c in enumerate(sections.values())]
+    wholes = [agg.cast("double").alias(f"_w{i}") for i, (_, _, agg) in enumerate(whole)]
+    sets = [[n] for n in names] + [[]]
+    agg = (marked.groupingSets([[F.col(n) for n in s] for s in sets], *names).agg(F.grouping_id().alias("_id"), *sums, *wholes) if names
+           else marked.agg(F.lit(0).alias("_id"), *wholes))
+    every = 2 ** len(names) - 1
+    row = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.alias("value"))
+    rows = [F.when((F.col("_id") == every - 2 ** (len(names) - 1 - i)) & (F.col(f"_v{i}") > 0) & (key := F.coalesce(names[i], F.lit(c.unknown).cast("string"))).isNotNull(),
+                   row(section, key, F.col(f"_v{i}"))) for i, (section, c) in enumerate(sections.items())]
+    rows += [F.when(F.col("_id") == every, row(section, F.lit(key), F.col(f"_w{i}"))) for i, (section, key, _) in enumerate(whole)]
+    return agg.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+
+
 def report(index: DataFrame, raw: DataFrame, structured: DataFrame, summary: DataFrame) -> DataFrame:
-    """All figures as one (section, key, value) table."""
-    ug = structured.where("is_undergrad = 1")
+    """All figures as one (section, key, value) table; each of the four tables is read once."""
+    one, none = F.lit(1), F.lit(0)
+    # a listing counts once for each of its codes, and the empty code stands for the listing itself
+    codes = F.array_union(F.array(F.lit("")), F.array_distinct(F.coalesce("kaiko_cd", F.array().cast("array<string>"))))
+    listed = index.select(F.explode(codes).alias("code"))
+    known = F.when(F.col("code").isin(list(V.TERM_CODES)), F.col("code"))
+    flag, ug = F.col("is_undergrad"), F.coalesce(F.col("is_undergrad") == 1, F.lit(False))
     flags = ["eval_exam", "eval_report", "eval_quiz", "eval_attend"]
+    share = lambda c: F.count_if(ug & (F.col(c) == 1)) / F.greatest(F.count_if(ug), F.lit(1)) * 100
     parts = [
-        metric(totals({"index": index, "raw": raw, "structured": structured, "summary": summary}, (structured, "is_undergrad")), "totals", F.col("key"), F.col("n")),
-        metric(member_counts(index, "kaiko_cd", {k: v[0] for k, v in V.TERM_CODES.items()}), "term codes", F.col("code"), F.col("n")),
-        metric(group_counts(ug, "faculty"), "faculties", F.col("faculty"), F.col("n")),
-        metric(group_counts(raw, "layout"), "layouts", F.col("layout"), F.col("n")),
-        metric(flag_rates(ug, flags), "evaluation", F.col("flag"), F.col("percent")),
-        metric(month_histogram(raw, "updated_at"), "updated", F.col("month"), F.col("n")),
+        figures(listed, {"term codes": Counted(known)}, [("totals", "index", F.count_if(F.col("code") == ""))]),
+        figures(raw, {"layouts": Counted(F.col("layout"), unknown=UNKNOWN), "updated": Counted(F.substring(F.col("updated_at").cast("string"), 1, 7))},
+                [("totals", "raw", F.count(one))]),
+        figures(structured, {"faculties": Counted(F.col("faculty"), F.when(ug, one).otherwise(none), UNKNOWN)},
+                [("totals", "structured", F.count(one)), ("totals", "is_undergrad=1", F.count_if(flag == 1)), ("totals", "is_undergrad=0", F.count_if(flag == 0)),
+                 ("totals", "is_undergrad unknown", F.count_if(flag.isNull())), *[("evaluation", c, share(c)) for c in flags]]),
+        figures(summary, {}, [("totals", "summary", F.count(one))]),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return reduce(DataFrame.union, parts)

@@ -153,20 +153,24 @@ def coverage(spark, d):
     return M.coverage(docs.withColumn("quality", F.col("quality").cast("string")), "quality")
 
 
-@query("""SELECT 'totals' AS section, 'orders' AS key, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'totals', 'customer', count(*) FROM customer
-UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'months', strftime(o_orderdate, '%Y-%m'), count(*) FROM orders GROUP BY 2
-UNION ALL SELECT 'low priority', 'percent', count(*) FILTER (o_orderpriority = '5-LOW') / count(*) * 100 FROM orders""")
+@query("""WITH x AS (SELECT o_orderkey AS k, nullif(o_orderstatus, 'P') AS layout, CASE WHEN o_orderkey % 7 > 0 THEN strftime(o_orderdate, '%Y-%m') END AS month,
+nullif(o_orderpriority, '5-LOW') AS f, [1, 0, NULL][o_orderkey % 3 + 1] AS ug FROM orders)
+SELECT 'totals' AS section, 'index' AS key, count(*)::DOUBLE AS value FROM customer UNION ALL SELECT 'totals', 'raw', count(*) FROM x UNION ALL SELECT 'totals', 'structured', count(*) FROM x
+UNION ALL SELECT 'totals', 'summary', count(*) FROM part UNION ALL SELECT 'totals', 'is_undergrad=1', count(*) FILTER (ug = 1) FROM x UNION ALL SELECT 'totals', 'is_undergrad=0', count(*) FILTER (ug = 0) FROM x
+UNION ALL SELECT 'totals', 'is_undergrad unknown', count(*) FILTER (ug IS NULL) FROM x
+UNION ALL SELECT 'term codes', code, count(*) FROM (SELECT unnest(CASE WHEN c_custkey % 5 = 0 THEN ['20'] ELSE ['20', '00'] END) AS code FROM customer) GROUP BY 2
+UNION ALL SELECT 'layouts', coalesce(layout, '(unknown)'), count(*) FROM x GROUP BY 2 UNION ALL SELECT 'updated', month, count(*) FROM x WHERE month IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'faculties', coalesce(f, '(unknown)'), count(*) FROM x WHERE ug = 1 GROUP BY 2
+UNION ALL SELECT 'evaluation', 'eval_exam', count(*) FILTER (k % 2 = 1) / count(*) * 100 FROM x WHERE ug = 1 UNION ALL SELECT 'evaluation', 'eval_report', count(*) FILTER (k % 5 = 0) / count(*) * 100 FROM x WHERE ug = 1
+UNION ALL SELECT 'evaluation', 'eval_quiz', 0 UNION ALL SELECT 'evaluation', 'eval_attend', 100""")
 def metrics_report(spark, d):
-    """Several figures as one long (section, key, value) table."""
-    o = table(spark, d, "orders").withColumn("low", (F.col("o_orderpriority") == "5-LOW").cast("int"))
-    parts = [M.metric(M.totals({"orders": o, "customer": table(spark, d, "customer")}), "totals", F.col("key"), F.col("n")),
-             M.metric(M.group_counts(o, "o_orderstatus"), "status", F.col("o_orderstatus"), F.col("n")),
-             M.metric(M.month_histogram(o, "o_orderdate"), "months", F.col("month"), F.col("n")),
-             M.metric(M.flag_rates(o, ["low"]), "low priority", L("percent"), F.col("percent"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """The whole report over an index of customers and courses made from orders."""
+    k, o = F.col("o_orderkey"), table(spark, d, "orders")
+    index = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 5 == 0, F.array(L("20"), L("20"))).otherwise(F.array(L("20"), L("00"), L("no code"))).alias("kaiko_cd"))
+    raw = o.select(F.nullif("o_orderstatus", L("P")).alias("layout"), F.when(k % 7 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("updated_at"))
+    structured = o.select(F.nullif("o_orderpriority", L("5-LOW")).alias("faculty"), F.when(k % 3 == 0, 1).when(k % 3 == 1, 0).alias("is_undergrad"),
+                          (k % 2).alias("eval_exam"), (k % 5 == 0).cast("int").alias("eval_report"), L(0).alias("eval_quiz"), L(1).alias("eval_attend"))
+    return M.report(index, raw, structured, table(spark, d, "part"))
 
 
 @query("""SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority NULLS FIRST, o_orderkey""")
