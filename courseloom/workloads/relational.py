@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from courseloom.operators import joins as J
 from courseloom.operators import metrics as M
+from courseloom.session import new_folder
+from courseloom.sources import buckets as B
 from courseloom.workloads.registry import query, table, wide
 
 L = F.lit
 
 
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderstatus AS sha FROM orders WHERE o_orderkey % 5 > 0), s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE o_orderstatus END AS sha FROM orders WHERE o_orderkey % 3 > 0)
+SELECT 'all three' AS part, count(*) AS n, sum(k)::BIGINT AS total FROM orders JOIN r ON k = o_orderkey JOIN s USING (k) UNION ALL SELECT 'missing', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey NOT IN (SELECT k FROM r)
+UNION ALL SELECT 'stale', count(*), sum(r.k)::BIGINT FROM r LEFT JOIN s ON s.k = r.k WHERE s.sha IS DISTINCT FROM r.sha""")
+def stored_joins(spark, d):
+    """Index, raw and structured rows stored in buckets of the key: joined, missing and stale ones."""
+    k, o = F.col("o_orderkey"), table(spark, d, "orders")
+    index = o.select(k.alias("course_code"))
+    raw = o.where(k % 5 > 0).select(k.alias("course_code"), F.col("o_orderstatus").alias("body_sha256"))
+    structured = o.where(k % 3 > 0).select(k.alias("course_code"), F.when(k % 7 == 0, "old").otherwise(F.col("o_orderstatus")).alias("extracted_sha256"))
+    mark, key = uuid.uuid4().hex, ["course_code"]
+    index, raw, structured = (B.store(df, f"{name}_{mark}", new_folder(spark, name), key, 16) for name, df in (("listed", index), ("raw", raw), ("structured", structured)))
+    parts = {"all three": index.join(raw, key).join(structured, key), "missing": J.missing(index, raw, key),
+             "stale": J.mismatched(raw, structured, "body_sha256", "extracted_sha256", key)}
+    one = [df.agg(F.count("*").alias("n"), F.sum("course_code").alias("total")).select(L(name).alias("part"), "n", "total") for name, df in parts.items()]
+    return one[0].union(one[1]).union(one[2])
+
+
 @query("""SELECT o.o_orderkey, o.o_orderstatus, q.quantity, q.n_lines, r.n_returned FROM orders o
 JOIN (SELECT l_orderkey, sum(l_quantity) AS quantity, count(*) AS n_lines FROM lineitem GROUP BY 1) q ON q.l_orderkey = o.o_orderkey
 JOIN (SELECT l_orderkey, count(*) AS n_returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.l_orderkey = o.o_orderkey""")

@@ -11,6 +11,7 @@ from courseloom.functions import fields as FL
 from courseloom.functions.text import exploded, search_key
 from courseloom.operators import facets as FC
 from courseloom.operators import joins as J
+from courseloom.operators.paging import RankedPages
 from courseloom.operators.textindex import TextIndex
 from courseloom.session import new_folder
 from courseloom.workloads.registry import query, table, wide
@@ -119,6 +120,21 @@ def result_page(spark, d):
     return FC.result_page(order_catalog(spark, d).select("c", "f"), "f", ["MACHINERY", "BUILDING"], "c", page=1)
 
 
+@query("WITH " + ORDERS + """, r AS (SELECT c, f, row_number() OVER (ORDER BY CASE f WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, CASE WHEN f NOT IN ('MACHINERY', 'BUILDING') THEN f END, c) - 1 AS n FROM oc)
+SELECT n // 300 AS page, n % 300 AS place, c, f FROM r WHERE n // 300 IN (0, 1, 2, 4)""")
+def seek_pages(spark, d):
+    """The first pages, one after the other by the last row seen, and a later one by its number."""
+    pages = RankedPages(spark, new_folder(spark, "ranked")).build(order_catalog(spark, d).select("c", "f"), "f", ["MACHINERY", "BUILDING"], "c")
+    last, out = None, None
+    for number in (0, 1, 2, 4):
+        page = pages.page(number) if number == 4 else pages.after(last)
+        rows = page.collect()                           # a page is 300 rows
+        last = rows[-1]["_place"] if rows else last
+        one = spark.createDataFrame([(number, k, r["c"], r["f"]) for k, r in enumerate(rows)], "page bigint, place bigint, c bigint, f string")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("WITH " + ORDER_SLOTS + """, p AS (SELECT DISTINCT o_orderkey, weekday, period FROM order_slots WHERE weekday <> 'その他')
 SELECT period, """ + ", ".join(f"count(*) FILTER (weekday = '{w}') AS \"{w}\"" for w in "月火水木金土日") + " FROM p GROUP BY period")
 def slot_grid(spark, d):
