@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from courseloom.llm.common import components, partitions, query, step, table
 
@@ -237,25 +236,6 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """One row of ``docs``, with its own columns, for every group of ``groups``: that of the group's
-    least doc_id (of rows that share it, one with the group's least such fingerprint)."""
-    chosen = rooted_fingerprints(step(fingerprints(docs, shingle, seed), "fingerprints"), radius)
-    best = F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "fp"))
-    chosen = step(chosen.groupBy(F.coalesce("root", "fp").alias("group")).agg(best.alias("best"))
-                  .select(F.col("best.fp").alias("__fp"), F.col("best.first").alias("__first")), "chosen")
-    at = docs.columns.index("text")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__mark"])
-
-    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__mark", T.LongType())]))
-    return (marked.join(chosen, (marked["__mark"] == chosen["__fp"]) & marked["doc_id"].eqNullSafe(chosen["__first"]))
-            .dropDuplicates(["__mark", "doc_id"]).select(*(marked[c] for c in docs.columns)))
-
-
 @query()
 def op6_simhash_near_dedup(spark, sf_dir):
     found = groups(table(spark, sf_dir, "documents", "doc_id", "text"))

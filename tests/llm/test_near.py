@@ -54,6 +54,49 @@ def test_all_near_copies_are_found(docs, monkeypatch, small):
     assert got.dtypes == df.dtypes and sorted(r["doc_id"] for r in got.collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("cell", [(256, 200_000), (16, 200_000), (256, 3000)])
+def test_pairs_among_texts_with_a_common_beginning(docs, monkeypatch, cell):
+    """Similar pairs in buckets that texts of other groups fill: none of the pairs is lost."""
+    monkeypatch.setattr(near, "CELL", cell[0])
+    monkeypatch.setattr(near, "CELL_SHINGLES", cell[1])
+    rng = random.Random(3)
+    common = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(200):
+        own = [f"u{i}x{k}" for k in range(rng.choice([36, 40, 60]))]
+        rows.append((2 * i, " ".join(common + own)))
+        rows.append((2 * i + 1, " ".join(common + own[:-17] + [f"v{i}x{k}" for k in range(17)])))
+    rng.shuffle(rows)
+    alone = brute(rows)
+    assert 150 < len(alone) < 300
+    assert sorted(r["doc_id"] for r in representatives(docs(rows)).collect()) == alone
+
+
+def test_cell_links_are_all_pairs():
+    rng = np.random.default_rng(5)
+    for both in (False, True):
+        sets = [np.unique(rng.choice(40, rng.integers(20, 40), replace=False).astype(np.uint64)) for _ in range(60)]
+        node, root, side = np.arange(60) + 100, rng.integers(0, 50, 60), rng.random(60) < 0.5
+        a, b = near.cell_links(node, root, side, both, sets)
+        group = {k: k for k in node.tolist()}
+
+        def find(k):
+            while group[k] != k:
+                k = group[k]
+            return k
+
+        want = dict(group)
+        for x, y in zip(a.tolist(), b.tolist()):
+            group[find(x)] = find(y)
+        got = sorted(sorted(k for k in group if find(k) == g) for g in {find(k) for k in group})
+        group = want
+        for i in range(60):
+            for j in range(i):
+                if similar(sets[i], sets[j]) and root[i] != root[j] and (not both or side[i] != side[j]):
+                    group[find(100 + i)] = find(100 + j)
+        assert got == sorted(sorted(k for k in group if find(k) == g) for g in {find(k) for k in group})
+
+
 def test_the_stage_drops_a_near_copy_with_other_fingerprint(spark, docs):
     from courseloom.llm.simhash import fingerprint
     words = [f"c{k}" for k in range(64)]

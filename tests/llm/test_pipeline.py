@@ -11,14 +11,12 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from courseloom.llm import quality
 from courseloom.llm.quality import Judge, char_counts, plain_words
-from courseloom.llm.simhash import representatives
 from courseloom.llm.tokens import PACKED_BY, vocabulary
 from tests.llm.test_decontaminate import brute as contained_by_hand
 from tests.llm.test_lines import brute as repeats_by_hand
+from tests.llm.test_near import brute as similar_by_hand
 from tests.llm.test_packing import best_fit
 from tests.llm.test_quality import prose, slow_counts
-from tests.llm.test_simhash import brute as linked_by_hand
-from tests.llm.test_simhash import slow_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,12 +74,8 @@ def lines_by_hand(rows):
 
 
 def near_by_hand(rows):
-    prints = {r[0]: slow_fingerprint(r[1]) for r in rows}
-    root = linked_by_hand(list(prints.values()), 2)
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(root[prints[i]], i)
-    return [r for r in rows if first[root[prints[r[0]]]] == r[0]]
+    kept = set(similar_by_hand([(r[0], r[1]) for r in rows]))
+    return [r for r in rows if r[0] in kept]
 
 
 def test_stages(spark, corpus):
@@ -108,15 +102,6 @@ def test_the_stages_are_as_asked():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "packing"]
 
 
-def test_representatives_of_ties_and_nulls(docs):
-    rows = [(5, "a b c d e"), (5, "a b c d e"), (5, "other words are in this one"), (3, "A B C D E"), (None, "lonely text of a null"),
-            (None, "lonely text of a null"), (None, "a b c d e"), (None, None), (7, ""), (7, None)]
-    got = representatives(docs(rows))
-    assert got.columns == docs(rows).columns
-    found = sorted(((r["doc_id"] or -1), r["text"] or "") for r in got.collect())
-    assert found == [(-1, "lonely text of a null"), (3, "A B C D E"), (5, "other words are in this one"), (7, "")]
-
-
 def test_empty_tables(spark, corpus, tmp_path):
     folder, _, _ = corpus
     for name in ("documents", "benchmark"):
