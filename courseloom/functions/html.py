@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -21,8 +20,10 @@ COMMON_ENTITIES = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;", "
 # references to 128-159 mean Windows-1252 characters
 WINDOWS_1252 = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
-_NAMES = sorted(html5, key=len, reverse=True)
-ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(map(re.escape, _NAMES)) + ")"
+# a number, or what can be a name; whether it is one, or begins with one, is looked up
+ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+_BARE = {k: v for k, v in html5.items() if not k.endswith(";")}         # names that need no semicolon
+_BARE_SIZES = sorted({len(k) for k in _BARE}, reverse=True)
 
 
 def _character(code: Column) -> Column:
@@ -36,10 +37,12 @@ def _character(code: Column) -> Column:
 def _entity_text(name: Column) -> Column:
     digits = F.regexp_extract(name, r"^#[xX]?([0-9a-fA-F]+)", 1)
     code = F.when(F.lower(name).startswith("#x"), F.conv(digits, 16, 10)).otherwise(digits)
-    common = F.from_json(F.lit(json.dumps({k: html5[k] for k in COMMON_ENTITIES})), "map<string,string>")
-    full = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
-    return (F.when(name.startswith("#"), _character(F.coalesce(code.try_cast("bigint"), F.lit(0))))
-            .otherwise(F.coalesce(common[name], full[name])))
+    table = lambda names: F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    bare = table(_BARE)
+    # the longest name that the text begins with; without any it stays as it is
+    begins = [F.concat(bare[F.left(name, F.lit(n))], F.substring(name, n + 1, 40)) for n in _BARE_SIZES]
+    named = F.coalesce(table({k: html5[k] for k in COMMON_ENTITIES})[name], table(html5)[name], *begins, F.concat(F.lit("&"), name))
+    return F.when(name.startswith("#"), _character(F.coalesce(code.try_cast("bigint"), F.lit(0)))).otherwise(named)
 
 
 def unescape(c: Column | str) -> Column:

@@ -258,11 +258,15 @@ def redundant_values(spark, d):
     """A subtitle equal to the title, and a raw category that only repeats the final one, are
     blanked; an empty term is taken from the first slot."""
     from courseloom.functions import fields as FL
-    from courseloom.plans.catalog import course_term
+    from courseloom.plans.catalog import shape
     from courseloom.workloads.rules import order_slots
 
-    raw = F.when(F.col("o_orderkey") % 3 == 0, "専門教育科目").otherwise("専攻教育科目 Major")
-    o = wide(spark, d, "orders").withColumn("sl", FL.slots(order_slots())).withColumn("cat", FL.merge_category(FL.normalize_category(raw), L("")))
-    term = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.concat(F.get("sl", 0)["term"], L(" ")))
-    return o.select("o_orderkey", F.when(F.col("o_orderstatus") != F.col("o_orderpriority"), F.col("o_orderstatus")).otherwise("").alias("s"),
-                    F.when(FL.normalize_category(raw) == F.col("cat"), "").otherwise(raw).alias("catr"), course_term(term, F.col("sl")).alias("tm"))
+    k, raw = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, "専門教育科目").otherwise("専攻教育科目 Major")
+    o = wide(spark, d, "orders").withColumn("sl", FL.slots(order_slots()))
+    term = F.when(k % 2 == 0, "").otherwise(F.concat(F.get("sl", 0)["term"], L(" ")))
+    texts = ["faculty", "faculty_raw", "target_grade", "required", "campus", "language", "instructors", "keywords", "numbering", "gr", "gu", "gx", "gt", "ep", "pl", "d"]
+    zeros = ["is_intensive", "is_online", "eval_exam", "eval_report", "eval_quiz", "eval_attend"]
+    rows = o.select(k.alias("course_code"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("subtitle"), "sl", term.alias("term"),
+                    FL.merge_category(FL.normalize_category(raw), L("")).alias("category"), raw.alias("category_raw"), L(2.0).alias("credits"), F.array(L(1)).alias("grades"),
+                    *[L(None).cast("string").alias(c) for c in texts], *[L(0).alias(c) for c in zeros])
+    return shape(rows).select(F.col("c").alias("o_orderkey"), "s", "catr", "tm")
