@@ -19,7 +19,7 @@ from courseloom.llm.common import partitions, query, step, table
 # elements whose content isn't text of the page
 HIDDEN = "script|style|noscript|template|title|textarea|select|svg|math|iframe|object|canvas|audio|video"
 # (what is never closed goes on to the end, so no piece is searched twice)
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -27,14 +27,18 @@ HOLDERS = frozenset("div section article main nav header footer aside form ul ol
 BLOCKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre hr figcaption address "
                              "summary legend body html head center".split())
 # elements, and words of their class, id or role, that hold no main text
-ASIDES = frozenset("nav footer aside form menu dialog button fieldset".split())
+ASIDES = frozenset("nav footer aside menu dialog button fieldset".split())
+FORM_SHARE = 0.5            # a form with more of a page's text is its frame, not an aside
 HINTS = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
                   "header footer sidebar cookie cookies consent notice notices popup modal newsletter subscribe share social related "
                   "recommended login search pagination pager copyright complementary contentinfo comment comments reply replies "
                   "discussion disqus".split())
 TALK = frozenset("comment comments reply replies discussion disqus".split())
 
+PARTS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion cookie cookies newsletter".split())   # of a paragraph, too
+
 VERSION = 0.75              # an article that shares more of its characters is a version of the partner's
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5 # a line leaves an article if so many different pages of the host, and over this share of them, have it
 
 
 @dataclass
@@ -51,13 +55,16 @@ class Line:
 def lines_of(html: str | None) -> list[Line]:
     """The blocks of a page that have text, in page order."""
     out: list[Line] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []     # name, path, aside, article, talk
-    now, parts, at, html = "body", [], 0, html or ""
+    stack: list[tuple[str, str, bool, bool, bool, bool]] = []       # name, path, aside, article, talk, form
+    now, said, parts, at, html = "body", False, [], 0, html or ""
+    formed: list[int] = []                              # lines that only a form says are none of the main text
 
     def close() -> None:
         if parts and (text := " ".join("".join(parts).split())):
-            _, path, aside, article, _ = stack[-1] if stack else ("", "", False, False, False)
-            out.append(Line(f"{path}>{now}", aside, article, text))
+            _, path, aside, article, _, form = stack[-1] if stack else ("", "", False, False, False, False)
+            if form and not (aside or said):
+                formed.append(len(out))
+            out.append(Line(f"{path}>{now}", aside or said or form, article, text))
         parts.clear()
 
     for token in TOKEN.finditer(html):
@@ -74,8 +81,9 @@ def lines_of(html: str | None) -> list[Line]:
                 parts.append(" ")
             continue
         close()
-        now = name
+        now, said = name, False
         if name not in HOLDERS:
+            said = not token[2] and bool(hints_of(token[4]) & PARTS)
             continue
         if token[2]:
             for k in range(len(stack) - 1, -1, -1):
@@ -84,27 +92,36 @@ def lines_of(html: str | None) -> list[Line]:
                     break
             now = "body"
             continue
-        _, path, aside, article, talk = stack[-1] if stack else ("", "", False, False, False)
-        words = {w for m in ATTRIBUTE.finditer(token[4] or "") for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())}
-        said = words & HINTS
-        if name == "main" or name == "article" and not (talk or words & TALK):
-            aside, article = False, True
+        _, path, aside, article, talk, form = stack[-1] if stack else ("", "", False, False, False, False)
+        hints = hints_of(token[4])
+        if name == "main" or name == "article" and not (talk or hints & TALK):
+            aside, article, form = False, True, False
         else:
-            talk = talk or name in ("nav", "aside", "footer") or bool(words & TALK)
-            aside = aside or name in ASIDES or bool(said - {"header"}) or (name == "header" or "header" in said) and not article
-        stack.append((name, f"{path}>{name}{'.' + '.'.join(sorted(said)) if said else ''}", aside, article, talk))
+            talk = talk or name in ("nav", "aside", "footer") or bool(hints & TALK)
+            aside = aside or name in ASIDES or bool(hints - {"header"}) or (name == "header" or "header" in hints) and not article
+            form = form or name == "form"
+        stack.append((name, f"{path}>{name}{'.' + '.'.join(sorted(hints)) if hints else ''}", aside, article, talk, form))
     if at < len(html):
         parts.append(unescape(html[at:]))
     close()
+    if formed and sum(len(out[k].text) for k in formed) > FORM_SHARE * sum(len(x.text) for x in out):
+        for k in formed:
+            out[k].aside = False
     return out
 
 
+def hints_of(attributes: str | None) -> set[str]:
+    """Words of an element's class, id and role that say what it holds."""
+    return {w for m in ATTRIBUTE.finditer(attributes or "") for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())} & HINTS
+
+
 def keys_of(lines: list[Line]) -> list[int]:
     """What lines are compared by: their slot and text; where the elements already say that it
-    isn't main text the slot alone, as such slots are filled anew on every page of a template."""
+    isn't main text the slot alone, as such slots are filled anew on every page of a template. Keys of
+    lines of a declared article are odd."""
     from xxhash import xxh64_intdigest
 
-    return [xxh64_intdigest(x.slot if x.aside else f"{x.slot}\n{x.text}") - (1 << 63) for x in lines]
+    return [(xxh64_intdigest(x.slot if x.aside else f"{x.slot}\n{x.text}") >> 1 << 1 | (x.article and not x.aside)) - (1 << 63) for x in lines]
 
 
 def shared(mine: list[int], other: list[int]) -> list[int]:
@@ -152,9 +169,9 @@ def _runs(keys: list[int]) -> list[tuple[int, list[int]]]:
 def main_text(lines: list[Line], deleted: set[int], quoted: set[int] | frozenset[int] = frozenset()) -> str:
     """What is left when the lines shared with the partner are gone.
 
-    Inside the declared article as outside of it, but there two guards keep main text: a line that
-    only the partner has and not the page on the other side (``quoted``) is a quotation, and where
-    shared lines hold more than VERSION of the article's characters the partner is another version
+    Inside the declared article as outside of it, but there guards keep main text: a line that only
+    the partner has and not the page on the other side, or not most pages of the host, (``quoted``) is
+    a quotation, and where shared lines hold more than VERSION of the article's characters the partner is another version
     of the same article, which says nothing of its lines. Then the exact check: nothing that the
     elements call an aside stays (a slot that the partner lacks), and of a page with a declared
     article nothing but the article.
@@ -188,7 +205,8 @@ PAGE_SQL = "k1 long, k2 long, host string, path string, keys array<long>"
 EDGE = [*PAGE, ("near_path", pa.string()), ("near_keys", pa.list_(pa.int64())), ("first", pa.bool_()), ("last", pa.bool_()),
         ("part", pa.int32()), ("near", pa.int32()), ("shared", pa.list_(pa.int32()))]
 EDGE_SQL = PAGE_SQL + ", near_path string, near_keys array<long>, first boolean, last boolean, part int, near int, shared array<int>"
-FOUND_SQL = "k1 long, k2 long, near int, shared array<int>"
+FOUND_SQL = "k1 long, k2 long, host string, keys array<long>, near int, shared array<int>"
+MERGED_SQL = "g1 long, g2 long, host string, doubt array<struct<p:int,key:bigint>>, shared array<int>"
 
 
 def _pick(path: str, keys: list[int], *others: tuple[str, list[int]] | None) -> tuple[int, list[int]]:
@@ -248,14 +266,30 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [_pick(r["path"], r["keys"], (r["near_path"], r["near_keys"]),
                        (r["lag_path"], r["lag_keys"]) if r["first"] and r["lag_host"] == r["host"] else None,
                        (r["lead_path"], r["lead_keys"]) if r["last"] and r["lead_host"] == r["host"] else None) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([f[0] for f in found], pa.int32()),
-                                          pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["k1", "k2", "near", "shared"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "host", "keys")), pa.array([f[0] for f in found], pa.int32()),
+                                          pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["k1", "k2", "host", "keys", "near", "shared"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_merged([(x["near"], x["shared"]) for x in f]) for f in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["g1", "g2", "shared"])
+        found = [_merged([(x["near"], x["shared"]) for x in f]) for f in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int32()))], ["g1", "g2", "host", "doubt", "shared"])
+
+
+def _spared(merged: DataFrame, folded: DataFrame) -> DataFrame:
+    """g1, g2, shared: lines of an article that the partner has, but not most pages of the host, are
+    marked as quotations. Pages are counted for such lines alone: what a few pages share by chance."""
+    doubts = step(merged.select("g1", "g2", "host", F.explode("doubt").alias("d")).select("g1", "g2", "host", "d.p", "d.key"), "doubts")
+    if doubts.isEmpty():
+        return merged.select("g1", "g2", "shared")
+    asked = step(doubts.select("host", "key").distinct(), "asked")
+    pages = folded.groupBy("host").agg(F.count_distinct("k1", "k2").alias("pages"))
+    having = (folded.select("host", "k1", "k2", F.explode(F.array_distinct("keys")).alias("key")).join(asked, ["host", "key"], "left_semi")
+              .groupBy("host", "key").agg(F.count_distinct("k1", "k2").alias("n")))
+    template = having.join(pages, "host").filter((F.col("n") >= TEMPLATE_PAGES) & (F.col("n") > TEMPLATE_SHARE * F.col("pages"))).select("host", "key")
+    kept = doubts.join(template, ["host", "key"], "left_anti").groupBy("g1", "g2").agg(F.collect_set("p").alias("kept"))
+    mark = F.transform("shared", lambda x: F.when((x % 2 == 0) & F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), F.shiftright(x, 1)), x + 1).otherwise(x))
+    return merged.join(kept, ["g1", "g2"], "left").select("g1", "g2", mark.alias("shared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -266,10 +300,13 @@ def extract(pages: DataFrame) -> DataFrame:
        their paths. These thin rows are range-partitioned and sorted by host and path, so the nearest
        pages by path are the rows next to each other, however many pages a host has. Each is aligned
        with the nearer of its neighbours by a longest common subsequence of keys. The two rows at the
-       borders of each part find their neighbour over the border in a table of two rows a part.
+       borders of each part find their neighbour over the border in a table of two rows a part. A line
+       of a declared article only counts as shared if most different pages of the host have it, three
+       at least.
     3. The positions of shared lines go to all copies by an equi-join on a 128-bit digest of host and
        keys, back to the pages by one on a digest of the row, and are deleted; see ``main_text``.
 
+    A form with over half of a page's text is no aside; a paragraph whose class calls it an advert is.
     A null html is empty and gives the empty text. A null or odd url makes a page of the host "".
     Repeated rows are one page to the pairing and are returned each. Extra columns aren't read, an
     empty table gives no row, texts of any length are read whole.
@@ -300,16 +337,22 @@ def extract(pages: DataFrame) -> DataFrame:
     folded = (thin.groupBy("g1", "g2").agg(F.first("host").alias("host"), F.min("path").alias("low"), F.max("path").alias("high"),
                                            F.first("keys").alias("keys"))
               .select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "host", F.explode(F.array_distinct(F.array("low", "high"))).alias("path"), "keys"))
-    aligned = step(step(folded, "folded").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    folded = step(folded, "folded")
+    aligned = step(folded.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
                    .mapInArrow(_adjacent, EDGE_SQL), "aligned")
     over = Window.orderBy("part", F.col("last").cast("int"))
     borders = aligned.filter("shared is null")
     for side, shift in (("lag", F.lag), ("lead", F.lead)):
         for name in ("host", "path", "keys"):
             borders = borders.withColumn(f"{side}_{name}", shift(name).over(over))
-    found = (aligned.filter("shared is not null").select("k1", "k2", "near", "shared").union(borders.mapInArrow(_borders, FOUND_SQL))
-             .filter("near >= 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("near", "shared")).alias("found")))
-    merged = step(found.mapInArrow(_merge, "g1 long, g2 long, shared array<int>").filter("size(shared) > 0"), "merged")
+    at = lambda x: F.shiftright(x, 1)
+    doubt = F.transform(F.filter("shared", lambda x: (x % 2 == 0) & (F.get("keys", at(x)) % 2 != 0)),
+                        lambda x: F.struct(at(x).alias("p"), F.get("keys", at(x)).alias("key")))
+    found = (aligned.filter("shared is not null").select("k1", "k2", "host", "keys", "near", "shared").union(borders.mapInArrow(_borders, FOUND_SQL))
+             .filter("near >= 0").select("k1", "k2", "host", doubt.alias("doubt"), F.struct("near", "shared").alias("found"))
+             .groupBy("k1", "k2").agg(F.first("host").alias("host"), F.flatten(F.collect_list("doubt")).alias("doubt"), F.collect_list("found").alias("found")))
+    merged = step(found.mapInArrow(_merge, MERGED_SQL).filter("size(shared) > 0"), "merged")
+    merged = _spared(merged, folded)
     gone = step(thin.select("k1", "k2", "g1", "g2").distinct().join(merged, ["g1", "g2"]).select("k1", "k2", "shared"), "gone")
     types = [f"{n} {pages.schema[n].dataType.simpleString()}" for n in ("page_id", "url")]
     return (keyed.join(gone, ["k1", "k2"], "left").select("page_id", "url", "html", "shared")

@@ -57,6 +57,10 @@ def test_blocks():
     (None, ""), ("", ""), ("plain", "plain"), ("<p>open <i>end", "open end"), ("a < b <3 <p>c", "a < b <3\nc"), ("<article><p>x<script>y", "x"),
     ("<main><p>m</main><p>n", "m"), ("<article></article><p>only", "only"), ("<p>a<!-- b", "a"), ('<div class=sidebar><p>s</div><p>t', "t"),
     ("<article class=comment><p>c</article><p>t", "t"), ("</div></p>x</article>", "x"), ("<p title='a>b'>q</p >r", "q\nr"),
+    ('<p>Before</p><svg width="1"/><p>After <math/>text</p>', "Before\nAfter text"), ("<p>a<svg><text>x</text></svg>b", "a b"), ("<p>a<script/>x</script>b", "a b"),
+    ("<form id=f><nav>menu</nav><div><p>The body lies in a form</p><p>all of it</p></div></form>", "The body lies in a form\nall of it"),
+    ("<p>A long text of the page itself</p><form><p>Your name</p></form>", "A long text of the page itself"),
+    ('<article><p>x</p><p class="advert">buy</p><p class="lead">y</p></article>', "x\ny"),
 ])
 def test_odd_pages(html, text):
     assert text_of(html) == text
@@ -116,7 +120,7 @@ def test_slots_of_asides_are_shared_by_place():
 
 def test_registered_pages_keep_their_article(spark):
     import os
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):
         pytest.skip("no test tables")
     from html import unescape
@@ -145,6 +149,18 @@ def test_template_lines_leave_the_declared_article(spark):
     assert got == {k: f"Head {k}\nown words {k} of this page\nand more {k}" + "\nown words 8 of this page" * (k == 7) for k in range(30)}
 
 
+def test_a_sentence_that_a_few_pages_share_stays(spark):
+    """Neighbours at a host's ends and inside it, which have an ordinary sentence of the article, too."""
+    bodies = [f"<p>own words {k} of this page</p><p>and more {k}</p>" for k in range(30)]
+    for k in (0, 1, 11, 12, 13, 28, 29):
+        bodies[k] += "<p>a sentence by chance</p>"
+    rows = [(k, f"http://h.example/p/{k:02}", with_article("h", k, b)) for k, b in enumerate(bodies)]
+    rows += [(40 + k, f"http://two.example/{k}", f"<article><p>page {k}</p><p>said on both</p></article>") for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got == {**{k: f"Head {k}\nown words {k} of this page\nand more {k}" + "\na sentence by chance" * ("chance" in bodies[k]) for k in range(30)},
+                   40: "page 0\nsaid on both", 41: "page 1\nsaid on both"}
+
+
 def test_versions_of_an_article_stay_whole():
     body = [f"<p>paragraph {j} of one article</p>" for j in range(10)]
     a, b = (lines_of("<article>" + "".join(body[:4] + [f"<p>edited {k}</p>"] + body[4:]) + "</article>") for k in (1, 2))
