@@ -77,6 +77,20 @@ def test_held_out(corpus):
     assert np.mean(few) < np.mean(many)
 
 
+def test_rows_as_the_model_has_them_and_repeated_ids(corpus):
+    rows, marks, docs, spark = corpus
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    one, many = train(docs(rows[:300]), labels), train(docs(rows[:300] + [rows[5]] * 40 + [(7, None)] * 9), labels)
+    assert one.place == many.place and np.array_equal(one.weights, many.weights) and np.array_equal(one.cuts, many.cuts)
+    odd = [(3000, None), (3001, ""), (3002, "unknown words only"), (3003, "scum " * 20000)]
+    texts = dict(rows[:300] + odd)
+    for r in score(docs(rows[:300] + odd), one).collect():
+        over = one.over(toxicity.words_of(texts[r["doc_id"]]))
+        each = [1 - over[0], over[0] - over[1], over[1]]
+        assert r["p_toxic"] == pytest.approx(over[0]) and r["severity"] == pytest.approx(over.sum())
+        assert each[r["grade"]] == pytest.approx(max(each)) and r["toxic"] == (over[0] > toxicity.TOXIC_OVER)
+
+
 def test_nothing_to_learn(corpus, docs):
     rows, marks, docs, spark = corpus
     none = spark.createDataFrame([], "doc_id long, toxic int")
