@@ -54,7 +54,7 @@ def magic_files(spark, d):
 
 
 @query("SELECT 'there' AS file, count(*) AS n_rows, 0 AS n_problems FROM supplier UNION ALL SELECT 'missing', 0, 1")
-def optional_files(spark, d):
+def side_files(spark, d):
     """A side file that is there, and one that is missing: no rows and a quality row."""
     path = new_folder(spark, "side")
     table(spark, d, "supplier").select("s_suppkey", "s_name").write.json(path)
