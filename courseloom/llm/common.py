@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courseloom.session import shared_folder
+from courseloom.session import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,8 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, under this application's folder."""
-    return f"{shared_folder(spark)}/courseloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, under this application's folder, which goes when the
+    driver ends."""
+    return new_folder(spark, name)
 
 
 def step(df: DataFrame, name: str) -> DataFrame:
