@@ -283,9 +283,10 @@ def _spared(merged: DataFrame, folded: DataFrame) -> DataFrame:
     if doubts.isEmpty():
         return merged.select("g1", "g2", "shared")
     asked = step(doubts.select("host", "key").distinct(), "asked")
-    pages = folded.groupBy("host").agg(F.count_distinct("k1", "k2").alias("pages"))
-    having = (folded.select("host", "k1", "k2", F.explode(F.array_distinct("keys")).alias("key")).join(asked, ["host", "key"], "left_semi")
-              .groupBy("host", "key").agg(F.count_distinct("k1", "k2").alias("n")))
+    once = folded.filter("place = 0")                   # a page has a row for its first path, and one for its last
+    pages = once.groupBy("host").agg(F.count("*").alias("pages"))
+    having = (once.select("host", F.explode(F.array_distinct("keys")).alias("key")).join(asked, ["host", "key"], "left_semi")
+              .groupBy("host", "key").agg(F.count("*").alias("n")))
     template = having.join(pages, "host").filter((F.col("n") >= TEMPLATE_PAGES) & (F.col("n") > TEMPLATE_SHARE * F.col("pages"))).select("host", "key")
     kept = doubts.join(template, ["host", "key"], "left_anti").groupBy("g1", "g2").agg(F.collect_set("p").alias("kept"))
     mark = F.transform("shared", lambda x: F.when((x % 2 == 0) & F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), F.shiftright(x, 1)), x + 1).otherwise(x))
@@ -336,9 +337,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 .withColumns({"g1": F.xxhash64("host", "keys"), "g2": F.xxhash64(F.lit(1), "keys", "host")}), "lines")
     folded = (thin.groupBy("g1", "g2").agg(F.first("host").alias("host"), F.min("path").alias("low"), F.max("path").alias("high"),
                                            F.first("keys").alias("keys"))
-              .select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "host", F.explode(F.array_distinct(F.array("low", "high"))).alias("path"), "keys"))
+              .select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "host", F.posexplode(F.array_distinct(F.array("low", "high"))).alias("place", "path"), "keys"))
     folded = step(folded, "folded")
-    aligned = step(folded.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    aligned = step(folded.drop("place").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
                    .mapInArrow(_adjacent, EDGE_SQL), "aligned")
     over = Window.orderBy("part", F.col("last").cast("int"))
     borders = aligned.filter("shared is null")
