@@ -11,6 +11,10 @@ from courseloom.functions.text import collapse, exploded
 from courseloom.operators.ordered import fill_down
 
 
+HEAD = 8                    # letters of a title that a line is looked up by, at most
+HINTS = 1024                # numbers that the beginnings of a page's titles are told apart by
+
+
 def read_pages(spark: SparkSession, path: str, charset: str = "UTF-8", pattern: str = "*.html") -> DataFrame:
     """Landed page files as (path, modified, html). Bytes that the charset lacks are replaced."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
@@ -65,24 +69,35 @@ def header_rows(rows: DataFrame, key: list[str], row_no: str = "row_no", cells:
     return body.select(*key, row_no, *[F.coalesce(pick(n), F.lit("")).alias(n) for n in wanted])
 
 
+def beginnings(lines: DataFrame, wanted: DataFrame, page: list[str]) -> DataFrame:
+    """(page, line, _code, _head): the pieces of each line that a title of its page may begin with.
+
+    ``wanted`` has the first letters of a title as ``_head``. Each page says which lengths and which
+    of HINTS numbers its heads have, so a line sends on few pieces that no title begins with.
+    """
+    number = lambda head: F.pmod(F.xxhash64(head), F.lit(HINTS)).cast("int")
+    hints = wanted.groupBy(*page).agg(F.collect_set(F.length("_head")).alias("_sizes"), F.collect_set(number(F.col("_head"))).alias("_numbers"))
+    heads = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{HEAD}}}))"), F.lit(1))
+    heads = F.flatten(F.transform("_sizes", lambda n: F.transform(heads, lambda h: F.left(h, n))))
+    heads = F.filter(F.array_distinct(heads), lambda h: F.array_contains("_numbers", number(h)))
+    return exploded(lines.join(hints, page), [*page, "line", "_code"], heads, "_head")
+
+
 def recover_codes(rows: DataFrame, lines: DataFrame, page: list[str], code: str, title: str, room: str, term: str) -> DataFrame:
     """Rows without a code take it from the page's text, when exactly one line fits.
 
     A line fits when it starts with a code and holds the row's title, room and term (blank
     ones are not asked for). Rows that stay without a code are left out. Lines meet rows on
-    the page and on the title's first letters, spread from the line, so that a long page is
-    not paired with itself.
+    the page and on the title's first letters, so that a long page is not paired with itself.
     """
     ok = F.regexp_like(F.col(code), F.lit(V.CELL_CODE))
     good = rows.where(ok)
     lost = rows.where(~ok).where(F.col(title) != "")
     asked = [*page, title, room, term]                  # what a line is compared with; rows alike in it share their answer
     coded = lines.select(*page, "line", F.regexp_extract("line", "(?U)" + V.LINE_CODE, 1).alias("_code")).where("_code <> ''")
-    heads = F.array_distinct(F.regexp_extract_all("line", F.lit("(?s)(?=(.{1,4}))"), F.lit(1)))
-    heads = F.array_distinct(F.flatten(F.transform(heads, lambda h: F.array(*[F.left(h, F.lit(n)) for n in (1, 2, 3, 4)]))))
-    spots = exploded(coded, [*page, "line", "_code"], heads, "_head")
+    wanted = lost.select(*asked).distinct().withColumn("_head", F.left(title, F.lit(HEAD)))
+    spots = beginnings(coded, wanted, page)
     fits = F.contains("line", F.col(title)) & F.contains("line", F.col(room)) & F.contains("line", F.col(term))
-    wanted = lost.select(*asked).distinct().withColumn("_head", F.substring(title, 1, 4))
     found = (wanted.join(spots, [*page, "_head"]).where(fits).groupBy(*asked)
              .agg(F.min("_code").alias("_lo"), F.max("_code").alias("_hi")).where("_lo = _hi"))
     back = lost.join(found, asked).withColumn(code, F.col("_lo")).select(*rows.columns)

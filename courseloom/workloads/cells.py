@@ -45,7 +45,7 @@ SELECT page, full_code AS code, title, room, term FROM o WHERE k % 4 > 0 UNION A
 def recover_codes(spark, d):
     """Rows that lost their code take it from the page's text, when one line fits."""
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select(F.floor(k / 50).alias("page"), k, F.concat(L("2"), F.lpad(k.cast("string"), 7, "0")).alias("full"),
+    o = wide(spark, d, "orders").select(F.floor(k / 50).alias("page"), k, F.concat(L("2"), F.lpad(k.cast("string"), 7, "0")).alias("full"),
                                          F.concat(L("T"), k).alias("title"), F.substring("o_orderpriority", 1, 1).alias("room"), F.col("o_orderstatus").alias("term"))
     rows = o.select("page", F.when(k % 4 == 0, "").otherwise(F.col("full")).alias("code"), "title", "room", "term")
     lines = o.select("page", F.concat("full", L(" "), F.when(k % 8 == 4, "other").otherwise(F.col("title")), L(" ; "), "term", L(" "), "room").alias("line"))

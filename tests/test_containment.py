@@ -8,7 +8,7 @@ from courseloom.operators import containment
 from courseloom.operators.containment import contains_known, nearest_name, occurrences
 from courseloom.operators.joins import nest, nest_pages, with_children
 from courseloom.operators.ordered import fill_down, previous_value, running_count
-from courseloom.sources.pages import optional, recover_codes
+from courseloom.sources.pages import beginnings, optional, recover_codes
 from pyspark.sql import functions as F
 
 LETTERS = "ab\n😀𠮷野é"
@@ -96,3 +96,12 @@ def test_codes_are_recovered_for_repeated_rows(spark):
                                   ("p", "", "英語会話", "B4", "前期")], "page string, code string, title string, room string, term string")
     got = recover_codes(rows, lines, ["page"], "code", "title", "room", "term").collect()
     assert sorted((r["code"], r["room"]) for r in got) in ([("26051101", "A12"), ("26051101", "A12"), ("26051103", "B4")],)
+
+
+def test_a_line_sends_on_only_what_titles_of_its_page_begin_with(spark):
+    lines = spark.createDataFrame([(p, f"2605110{p} " + "".join(chr(0x4E00 + i) for i in range(300)), f"2605110{p}") for p in range(3)], "page int, line string, _code string")
+    wanted = spark.createDataFrame([(0, "\u4e05\u4e06"), (0, "\u4e10" + "x" * 7), (1, "absent")], "page int, _head string")
+    got = beginnings(lines, wanted, ["page"]).collect()
+    assert (0, "\u4e05\u4e06") in {(r["page"], r["_head"]) for r in got}
+    assert len(got) < 12                                # of some 900 pieces; a page without a lost title has none
+    assert not any(r["page"] == 2 for r in got)
