@@ -230,12 +230,16 @@ def code_rooms(found: DataFrame, courses: DataFrame) -> DataFrame:
                        F.when(ok, "ok").otherwise("disagree").alias("verdict"))
 
 
-def unknown_code_rows(found: DataFrame, courses: DataFrame) -> DataFrame:
-    """Codes in lines that no course has, at their first sighting."""
-    new = found.join(courses.select("code"), "code", "left_anti")
+def unknown_code_rows(found: DataFrame, courses: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Codes in lines that no course has, at their first sighting.
+
+    ``scope``: columns of both tables within which a code stands for one course, where the same
+    code means another one elsewhere; a code is then unknown, and first sighted, in its scope.
+    """
+    new = found.join(courses.select(*scope, "code"), [*scope, "code"], "left_anti")
     s = F.coalesce("season", F.lit(""))
-    agg = new.groupBy("code").agg(F.min(F.struct(*READING, "file", s.alias("season"))).alias("f"))
-    return agg.select("code", "f.file", "f.season")
+    agg = new.groupBy(*scope, "code").agg(F.min(F.struct(*READING, "file", s.alias("season"))).alias("f"))
+    return agg.select(*scope, "code", "f.file", "f.season")
 
 
 def progressive(rows: DataFrame, courses: DataFrame) -> DataFrame:

@@ -67,12 +67,13 @@ def _rank(faculty) -> Column:
 
 
 def build(lines: DataFrame, sessions: DataFrame, courses: DataFrame, urls: DataFrame | None = None,
-          grid_file: str = "") -> dict[str, DataFrame]:
+          grid_file: str = "", code_scope: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """One room per course, statistics per faculty, titles and codes that no course has.
 
     ``lines``: faculty, file, file_ord, line_no, season, line. ``urls``: file, source_url, the page
     that offers a file; ``grid_file`` is the file of the sessions. ``rooms`` (c, room, faculty, file,
     source_url) is what the catalog merges. ``missing_by_faculty`` counts the missing rows.
+    ``code_scope``: see ``resolve.unknown_code_rows``.
     """
     matched = written(marker_matches(lines, courses), "matched")
     code_lines = lines.where(F.col("faculty") == CODE_FACULTY)
@@ -112,7 +113,7 @@ def build(lines: DataFrame, sessions: DataFrame, courses: DataFrame, urls: DataF
     lost = matched.where(F.col("code").isNull() & ~F.col("ambiguous") & F.col("faculty").isin(reported))
     seen = _union([R.missing_rows(lost, known), new_slashes]).withColumn("file_ord", F.struct(_rank(F.col("faculty")).alias("rank"), "file_ord"))
     titles = R.sightings(seen, "name")
-    codes = R.unknown_code_rows(found, courses).select(
+    codes = R.unknown_code_rows(found, courses, code_scope).select(
         F.lit("").alias("title"), "code", F.lit("").alias("room"), F.lit(CODE_FACULTY).alias("faculty"), "file", "season")
     missing = written(_union([titles.drop("name"), codes]), "missing")
     return {"rooms": rooms, "stats": stats, "missing": missing.orderBy("faculty", "title", "code"), "matched": matched,

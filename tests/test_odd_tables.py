@@ -22,3 +22,13 @@ def same(spark, folder, name):
 def test_references_that_the_writer_does_not_make_are_text(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert same(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("name", ["unknown_codes", "missing_by_faculty"])
+def test_codes_of_orders_that_read_alike(spark, tmp_path, name):
+    keys = [(1, "F"), (2, "P"), (3, "O"), (5000001, "F"), (5000002, "P"), (5000003, "P"), (10000010, "O"), (10000011, "P"), (10000012, "P")]
+    spark.createDataFrame([(k, k % 3, s, 1.0, "1-URGENT") for k, s in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").selectExpr(
+        "*", "timestamp'1995-05-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"name {k}", "b", f"TYPE {k}", 4, 1.0) for k in range(3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(
+        f"{tmp_path}/part.parquet")
+    assert same(spark, tmp_path, name)
