@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by bands of min-hashes."""
+"""Near copies by exact Jaccard similarity of word shingles: SimHash fingerprints searched by vantage-point
+trees give the first candidates, bands of min-hashes those whose fingerprints lie further apart."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courseloom.llm.common import components, partitions, step
+from courseloom.llm.simhash import RADIUS, near_links
 
 SHINGLE = 5                 # words
 SIMILARITY = 0.8            # Jaccard similarity of two texts' sets of shingles, at least
@@ -56,6 +58,14 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxh64_intdigest(least[k * ROWS:(k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles: a bit is set if it is set in over half of their hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[k:k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= SIMILARITY * (len(a) + len(b) - both)
@@ -94,6 +104,21 @@ def candidates(met: DataFrame, sets: DataFrame) -> DataFrame:
     return step(found.filter(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b"), "pairs")
 
 
+def fingerprint_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a > b, of sets (node, n, fp) whose fingerprints are linked by the vantage-point trees.
+
+    Fingerprints are folded first; each node meets the least node of its fingerprint, and that one the
+    least nodes of the fingerprints linked to its own.
+    """
+    mine = sets.filter("n > 0").select("node", "n", "fp")
+    distinct = step(mine.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low")).select("fp", "low.node", "low.n"), "fingerprints")
+    end = lambda x: distinct.select(F.col("fp").alias(x), F.struct("node", "n").alias(f"{x}_"))
+    linked = near_links(distinct.select("fp"), radius).distinct().join(end("a"), "a").join(end("b"), "b").select("a_", "b_")
+    equal = mine.join(distinct.select("fp", F.struct("node", "n").alias("b_")), "fp").select(F.struct("node", "n").alias("a_"), "b_").filter("a_.node <> b_.node")
+    both = linked.union(equal).filter(F.least("a_.n", "b_.n") >= SIMILARITY * F.greatest("a_.n", "b_.n"))
+    return step(both.select(F.greatest("a_.node", "b_.node").alias("a"), F.least("a_.node", "b_.node").alias("b")), "fingerprint-pairs")
+
+
 def unresolved(met: DataFrame, sets: DataFrame, member: DataFrame) -> DataFrame:
     """(node, n, root, family) of what large buckets leave open, given the components found so far.
 
@@ -226,8 +251,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     share it, one with the group's least such digest).
 
     Rows with the same set of shingles are folded first, with map-side combining; empty and null texts
-    have the same empty set. Two sets are compared if they have one of BANDS bands of min-hashes in
-    common; in buckets that many sets share, all pairs that the components found so far leave open are
+    have the same empty set. Two sets are compared if their SimHash fingerprints are linked, or if they
+    have one of BANDS bands of min-hashes in common; in buckets that many sets share, all pairs that the components found so far leave open are
     compared, in blocks. A null doc_id is a member, and stays only where nothing else is in the
     group. Extra columns are kept as they are, an empty table gives no row.
     """
@@ -238,7 +263,8 @@ def representatives(docs: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([bands(x) for x in found], pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands"])
+                 pa.array([bands(x) for x in found], pa.list_(pa.int64())), pa.array([fingerprint(x) for x in found], pa.int64())],
+                ["doc_id", "node", "n", "bands", "fp"])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +272,8 @@ def representatives(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__mark"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    marked = step(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {id_type}, node long, n long, bands array<long>"), "marked")
-    sets = step(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    marked = step(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {id_type}, node long, n long, bands array<long>, fp long"), "marked")
+    sets = step(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "nodes")
     tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("__mark", T.LongType())]))
     own = (tagged.join(sets.select(F.col("node").alias("__node"), F.col("first").alias("__first")),
                        (F.col("__mark") == F.col("__node")) & tagged["doc_id"].eqNullSafe(F.col("__first")))
@@ -255,7 +281,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     own = step(own, "firsts")
     texts = own.select(F.col("__mark").alias("node"), "text")
     met = banded(sets)
-    found = links(candidates(met, sets), texts)
+    found = links(fingerprint_pairs(sets).union(candidates(met, sets)).distinct(), texts)
     member = step(components(found), "components")
     rest = unresolved(met, sets, member)
     if not rest.isEmpty():

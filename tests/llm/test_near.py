@@ -118,3 +118,19 @@ def test_bands_meet_by_similarity():
     b = np.unique(np.concatenate([a[:9000], shingles("x " * 20)]))
     assert len(bands(a)) == near.BANDS and bands(a[:0]) == [] and set(bands(a[:-9])) & set(bands(a))
     assert similar(a, a[:-9]) and not similar(a, b)
+
+
+def test_fingerprints_link_without_any_band(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    while len(rows) < 40:
+        words = [f"w{rng.randrange(4000)}" for _ in range(900)]
+        copy = list(words)
+        copy[rng.randrange(900)] = "edited"
+        one, two = " ".join(words), " ".join(copy)
+        if (near.fingerprint(shingles(one)) ^ near.fingerprint(shingles(two))).bit_count() <= 2:
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near, "candidates", lambda met, sets: none)     # the bands' own candidates
+    monkeypatch.setattr(near, "unresolved", lambda met, sets, member: none)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in representatives(docs).collect()) == brute(rows) == list(range(0, 40, 2))
