@@ -205,3 +205,12 @@ def test_shift_jis_pages(spark, tmp_path):
     assert PG.read_pages(spark, str(tmp_path), "Shift_JIS").first().html.startswith("<p>文学部　講義</p>")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(str(tmp_path))
     assert [r.path[-5:] for r in PG.only_magic(files).collect()] == ["b.pdf"]
+
+
+def test_tasks_of_a_spread_table_do_not_grow(spark, monkeypatch):
+    from courseloom import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    rows = spark.range(0, 3000, 1, 2)
+    assert session.spread(rows).rdd.getNumPartitions() == 30 and session.spread(rows).count() == 3000
+    assert session.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
