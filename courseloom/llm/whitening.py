@@ -154,9 +154,13 @@ class Whitening:
         return self.values > self.length * np.finfo(float).eps * max(self.trace, 0)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        """Whitened coordinates of whole-number vectors; NaN where the eigenvalue is zero."""
+        """Whitened coordinates of whole-number vectors; NaN where the eigenvalue is zero. The entries
+        are added in their order: a matrix product may add a row's in another with the batch's size."""
         scale = np.where(self.known(), np.sqrt(np.where(self.known(), self.values, 1)), np.nan)
-        return ((x - self.base()) - self.rest() / self.n) @ self.vectors.T / scale
+        centred, out = (x - self.base()) - self.rest() / self.n, np.zeros((len(x), len(self.values)))
+        for entry, part in zip(centred.T, self.vectors.T):
+            out += entry[:, None] * part
+        return out / scale
 
     def deviations(self, x: np.ndarray) -> list[int]:
         """Sum over dimensions of (n * x - sum)^2, exact."""

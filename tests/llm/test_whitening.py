@@ -111,3 +111,14 @@ def test_result_does_not_depend_on_the_dealing(spark, table):
     df = table([(i, v) for i, v in enumerate(rng.normal(size=(200, 9)).tolist())]).withColumn("embedding", F.col("embedding").cast("array<float>"))
     key = lambda df: sorted((r["vec_id"], r["component"], r["whitened"], r["explained"]) for r in df.collect())
     assert key(whitened(df)) == key(whitened(df.repartition(7)))
+
+
+def test_a_row_projects_alike_in_any_batch():
+    from courseloom.llm.whitening import Whitening
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(90_000, 110_000, (400, 65))
+    held = Whitening(400, 65, [int(s) for s in x.sum(axis=0)], np.arange(9, 1, -1.0), rng.normal(size=(8, 65)), 100.0)
+    whole = held.project(x)
+    for size in (1, 2, 3, 7, 30, 129):
+        assert np.array_equal(whole, np.concatenate([held.project(x[i:i + size]) for i in range(0, 400, size)]))
