@@ -22,7 +22,7 @@ def department(title: Column | str, codes=V.DEPARTMENT_CODES) -> Column:
 
 
 def credits(raw: Column | str) -> Column:
-    return number(blank_null(first_group(raw, V.FIRST_NUMBER)))
+    return number(blank_null(first_group(raw, V.FIRST_NUMBER)))       # a failed cast costs an exception
 
 
 def slots(raw: Column | str) -> Column:
@@ -92,7 +92,7 @@ def grades(target: Column | str, faculty: Column | str) -> Column:
     cap = top_grade(faculty)
     s = drop(half_digits(text_or_empty(target)), V.ENROLL_YEAR, " ")
     everyone = F.sequence(F.lit(1), cap)
-    least = first_group(s, V.GRADE_OR_MORE).try_cast("int")
+    least = blank_null(first_group(s, V.GRADE_OR_MORE)).try_cast("int")
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit("([1-6])"), F.lit(1)).cast("array<int>")))
     filled = F.when((F.size(found) > 1) & has(s, V.GRADE_RANGE),
                     F.sequence(F.array_min(found), F.array_max(found))).otherwise(found)
@@ -109,7 +109,7 @@ def any_of(c: Column, words) -> Column:
 
 
 def numbering_level(numbering: Column | str) -> Column:
-    return half_digits(first_group(numbering, V.NUMBERING_LEVEL)).try_cast("int")
+    return half_digits(blank_null(first_group(numbering, V.NUMBERING_LEVEL))).try_cast("int")
 
 
 def undergraduate(faculty, faculty_cat, category, target, numbering) -> Column:

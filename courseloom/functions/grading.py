@@ -131,7 +131,7 @@ def unused_methods(runs: Column) -> Column:
     return F.transform(F.filter(runs, lambda r: is_unused(r["desc"])), lambda r: r["method"])
 
 
-def with_grading(df, raw: str, prefix: str = ""):
+def with_grading(df, raw: Column | str, prefix: str = ""):
     """Add rows, unused, extra and total of a grading column: ``gr gu gx gt``.
 
     Staged columns, so that each expression is evaluated once.

@@ -40,7 +40,7 @@ def _rows(blocks: Column) -> Column:
     return blocks
 
 
-def with_plan(df, candidates: list[str], out: str = "pl"):
+def with_plan(df, candidates: list[Column | str], out: str = "pl"):
     """Add the plan rows read from the candidate column with the most number lines.
 
     Numbers must start at 1 and strictly rise; otherwise the text is no plan and the array

@@ -64,12 +64,16 @@ def section_text(secs: Column | str, label: str | Column | None) -> Column:
     return F.coalesce(F.get(secs["texts"], (at - 1).cast("int")), F.lit(""))
 
 
-def layout_text(secs: Column | str, layout: Column | str, by_layout: dict[str, str | None]) -> Column:
-    """Text of the label that the row's layout uses for one column."""
-    label = F.lit(None).cast("string")
-    for name, lb in by_layout.items():
-        label = F.when(col(layout) == name, F.lit(_one_line(lb) if lb else None)).otherwise(label)
-    return F.coalesce(section_text(secs, label), F.lit(""))
+def label_texts(secs: Column | str, layout: Column | str, by_layout: dict[str, list[str | None]],
+                other: list[str | None]) -> Column:
+    """Array of the texts under the labels that the row's layout lists (``other``: any other layout), empty
+    for ``None`` and for labels that the body lacks. One short loop: a lookup a column makes a method too
+    long for the JVM to compile."""
+    names = lambda labels: F.array(*[F.lit(_one_line(lb) if lb else None).cast("string") for lb in labels])
+    wanted = None
+    for name, labels in by_layout.items():
+        wanted = (F if wanted is None else wanted).when(col(layout) == name, names(labels))
+    return F.transform(wanted.otherwise(names(other)), lambda label: section_text(secs, label))
 
 
 def section_rows(df: DataFrame, keys: list[str], secs: str = "secs") -> DataFrame:

@@ -12,7 +12,7 @@ from courseloom.functions import grading as G
 from courseloom.functions import plan as P
 from courseloom.functions.text import blank_null, collapse, exploded
 from courseloom.operators.facets import fold_values, rare_values
-from courseloom.operators.sections import layout_text, section_text, sections_by_layout
+from courseloom.operators.sections import label_texts, sections_by_layout
 from courseloom.session import written
 
 KEY = ["university_id", "year", "course_code"]
@@ -25,19 +25,22 @@ STRUCTURED = [
 NESTED = ["sl", "gr", "gu", "gx", "gt", "ep", "pl", "d"]
 
 
+# the texts read from a body, in the order of their array: a label for each layout, or one for all of them
+READ = {**V.FIELD_LABELS, **{f"{part}{i}": (label,) * len(V.LAYOUT_LABELS) for part, labels in (
+    ("outline", V.OUTLINE_LABELS), ("grading", V.GRADING_LABELS), ("plan", V.PLAN_LABELS)) for i, label in enumerate(labels)}}
+
+
 def field_texts(raw: DataFrame) -> DataFrame:
-    """Raw rows with one text column per field, read from the label of the row's layout."""
+    """Raw rows with the text of each field, in the order of ``READ``, as one array ``x``; a field is read
+    from the label of the row's layout. One array is cheaper to hand on than a column a field."""
     df = raw.withColumn("layout", F.coalesce("layout", F.lit("A"))).withColumn("_secs", sections_by_layout("body", "layout"))
-    layouts = list(V.LAYOUT_LABELS)
-    for name, labels in V.FIELD_LABELS.items():
-        df = df.withColumn(f"x_{name}", layout_text("_secs", "layout", dict(zip(layouts, labels))))
-    for i, label in enumerate(V.OUTLINE_LABELS):
-        df = df.withColumn(f"x_outline{i}", section_text("_secs", label))
-    for i, label in enumerate(V.GRADING_LABELS):
-        df = df.withColumn(f"x_grading{i}", section_text("_secs", label))
-    for i, label in enumerate(V.PLAN_LABELS):
-        df = df.withColumn(f"x_plan{i}", section_text("_secs", label))
-    return df.drop("_secs", "body")
+    labels = {name: [at[i] for at in READ.values()] for i, name in enumerate(V.LAYOUT_LABELS)}
+    other = [None if name in V.FIELD_LABELS else at[0] for name, at in READ.items()]
+    return df.withColumn("x", label_texts("_secs", "layout", labels, other)).drop("_secs", "body")
+
+
+def field(name: str) -> Column:
+    return F.get("x", list(READ).index(name))
 
 
 def structure_rows(raw: DataFrame) -> DataFrame:
@@ -47,33 +50,33 @@ def structure_rows(raw: DataFrame) -> DataFrame:
     grading label; the shown rows read the first non-empty of all grading labels.
     """
     df = field_texts(raw)
-    x = lambda n: F.col(f"x_{n}")
+    x = field
     df = df.withColumn("x_shown", P.first_non_empty([x(f"grading{i}") for i in range(len(V.GRADING_LABELS))]))
     # the two texts are nearly always the same: the second is parsed only where it differs
-    same = F.col("x_grading") == F.col("x_shown")
-    df = df.withColumn("x_own", F.when(~same, F.col("x_grading")).otherwise(""))
+    same = x("grading") == F.col("x_shown")
+    df = df.withColumn("x_own", F.when(~same, x("grading")).otherwise(""))
     df = G.with_grading(G.with_grading(df, "x_shown"), "x_own", "e_")
     df = df.withColumn("e_gr", F.when(same, F.col("gr")).otherwise(F.col("e_gr")))
     df = df.withColumn("e_gu", F.when(same, F.col("gu")).otherwise(F.col("e_gu")))
-    df = P.with_plan(df, [f"x_plan{i}" for i in range(len(V.PLAN_LABELS))], "pl")
-    faculty = F.coalesce(blank_null("x_faculty_cat"), blank_null("x_faculty"))
-    flags = G.eval_flags("x_grading", "e_gr", "e_gu")
+    df = P.with_plan(df, [x(f"plan{i}") for i in range(len(V.PLAN_LABELS))], "pl")
+    faculty = F.coalesce(blank_null(x("faculty_cat")), blank_null(x("faculty")))
+    flags = G.eval_flags(x("grading"), "e_gr", "e_gu")
     blob = F.concat_ws(" ", x("term"), x("slots"), x("remote"), x("method"), x("category"))
     columns = {
-        "numbering": blank_null("x_numbering"), "title": blank_null("x_title"), "subtitle": blank_null("x_subtitle"),
-        "faculty": faculty, "faculty_raw": blank_null("x_faculty"),
-        "department": blank_null(FL.department("x_title")), "title_suffix": blank_null(FL.title_suffix("x_title")),
-        "target_grade": blank_null("x_target_grade"), "grades": FL.grades("x_target_grade", faculty),
-        "category": blank_null(FL.merge_category(FL.normalize_category("x_category"), faculty)),
-        "category_raw": blank_null("x_category"), "term_group": FL.term_group("x_term"), "credits": FL.credits("x_credits"),
-        "required": blank_null("x_required"), "term": blank_null("x_term"), "language": blank_null("x_language"),
-        "campus": blank_null("x_campus"), "instructors": blank_null("x_instructors"),
-        "is_undergrad": FL.undergraduate("x_faculty", "x_faculty_cat", "x_category", "x_target_grade", "x_numbering"),
+        "numbering": blank_null(x("numbering")), "title": blank_null(x("title")), "subtitle": blank_null(x("subtitle")),
+        "faculty": faculty, "faculty_raw": blank_null(x("faculty")),
+        "department": blank_null(FL.department(x("title"))), "title_suffix": blank_null(FL.title_suffix(x("title"))),
+        "target_grade": blank_null(x("target_grade")), "grades": FL.grades(x("target_grade"), faculty),
+        "category": blank_null(FL.merge_category(FL.normalize_category(x("category")), faculty)),
+        "category_raw": blank_null(x("category")), "term_group": FL.term_group(x("term")), "credits": FL.credits(x("credits")),
+        "required": blank_null(x("required")), "term": blank_null(x("term")), "language": blank_null(x("language")),
+        "campus": blank_null(x("campus")), "instructors": blank_null(x("instructors")),
+        "is_undergrad": FL.undergraduate(x("faculty"), x("faculty_cat"), x("category"), x("target_grade"), x("numbering")),
         "is_intensive": FL.flag(blob, V.INTENSIVE_WORDS), "is_online": FL.flag(blob, V.ONLINE_WORDS), **flags,
-        "eval_other": blank_null(F.substring("x_grading", 1, V.EVAL_OTHER_MAX)), "prereq": blank_null("x_prereq"),
-        "keywords": blank_null("x_keywords"), "goals": blank_null("x_goals"), "plan": blank_null("x_plan1"),
+        "eval_other": blank_null(F.substring(x("grading"), 1, V.EVAL_OTHER_MAX)), "prereq": blank_null(x("prereq")),
+        "keywords": blank_null(x("keywords")), "goals": blank_null(x("goals")), "plan": blank_null(x("plan1")),
         "extracted_sha256": F.col("body_sha256"),
-        "sl": FL.slots("x_slots"), "gr": F.col("gr"), "gu": F.col("gu"), "gx": F.col("gx"), "gt": F.col("gt"),
+        "sl": FL.slots(x("slots")), "gr": F.col("gr"), "gu": F.col("gu"), "gx": F.col("gx"), "gt": F.col("gt"),
         "ep": F.when(F.size("gr") > 0, "").otherwise(F.col("x_shown")), "pl": F.col("pl"),
         "d": P.outline([x(f"outline{i}") for i in range(len(V.OUTLINE_LABELS))]),
     }

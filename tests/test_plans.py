@@ -113,3 +113,16 @@ def test_grid_sessions(spark):
     assert [tuple(s) for s in r.slots] == [("月", "2"), ("月", "3")] and r.instructors == ["林"] and r.target_grade == "2年"
     r = got["前期", "入門"]
     assert (r.category, r.target_grade, r.instructors, [tuple(s) for s in r.slots]) == ("専攻教育科目", "", [], [("月", "1")])
+
+
+def test_extraction_has_no_method_too_long_to_be_compiled(spark):
+    from courseloom.plans.extraction import structure_rows
+
+    raw = spark.range(5).selectExpr("'u' AS university_id", "2026 AS year", "string(id) AS course_code", "'科目名称\\nx' AS body", "'A' AS layout", "'' AS body_sha256")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")        # a plain session's
+    try:
+        stages = structure_rows(raw.coalesce(1))._jdf.queryExecution().debug().codegenToSeq()
+        longest = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    assert longest and max(longest) < 8000
