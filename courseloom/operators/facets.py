@@ -153,16 +153,32 @@ def halves(group: Column) -> Column:
     return out.otherwise(F.array(*[h(s, n) for s in ("spring", "autumn") for n in (1, 2)]))
 
 
+HALF_BITS = [(s, n) for s in ("spring", "autumn") for n in (1, 2)]
+
+
+def half_mask(group: Column) -> Column:
+    """``halves`` as one number, a bit for each of ``HALF_BITS``."""
+    bit = {h: 1 << i for i, h in enumerate(HALF_BITS)}
+    of = lambda season: bit[season, 1] | bit[season, 2]
+    out = F.when(group == "前期", of("spring")).when(group == "後期", of("autumn"))
+    for name, half in V.HALVES.items():
+        out = out.when(group == name, bit[tuple(half)])
+    return out.otherwise(of("spring") | of("autumn"))
+
+
 def conflicts(rows: DataFrame, owner: list[str], code: str) -> DataFrame:
     """Cells where an owner has several courses in the same half-season.
 
     ``rows``: owner columns, code, weekday, period, term_group. Counts only (partial
-    aggregate); join back on the cell to list its courses.
+    aggregates); join back on the cell to list its courses. A course is one row a cell and a cell
+    one row, with its half-seasons as bits and counts: they are unfolded last.
     """
-    cell = rows.select(*owner, code, "weekday", "period", F.explode(halves(F.col("term_group"))).alias("h"))
-    cell = cell.select(*owner, code, "weekday", "period", "h.season", "h.half").distinct()
-    return (cell.groupBy(*owner, "weekday", "period", "season", "half").agg(F.count("*").alias("n_courses"))
-            .where("n_courses >= 2"))
+    cell = rows.groupBy(*owner, code, "weekday", "period").agg(F.bit_or(half_mask(F.col("term_group"))).alias("_m"))
+    counts = [F.count_if(F.col("_m").bitwiseAND(F.lit(1 << i)) != 0).alias(f"_n{i}") for i in range(len(HALF_BITS))]
+    each = F.array(*[F.struct(F.lit(s).alias("season"), F.lit(n).alias("half"), F.col(f"_n{i}").alias("n_courses"))
+                     for i, (s, n) in enumerate(HALF_BITS)])
+    return (cell.groupBy(*owner, "weekday", "period").agg(*counts).where(F.greatest(*[f"_n{i}" for i in range(len(HALF_BITS))]) >= 2)
+            .select(*owner, "weekday", "period", F.inline(each)).where("n_courses >= 2"))
 
 
 def conflict_rows(rows: DataFrame, found: DataFrame, owner: list[str], code: str) -> DataFrame:

@@ -175,6 +175,15 @@ def test_conflicts_between_half_seasons(spark):
     assert FC.conflict_rows(rows, got, ["owner"], "c").select("c").distinct().count() == 3
 
 
+def test_conflicts_unfold_half_seasons_last(spark):
+    rows = spark.createDataFrame([("o", "1", "月", "2", None), ("o", "1", "月", "2", "春学期"), ("o", None, "月", "2", "夏学期"), (None, "2", "火", "1", "前期"), (None, "3", "火", "1", "夏学期")],
+                                 "owner string, c string, weekday string, period string, term_group string")
+    got = FC.conflicts(rows, ["owner"], "c")
+    assert sorted((r.owner or "", r.season, r.half, r.n_courses) for r in got.collect()) == [("", "spring", 2, 2), ("o", "spring", 2, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")         # printed from the last step to the first
+
+
 def test_optional_side_file(spark, tmp_path):
     df, problems = PG.optional(spark, str(tmp_path / "none.json"), "c string, room string", "rooms", "run it")
     assert df.isEmpty() and df.columns == ["c", "room"] and problems.first().problem == "missing: rooms"
