@@ -12,7 +12,7 @@ from courseloom.functions.text import col, drop, first_group, has, nfkc, strip,
 def match_key(c: Column | str) -> Column:
     """Form in which names are compared: NFKC, lower case, no notes, symbols or spaces."""
     t = F.lower(nfkc(text_or_empty(c)))
-    key = drop(drop(drop(t, V.NAME_NOTES), V.NAME_SYMBOLS), V.NAME_PUNCT)
+    key = drop(drop(t, V.NAME_NOTES), f"[{V.NAME_SYMBOLS}{V.NAME_PUNCT}]+")
     return F.coalesce(key, F.lit(""))        # never NULL: a join on it needs no test below
 
 
