@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courseloom import values as V
@@ -205,17 +209,80 @@ def share_text(codes: DataFrame, owner: list[str], code: str) -> DataFrame:
     return codes.groupBy(*owner).agg(F.array_join(F.array_sort(F.collect_set(code)), ".").alias("share"))
 
 
+COUNTED_MEMBERS = 4_000_000     # list members that a task counts together, about
+
+
+def _member_counts(least: int):
+    # inner functions travel to the executors by value: they need not have this package
+    enough = COUNTED_MEMBERS
+
+    def counted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, groups, lists = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+        owner, members = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        places = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
+        known = np.flatnonzero(pc.is_valid(members).to_numpy(zero_copy_only=False) & pc.is_valid(groups).to_numpy(zero_copy_only=False)[owner])
+        owner, places = owner[known], places[known]
+        members, groups = members.take(pa.array(known)).dictionary_encode(), groups.dictionary_encode()
+        size = max(1, len(members.dictionary))
+        pairs = groups.indices.fill_null(0).to_numpy()[owner].astype(np.int64) * size + members.indices.to_numpy()
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(pairs)])
+        few = n < least
+        rows = order[np.repeat(few, n)]
+        spots = pa.StructArray.from_arrays([keys.take(pa.array(owner[rows])), pa.array(places[rows], pa.int32())], names=["_k", "_i"])
+        spots = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(few, n, 0))], pa.int32()), spots)
+        found = pairs[first]
+        return pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(found // size)), members.dictionary.take(pa.array(found % size)),
+                                           pa.array(n, pa.int64()), spots], names=["_g", "_m", "_n", "_spots"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += pc.sum(pc.list_value_length(batch.column(2))).as_py() or 0
+            if n >= enough:
+                yield counted(held)
+                held, n = [], 0
+        if held:
+            yield counted(held)
+
+    return rows
+
+
+def rare_spots(df: DataFrame, key: str, group: str, items: str, least: int) -> DataFrame:
+    """(_k, _i): the places in a key's list of the members that fewer than ``least`` rows of the group carry.
+
+    A task counts the members of some millions of list places at once and hands on one row for each
+    (group, member): its number and, only where that is below ``least``, the places. So a frequent
+    member is a row a task, and only rare ones bring their keys.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.get(items, 0).alias("_m")).schema}
+    counts = df.select(key, group, items).mapInArrow(
+        _member_counts(least), f"_g {kind['_g']}, _m {kind['_m']}, _n bigint, _spots array<struct<_k: {kind['_k']}, _i: int>>")
+    total = F.sum("_n").over(Window.partitionBy("_g", "_m"))
+    return counts.withColumn("_total", total).where(F.col("_total") < least).select(F.inline("_spots"))
+
+
 def prune_rare(df: DataFrame, key: str, group: str, items: str, least: int = V.DEPARTMENT_MIN_COUNT, keep: DataFrame | None = None) -> DataFrame:
     """Drop list members that few rows of the group carry; an emptied list becomes NULL.
 
-    Members are counted per row, the (group, member) counts meet the exploded rows on both
-    columns, and the lists are rebuilt in their order. Where the members to ``keep`` (_g, _m) are
-    known from elsewhere, nothing is counted.
+    Only the places of rare members are rows and meet the lists by the key, so the work beyond one
+    pass follows their number, and no list is taken apart and rebuilt. A NULL group or member is
+    never kept. Where the members to ``keep`` (_g, _m) are known from elsewhere, nothing is counted
+    and the exploded rows meet them on both columns.
     """
-    rows = exploded(df, [key, F.col(group).alias("_g")], F.col(items), "_m", "_i")
     if keep is None:
-        keep = rows.groupBy("_g", "_m").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g", "_m")
-        keep = written(keep, "members")
+        drops = rare_spots(df, key, group, items, least).groupBy(F.col("_k").alias(key)).agg(F.collect_list("_i").alias("_drop"))
+        places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
+        left = F.array_except(places, F.coalesce("_drop", F.array().cast("array<int>")))
+        left = F.filter(F.transform(left, lambda i: F.get(items, i)), lambda x: x.isNotNull())
+        known = F.col(key).isNotNull() & F.col(group).isNotNull()
+        pruned = df.join(drops, key, "left").withColumn(items, F.when(known, left)).drop("_drop")
+        return pruned.withColumn(items, F.when(F.size(items) > 0, F.col(items)))
+    rows = exploded(df, [key, F.col(group).alias("_g")], F.col(items), "_m", "_i")
     kept = (rows.join(keep, ["_g", "_m"], "left_semi").groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_kept")))
     return (df.join(kept, key, "left").withColumn(items, F.transform("_kept", lambda x: x["_m"])).drop("_kept"))

@@ -180,7 +180,8 @@ u AS (SELECT doc_id, lang, m, min(i) AS i FROM e GROUP BY 1, 2, 3), k AS (SELECT
 SELECT d.doc_id, string_agg(k.m, ' ' ORDER BY i) AS words FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN k ON k.lang = u.lang AND k.m = u.m GROUP BY 1""")
 def prune_rare_pairs(spark, d):
     """List members that fewer than 5 rows of the group carry are dropped; the lists are whole texts."""
-    docs = wide(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.array_distinct(F.split("text", "[ \n]")).alias("words"))
+    words = F.split(F.replace("text", L("\n"), L(" ")), " ")             # one letter is split without a pattern
+    docs = wide(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.array_distinct(words).alias("words"))
     return FC.prune_rare(docs, "doc_id", "lang", "words").select("doc_id", F.array_join("words", " ").alias("words"))
 
 
