@@ -16,7 +16,7 @@ from courseloom.operators.snapshots import StaleError
 from courseloom.plans import catalog as CAT
 from courseloom.plans import publish as PB
 from courseloom.plans import rooms as RM
-from courseloom.session import run_folder
+from courseloom.session import run_folder, written
 from courseloom.sources import pages as PG
 from courseloom.sources import sinks as SK
 from courseloom.workloads import resolution as RS
@@ -168,6 +168,7 @@ def site_publication(spark, d):
     site = PB.Publication(spark, fresh(spark, "site"))
     k = F.col("c").cast("bigint")
     records = order_catalog(spark, d).withColumn("c", F.col("c").cast("string")).withColumn("d", F.when(k % 5 != 0, F.concat(L("about "), "f")).otherwise(""))
+    records = written(records, "records")                # every gate and every part of a publication reads them
     raw = records.select("c", F.md5("c").alias("body_sha256"))
     derived = raw.select("c", F.col("body_sha256").alias("extracted_sha256"))
     stale = derived.withColumn("extracted_sha256", F.when(k % 100 == 1, "old").otherwise(F.col("extracted_sha256")))
@@ -178,8 +179,8 @@ def site_publication(spark, d):
         PB.publish_site(site, catalog, raw, structured, titles, year, 1995, "https://example.org/{code}", key=["c"])
 
     def seen(step):
-        doc = spark.read.json(site.folder("meta")).select(L("meta").alias("part"), F.col("n"), F.col("n_missing").alias("total"))
-        parts = [spark.read.json(site.folder(p)).agg(F.count("*").alias("n"), F.sum(F.col(c).cast("bigint")).alias("total")).select(L(p).alias("part"), "n", "total")
+        doc = spark.read.schema("n bigint, n_missing bigint").json(site.folder("meta")).select(L("meta").alias("part"), F.col("n"), F.col("n_missing").alias("total"))
+        parts = [spark.read.schema(f"{c} string").json(site.folder(p)).agg(F.count("*").alias("n"), F.sum(F.col(c).cast("bigint")).alias("total")).select(L(p).alias("part"), "n", "total")
                  for p, c in (("courses", "c"), ("details", "c"), ("missing", "p_partkey"))]
         return reduce(DataFrame.union, parts, doc).select(L(step).alias("step"), "part", "n", "total")
 

@@ -51,3 +51,15 @@ def test_first_publication_without_rows(spark, tmp_path):
     site = Publication(spark, str(tmp_path))
     site.publish({"a": Part(rows(spark), guarded=True)})
     assert shown(site, "a") == []
+
+
+def test_site_publication_reads_its_catalog_from_one_written_step(spark, monkeypatch):
+    from courseloom.workloads import outputs
+
+    given = []
+    monkeypatch.setattr(outputs.PB, "publish_site", lambda site, catalog, raw, structured, *_, **__: given.extend([catalog, raw, structured]) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        outputs.site_publication(spark, "/root/testdata/sf0.001")
+    assert len(given) == 3
+    for frame in given:                                  # not the tables that the catalog is joined and parsed from
+        assert frame.inputFiles() and not any("orders.parquet" in f or "customer.parquet" in f for f in frame.inputFiles())
