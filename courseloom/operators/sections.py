@@ -76,6 +76,11 @@ def label_texts(secs: Column | str, layout: Column | str, by_layout: dict[str, l
     return F.transform(wanted.otherwise(names(other)), lambda label: section_text(secs, label))
 
 
+def layout_text(secs: Column | str, layout: Column | str, by_layout: dict[str, str | None]) -> Column:
+    """Text of the label that the row's layout uses for one column, empty where it has none."""
+    return F.get(label_texts(secs, layout, {name: [lb] for name, lb in by_layout.items()}, [None]), 0)
+
+
 def section_rows(df: DataFrame, keys: list[str], secs: str = "secs") -> DataFrame:
     """Long table (keys, seq, label, text); the first section of a label wins."""
     zipped = F.arrays_zip(F.col(f"{secs}.labels").alias("label"), F.col(f"{secs}.texts").alias("text"))

@@ -32,3 +32,10 @@ def test_codes_of_orders_that_read_alike(spark, tmp_path, name):
     spark.createDataFrame([(k, f"name {k}", "b", f"TYPE {k}", 4, 1.0) for k in range(3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(
         f"{tmp_path}/part.parquet")
     assert same(spark, tmp_path, name)
+
+
+def test_one_column_by_the_label_of_each_layout(spark, tmp_path):
+    texts = ["x\nAll rights reserved.\none\n two \nIetzte.\nthree\nAll rights reserved.\nfour\nLe treque.\nfive", "All rights reserved.", "Ietzte.\n\n", "none", "", None]
+    rows = [(i * 10 + k, lang, text) for i, lang in enumerate(["en", "de", "fr", "es", "it", None]) for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert same(spark, tmp_path, "layout_projection")
