@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from courseloom import values as V
-from courseloom.functions.text import col, drop, first_group, has, nfkc, strip, text_or_empty
+from courseloom.functions.text import WHITE_SPACE, col, drop, first_group, has, nfkc, strip, text_or_empty
+
+# each letter of the two classes; a pattern's white space goes without the separators \x1c to \x1f
+UNCOMPARED = (V.NAME_SYMBOLS[1:-1] + V.NAME_PUNCT[1:-1]).replace(r"\s", "".join(sorted({*WHITE_SPACE} - {*"\x1c\x1d\x1e\x1f"}))).replace("\\", "")
 
 
 def match_key(c: Column | str) -> Column:
     """Form in which names are compared: NFKC, lower case, no notes, symbols or spaces."""
     t = F.lower(nfkc(text_or_empty(c)))
-    key = drop(drop(t, V.NAME_NOTES), f"[{V.NAME_SYMBOLS}{V.NAME_PUNCT}]+")
+    key = F.translate(drop(t, V.NAME_NOTES), UNCOMPARED, "")      # several times faster than a pattern
     return F.coalesce(key, F.lit(""))        # never NULL: a join on it needs no test below
 
 

@@ -121,12 +121,12 @@ def _joined(bodies: DataFrame, keys: list[str], words: DataFrame, grams: tuple[i
         *keys, "name", "start", (F.col("start") + F.col("size")).alias("stop"), "n")
 
 
-def nearest_name(found: DataFrame, keys: list[str], tail_only: bool = False, window: int = V.TAIL_WINDOW) -> DataFrame:
-    """The name ending last in each text; of names with the same end, the longest."""
+def nearest_name(found: DataFrame, keys: list[str], tail_only: bool = False, window: int = V.TAIL_WINDOW, also: list[str] = []) -> DataFrame:
+    """The name ending last in each text; of names with the same end, the longest. ``also``: columns of the name."""
     if tail_only:
         found = found.where(F.col("stop") >= F.col("n") - window)
-    best = F.max(F.struct("stop", (F.col("stop") - F.col("start")).alias("size"), "name"))
-    return found.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.name").alias("name"), F.col("_b.stop").alias("stop"))
+    best = F.max(F.struct("stop", (F.col("stop") - F.col("start")).alias("size"), "name", *also))
+    return found.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in ("name", "stop", *also)])
 
 
 def contains_known(titles: DataFrame, title: str, known: DataFrame, name: str,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions import names as N
-from courseloom.functions.text import between_matches, exploded, first_group, has, nfkc, strip
+from courseloom.functions.text import between_matches, exploded, groups_of, has, nfkc, strip
 from courseloom.operators.containment import contains_known, nearest_name, occurrences
 from courseloom.operators.ordered import first_by, previous_value
 from courseloom.session import written
@@ -76,12 +76,22 @@ def mentions(lines: DataFrame, pattern: str) -> DataFrame:
     return rows.where(N.is_room("room"))
 
 
-def _named(rows: DataFrame, text: str, kind: str, view: DataFrame, gram: int, tail_only: bool) -> DataFrame:
-    """Best dictionary name inside each distinct (faculty, season, text): VIEW, kind, text, name."""
+def _named(rows: DataFrame, text: str, spans: DataFrame, gram: int, tail_only: bool) -> DataFrame:
+    """Best dictionary name inside each distinct (faculty, season, text): VIEW, text, name and its least and greatest code."""
     wanted = rows.select(*VIEW, F.col(text).alias("text")).where(F.length("text") >= gram).distinct()
-    found = occurrences(wanted.select("text").distinct(), ["text"], "text", view, "name", (gram,))
-    near = nearest_name(wanted.join(found, "text").join(view, [*VIEW, "name"], "left_semi"), [*VIEW, "text"], tail_only)
-    return near.select(*VIEW, F.lit(kind).alias("kind"), "text", "name")
+    found = occurrences(wanted, [*VIEW, "text"], "text", spans, "name", (gram,))
+    near = nearest_name(found.join(spans, [*VIEW, "name"]), [*VIEW, "text"], tail_only, also=SPAN)
+    return near.select(*VIEW, "text", "name", *SPAN)
+
+
+def _answered(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Add the answer of the least rank (rank, name, its least and greatest code), NULL where none of a mention's texts has one.
+
+    ``asked``: MENTION and the answer. They are dealt by mention before they are gathered, so they are
+    sorted once, and that order serves the join as well.
+    """
+    best = asked.repartition(*MENTION).groupBy(*MENTION).agg(F.min(F.struct("rank", "name", *SPAN)).alias("_b"))
+    return rows.join(best, MENTION, "left").select("*", "_b.*").drop("_b")
 
 
 def match_mentions(rows: DataFrame, courses: DataFrame, gram: int = V.MIN_NAME, tail_only: bool = False) -> DataFrame:
@@ -89,32 +99,33 @@ def match_mentions(rows: DataFrame, courses: DataFrame, gram: int = V.MIN_NAME,
 
     The first that answers wins: a name inside the segment; a name at the end of the previous
     line; the title read from the segment, also without its first words; the teacher at the
-    segment's end. All but the last are one join: each mention asks with up to five texts, ranked,
-    texts that are empty don't ask, and the least rank that is answered counts.
+    segment's end. Only mentions whose segment has no name go on to the others, and only theirs
+    are read; the texts of those are one join: each mention asks with up to four, ranked, texts that
+    are empty don't ask, and the least rank that is answered counts.
     """
     view = written(by_view(dictionary(courses)).select(*VIEW, "name", "code", "instructors"), "names")
-    here = _span(view, [*VIEW, "name"], "c")
-    rows = (rows.withColumn("seg_key", N.match_key("seg")).withColumn("prev_key", N.match_key("prev"))
-            .withColumn("title", N.guess_title("seg")))
+    spans = written(_span(view, [*VIEW, "name"], "c"), "spans")
+    rows = written(rows.withColumn("seg_key", N.match_key("seg")), "mentions")              # read several times below, as the others
+    own = rows.select(*MENTION, *VIEW, F.lit(0).alias("rank"), F.col("seg_key").alias("text")).where("text <> ''")
+    rows = written(_answered(rows.drop("seg_key"), own.join(_named(rows, "seg_key", spans, gram, tail_only), [*VIEW, "text"])), "by-segment")
+    named = rows.where(F.col("name").isNotNull()).withColumn("title", F.lit("")).withColumn("by_teacher", F.lit(None).cast("string"))
+    rest = rows.where(F.col("name").isNull()).drop("rank", "name", *SPAN)
+    rest = rest.withColumn("prev_key", N.match_key("prev")).withColumn("title", N.guess_title("seg"))
     guesses = N.title_candidates(F.col("title"))
     for i, cand in enumerate(guesses):
-        rows = rows.withColumn(f"_w{i}", cand)
-    # read several times below
-    rows = written(rows.select("*", *[N.match_key(f"_w{i}").alias(f"_k{i}") for i in range(len(guesses))]), "mentions")
-    names = here.select(*VIEW, "name")
-    asks = [("seg", "seg_key"), ("prev", "prev_key"), *[("exact", f"_k{i}") for i in range(len(guesses))]]
-    asked = rows.select(*MENTION, *VIEW, F.inline(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), F.col(c).alias("text"))
-                                                          for i, (kind, c) in enumerate(asks)]))).where("text <> ''")
-    answers = _named(rows, "seg_key", "seg", names, gram, tail_only).union(_named(rows, "prev_key", "prev", names, gram, True)).union(
-        names.select(*VIEW, F.lit("exact").alias("kind"), F.col("name").alias("text"), "name"))
-    best = asked.join(answers, [*VIEW, "kind", "text"]).groupBy(*MENTION).agg(F.min(F.struct("rank", "name")).alias("_b"))
-    rows = rows.join(best, MENTION, "left").withColumn("name", F.col("_b.name"))
-    shown = F.when(F.col("_b").isNull(), F.col("title")).when(F.col("_b.rank") < 2, "")
+        rest = rest.withColumn(f"_w{i}", cand)
+    rest = written(rest.select("*", *[N.match_key(f"_w{i}").alias(f"_k{i}") for i in range(len(guesses))]), "unnamed")
+    asks = [("prev", "prev_key"), *[("exact", f"_k{i}") for i in range(len(guesses))]]
+    asked = rest.select(*MENTION, *VIEW, F.inline(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("kind"), F.col(c).alias("text"))
+                                                          for i, (kind, c) in enumerate(asks, 1)]))).where("text <> ''")
+    answers = _named(rest, "prev_key", spans, gram, True).withColumn("kind", F.lit("prev")).unionByName(
+        spans.select(*VIEW, F.col("name").alias("text"), "name", *SPAN, F.lit("exact").alias("kind")))
+    rest = _answered(rest, asked.join(answers, [*VIEW, "kind", "text"]))
+    shown = F.when(F.col("rank").isNull(), F.col("title")).when(F.col("rank") == 1, "")
     for i in range(len(guesses)):
-        shown = shown.when(F.col("_b.rank") == i + 2, F.col(f"_w{i}"))
-    rows = rows.withColumn("title", shown).withColumn("name", _own_if_null("name"))
-    rows = rows.join(here, [*VIEW, "name"], "left").withColumn("name", F.col("_b.name"))
-    rows = by_instructor(rows, view)
+        shown = shown.when(F.col("rank") == i + 2, F.col(f"_w{i}"))
+    rest = by_instructor(rest.withColumn("title", shown), view)
+    rows = named.unionByName(rest.select(*named.columns))
     code = F.when(F.col("c_lo") == F.col("c_hi"), F.col("c_lo")).when(F.col("name").isNull(), F.col("by_teacher"))
     ambiguous = F.coalesce(F.col("c_lo") != F.col("c_hi"), F.lit(False))
     return rows.select("faculty", "file", "file_ord", "line_no", "pos", "season", "room", "seg", "title",
@@ -122,6 +133,7 @@ def match_mentions(rows: DataFrame, courses: DataFrame, gram: int = V.MIN_NAME,
 
 
 MENTION = ["faculty", "file", "line_no", "pos"]
+SPAN = ["c_lo", "c_hi"]
 
 
 def _own_if_null(key: str) -> Column:
@@ -221,9 +233,10 @@ def code_mentions(lines: DataFrame) -> DataFrame:
 
 def code_rooms(found: DataFrame, courses: DataFrame) -> DataFrame:
     """Rooms next to known codes, with verdict 'ok' or 'disagree' on the title check."""
-    rows = found.join(courses.select("code", "title"), "code")
-    rows = (rows.withColumn("room", first_group("tail", V.CODE_ROOM, 2)).where("room <> ''")
-            .withColumn("head", nfkc(first_group("tail", V.CODE_ROOM, 1))).withColumn("want", N.match_key("title")))
+    # a test of what is exploded isn't pushed below it, where the pattern would be matched again
+    rows = exploded(found, ["file", "file_ord", "line_no", "season", "pos", "code"], F.array(groups_of("tail", V.CODE_ROOM, 2)), "_m")
+    rows = rows.withColumn("head", F.get("_m", 0)).withColumn("room", F.get("_m", 1)).drop("_m").where("room <> ''")
+    rows = rows.join(courses.select("code", "title"), "code").withColumn("head", nfkc("head")).withColumn("want", N.match_key("title"))
     same = (F.col("want") == "") | F.contains(N.match_key("head"), F.substring("want", 1, 5))
     ok = same | has(strip("head"), V.PERSON_NAME)
     return rows.select("file", "file_ord", "line_no", "pos", "code", N.clean_room("room").alias("room"),

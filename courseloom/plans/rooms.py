@@ -27,7 +27,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def marker_matches(lines: DataFrame, courses: DataFrame) -> DataFrame:
-    """Matches of all faculties that mark rooms in their lines."""
+    """Matches of all faculties that mark rooms in their lines; courses of others have no line here."""
+    courses = courses.where(F.col("faculty").isin([*MARKER_FACULTIES]))
     found = [R.mentions(lines.where(F.col("faculty") == f), V.ROOM_PATTERNS[p]) for f, (p, _) in MARKER_FACULTIES.items()]
     return R.match_mentions(_union(found), courses)
 
@@ -77,7 +78,7 @@ def build(lines: DataFrame, sessions: DataFrame, courses: DataFrame, urls: DataF
     """
     matched = written(marker_matches(lines, courses), "matched")
     code_lines = lines.where(F.col("faculty") == CODE_FACULTY)
-    found = R.code_mentions(code_lines)
+    found = written(R.code_mentions(code_lines), "codes")
     by_code = R.code_rooms(found, courses)
     by_grid = grid_rooms(sessions, courses)
     # first wins inside a source, the later source wins between them
@@ -94,7 +95,7 @@ def build(lines: DataFrame, sessions: DataFrame, courses: DataFrame, urls: DataF
         rooms = rooms.join(pages, "file", "left").select("c", "room", "faculty", "file", "source_url")
     else:
         rooms = rooms.withColumn("source_url", F.col("file"))
-    known = R.dictionary(courses).select("name").distinct()
+    known = written(R.dictionary(courses.select("title").distinct()).select("name").distinct(), "known")
     slashes = R.slash_title_rows(lines.where(F.col("faculty") == SLASH_FACULTY))
     new_slashes = R.missing_rows(slashes, known, clean=F.col("title"))
     one = lambda df, faculty, hit, drop: df.agg(

@@ -111,6 +111,45 @@ def test_codes_in_lines(spark):
     assert [r.code for r in R.unknown_code_rows(found, d).collect()] == ["26342204"]
 
 
+def test_only_mentions_whose_segment_has_no_name_are_read_further(spark, monkeypatch):
+    steps, write = {}, R.written
+    monkeypatch.setattr(R, "written", lambda df, name: steps.setdefault(name, write(df, name)))
+    d = courses(spark, ("1", "情報構造論", "法学部", ["上田 竹志"], None, []), ("2", "機械学習", "法学部", [], "spring", []), ("3", "機械学習", "法学部", [], "spring", []))
+    got = law(spark, d, (None, "情報構造学 上田 D102"), ("spring", "●情報構造論 上田 B112"), ("autumn", "機械学習 林 D101"), ("spring", "機械学習 林 C112"), (None, "機械学習"), (None, "E103"))
+    assert {k: (r.code, r.ambiguous, r.title) for k, r in got.items()} == {
+        (0, 0): ("1", False, "情報構造学"), (1, 0): ("1", False, ""), (2, 0): ("1", False, ""), (3, 0): (None, True, ""), (5, 0): (None, True, "")}
+    assert steps["mentions"].count() == 5 and sorted(r.line_no for r in steps["unnamed"].collect()) == [0, 2, 5]
+
+
+def test_mentions_with_the_same_place_or_none(spark):
+    """Lines that come twice share their answer; a line of no file has none by name."""
+    d = courses(spark, ("1", "情報構造論", "法学部", [], None, []), ("2", "機械学習", "法学部", [], None, []))
+    twice = lines(spark, (None, "機械学習"), (None, "B112"), (None, "情報構造論 C112"))
+    found = R.match_mentions(R.mentions(twice.union(twice).union(twice.withColumn("file", F.lit(None).cast("string"))), V.ROOM_PATTERNS["law"]), d)
+    got = sorted((str(r.file), r.line_no, r.code) for r in found.collect())
+    assert got == [("None", 1, None), ("None", 2, None), *[("f.pdf", 1, "2")] * 2, *[("f.pdf", 2, "1")] * 2]
+
+
+def test_courses_of_faculties_without_such_lines_are_left_out(spark, monkeypatch):
+    from courseloom.plans import rooms as RM
+
+    asked = []
+    monkeypatch.setattr(R, "match_mentions", lambda rows, courses: asked.append(courses) or rows)
+    RM.marker_matches(lines(spark, (None, "情報構造論 B112")), courses(spark, ("1", "情報構造論", "法学部", [], None, []), ("2", "土壌物理学", "農学部", [], None, [])))
+    assert [r.code for r in asked[0].collect()] == ["1"]
+
+
+def test_a_tail_is_matched_once(spark, capsys):
+    R.code_rooms(R.code_mentions(lines(spark, (None, "26342323 土壌物理学 229"), faculty="農学部")), courses(spark, ("26342323", "土壌物理学", "農学部", [], None, []))).explain("extended")
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("号館") == 1
+
+
+def test_left_out_letters_are_those_of_the_classes(spark):
+    every = [chr(n) for n in (*range(1, 0xD800), *range(0xE000, 0x10000))]
+    df = spark.createDataFrame([("".join(every[i:i + 64]),) for i in range(0, len(every), 64)], "t string")
+    assert not df.where(F.translate("t", N.UNCOMPARED, "") != F.regexp_replace("t", f"(?U)[{V.NAME_SYMBOLS}{V.NAME_PUNCT}]+", "")).count()
+
+
 def test_progressive_against_brute_force(spark):
     rnd = random.Random(3)
     slot = lambda: (rnd.choice("月火"), rnd.choice("12"))
