@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from courseloom import values as V
 from courseloom.functions import names as N
-from courseloom.functions.text import between_matches, exploded, groups_of, has, nfkc, strip
+from courseloom.functions.text import exploded, groups_of, has, matches_with_texts, nfkc, strip
 from courseloom.operators.containment import contains_known, nearest_name, occurrences
 from courseloom.operators.ordered import first_by, previous_value
 from courseloom.session import written
@@ -67,9 +67,7 @@ def mentions(lines: DataFrame, pattern: str) -> DataFrame:
     """
     full = lines.where(F.trim("line") != "")
     full = previous_value(full, ["faculty", "file"], "line_no", F.col("line"), "prev")
-    rx = "(?U)" + pattern
-    texts, rooms = between_matches("line", rx)
-    zipped = F.arrays_zip(rooms.alias("room"), F.slice(texts, F.lit(1), F.size(rooms)).alias("seg"))
+    zipped = matches_with_texts("line", "(?U)" + pattern, "room", "seg")
     rows = exploded(full, ["faculty", "file", "file_ord", "line_no", "season", "prev"], zipped, "m", "pos")
     rows = rows.select("faculty", "file", "file_ord", "line_no", "pos", "season", F.coalesce("season", F.lit(ANY)).alias("season_key"),
                        "m.seg", F.coalesce("prev", F.lit("")).alias("prev"), N.clean_room(F.col("m.room")).alias("room"))
@@ -225,9 +223,8 @@ def slash_title_rows(lines: DataFrame) -> DataFrame:
 
 def code_mentions(lines: DataFrame) -> DataFrame:
     """Course codes in lines, each with the text up to the next code."""
-    texts, codes = between_matches("line", V.CODE_IN_LINE)
-    tails = F.slice(texts, F.lit(2), F.size(codes))
-    return exploded(lines, ["file", "file_ord", "line_no", "season"], F.arrays_zip(codes.alias("code"), tails.alias("tail")), "m", "pos").select(
+    zipped = matches_with_texts("line", V.CODE_IN_LINE, "code", "tail", after=True)
+    return exploded(lines, ["file", "file_ord", "line_no", "season"], zipped, "m", "pos").select(
         "file", "file_ord", "line_no", "season", "pos", "m.code", "m.tail")
 
 

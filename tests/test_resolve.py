@@ -144,6 +144,14 @@ def test_a_tail_is_matched_once(spark, capsys):
     assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("号館") == 1
 
 
+def test_a_line_is_matched_once(spark, capsys):
+    ln = lines(spark, (None, "x 26342323 a 26342204 b"), (None, "none"), (None, ""), (None, "26342205"), (None, None))
+    found = R.code_mentions(ln)
+    assert sorted((r.line_no, r.pos, r.code, r.tail) for r in found.collect()) == [(0, 0, "26342323", " a "), (0, 1, "26342204", " b"), (3, 0, "26342205", "")]
+    found.explain()
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count(V.CODE_IN_LINE) == 1
+
+
 def test_left_out_letters_are_those_of_the_classes(spark):
     every = [chr(n) for n in (*range(1, 0xD800), *range(0xE000, 0x10000))]
     df = spark.createDataFrame([("".join(every[i:i + 64]),) for i in range(0, len(every), 64)], "t string")
